@@ -1,8 +1,10 @@
 """The queries of the training-data operators and the DuckDB SQL of those that SQL can express."""
 
-from . import media
+from . import media, mixing, quality
 
 QUERIES: dict = {
+    "op4_quality_rules": quality.op4_quality_rules,
+    "op9_mixing": mixing.op9_mixing,
     "op10_media_columns": media.op10_media_columns,
 }
-ORACLES: dict = {}
+ORACLES: dict = {"op9_mixing": mixing.OP9_SQL}
