@@ -1,8 +1,9 @@
 """The queries of the training-data operators and the DuckDB SQL of those that SQL can express."""
 
-from . import media, mixing, quality
+from . import binary_ids, media, mixing, quality
 
 QUERIES: dict = {
+    "op2_token_ids": binary_ids.op2_token_ids,
     "op4_quality_rules": quality.op4_quality_rules,
     "op9_mixing": mixing.op9_mixing,
     "op10_media_columns": media.op10_media_columns,
