@@ -1,9 +1,10 @@
 """The queries of the training-data operators and the DuckDB SQL of those that SQL can express."""
 
-from . import binary_ids, media, mixing, quality
+from . import binary_ids, bpe, media, mixing, quality
 
 QUERIES: dict = {
     "op2_token_ids": binary_ids.op2_token_ids,
+    "op3_byte_bpe": bpe.op3_byte_bpe,
     "op4_quality_rules": quality.op4_quality_rules,
     "op9_mixing": mixing.op9_mixing,
     "op10_media_columns": media.op10_media_columns,
