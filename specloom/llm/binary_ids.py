@@ -9,12 +9,11 @@ of all their ids one after the other. ``write`` range-partitions the texts by do
 writes blocks of bounded size with their partition and number; ``read`` decodes whole blocks; ``access`` reads single ids.
 
 Defined results: a null or empty text has the end id alone; rows with equal doc_id are neighbours in a defined order (by text); a
-null doc_id comes first. Texts are encoded whole, by words: see ``words``.
+null doc_id comes first. Texts are encoded whole.
 """
 
 from __future__ import annotations
 
-import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -25,7 +24,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import common
+from . import arrays, common
 
 END = 0  # the id appended to each document
 WIDTH = 8  # bits of an id in each level
@@ -33,10 +32,6 @@ RANK_BITS = 512  # bits of a bitmap between entries of its rank directory
 BLOCK_BYTES = 4 << 20  # UTF-8 bytes of text in a block; one longer text makes a block of its own
 CACHED = 700_000  # words whose ids a worker remembers
 
-#: White space next to a space: there a split at spaces could change the tokens.
-UNSAFE = tuple(x for c in "\t\n\v\f\r" for x in (c + " ", " " + c)) + ("  ",)
-#: Other white space; a text with any isn't split.
-RARE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 JOINED = 400  # words in a text for the library
 
 BLOCK = "first_id long, doc_id array<long>, n_tokens array<long>, n_ids long, codes binary"
@@ -104,16 +99,6 @@ class Codes:
         return out
 
 
-def words(text: str) -> list[str] | None:
-    """The text split at spaces, where the pre-tokenizer also cuts; None if white space beside a space forbids it.
-
-    All words but the first stand for themselves with the space before them."""
-    for x in UNSAFE:
-        if x in text:
-            return None
-    return None if RARE.search(text) else text.split(" ")
-
-
 class Encoder:
     """Ids of texts by the tokenizers library; it encodes each distinct word once while the worker remembers it."""
 
@@ -125,7 +110,7 @@ class Encoder:
 
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.known: dict[str, bytes] = {}
+        self.known: dict[int, bytes] = {}  # by the hash of a word with a space before it
         vocab = self.model.get_vocab()
         self.opens = np.zeros(max(vocab.values()) + 1, bool)  # ids of tokens that begin with a space
         self.opens[[i for t, i in vocab.items() if t.startswith("\u0120")]] = True
@@ -133,39 +118,63 @@ class Encoder:
     def ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, "<u4").tobytes() for x in self.model.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(self, words: list[str]) -> None:
-        """Remember the ids of words with a space before them.
+    def words(self, words: list[str]) -> list[bytes]:
+        """Ids of words with a space before them.
 
         They are encoded as one text: a token that begins with a space begins the next word."""
-        if len(self.known) + len(words) > CACHED:
-            self.known.clear()
-        alone = [x for x in words if not x or x[-1].isspace()]
-        self.known.update(zip(alone, self.ids([" " + x for x in alone]), strict=True))
-        joined = [x for x in words if x and not x[-1].isspace()]
+        out: list[bytes] = [b""] * len(words)
+        joined = [i for i, x in enumerate(words) if not x[-1].isspace()]
+        alone = [i for i, x in enumerate(words) if x[-1].isspace()]
         parts = [joined[a : a + JOINED] for a in range(0, len(joined), JOINED)]
-        for part, raw in zip(parts, self.ids([" " + " ".join(x) for x in parts]), strict=True):
+        for part, raw in zip(parts, self.ids([" " + " ".join([words[i] for i in x]) for x in parts]), strict=True):
             at = np.nonzero(self.opens[np.frombuffer(raw, "<u4")])[0].tolist()
             if len(at) != len(part) or at[0]:
-                self.known.update(zip(part, self.ids([" " + x for x in part]), strict=True))
+                alone += part
                 continue
             at.append(len(raw) // 4)
-            self.known.update(zip(part, [raw[4 * a : 4 * b] for a, b in zip(at, at[1:], strict=False)], strict=True))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
-        cut = [words(x) for x in texts]
-        whole = [i for i, x in enumerate(cut) if x is None]
-        firsts = self.ids([texts[i] if x is None else x[0] for i, x in enumerate(cut)])
-        found = [list(map(self.known.get, x[1:])) if x is not None else [] for x in cut]
-        lack = {cut[i][k + 1] for i, x in enumerate(found) if None in x for k, v in enumerate(x) if v is None}
+            for i, a, b in zip(part, at, at[1:], strict=False):
+                out[i] = raw[4 * a : 4 * b]
+        for i, x in zip(alone, self.ids([" " + words[i] for i in alone]), strict=True):
+            out[i] = x
+        return out
+
+    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after the other, number of ids of each).
+
+        Texts are cut before single spaces, where the pre-tokenizer cuts too; texts with other white space beside a space go to the
+        library whole, and so does the first word of each text, which has no space before it."""
+        w = arrays.Words(column, arrays.BLANK)
+        whole = arrays.split_forbidden(w.data, w.texts)
+        n = len(whole)
+        text = np.repeat(np.arange(n), np.diff(w.bounds))
+        first = w.starts == w.texts[text] if len(text) else np.zeros(0, bool)
+        plain = np.flatnonzero(~first & ~whole[text]) if len(text) else np.zeros(0, np.int64)
+        one, number = arrays.distinct(w.hashes[plain])
+        keys = w.hashes[plain[one]].tolist()
+        found = list(map(self.known.get, keys))
+        lack = [i for i, v in enumerate(found) if v is None]
         if lack:
-            self.learn(list(lack))
-            known = self.known
-            for i, x in enumerate(found):
-                if None in x:
-                    found[i] = [known[w] if v is None else v for v, w in zip(x, cut[i][1:], strict=True)]
-        assert all(not found[i] for i in whole)
-        return [a + b"".join(x) for a, x in zip(firsts, found, strict=True)]
+            if len(self.known) + len(lack) > CACHED:
+                self.known.clear()
+            for i, x in zip(lack, self.words([w.string(k) for k in plain[one[lack]].tolist()]), strict=True):
+                found[i] = self.known[keys[i]] = x
+        # what each text begins with: its first word, or all of it
+        heads = []
+        starts = np.full(n, -1)
+        at = np.flatnonzero(first)
+        starts[text[at]] = w.ends[at]
+        for i, (a, b, end) in enumerate(zip(w.texts.tolist(), w.texts[1:].tolist(), starts.tolist(), strict=False)):
+            heads.append(w.data[a : b if whole[i] else max(a, end)].tobytes().decode("utf-8", "surrogatepass"))
+        heads = self.ids(heads)
+        flat = np.frombuffer(b"".join([*found, *heads]), "<u4")
+        sizes = np.fromiter(map(len, [*found, *heads]), np.int64, len(found) + n) // 4
+        # the lists in order: each text's head, then its words
+        owner = text[plain]
+        lists = np.empty(n + len(plain), np.int64)
+        lists[np.arange(n) + np.searchsorted(owner, np.arange(n))] = len(found) + np.arange(n)
+        lists[np.arange(len(plain)) + owner + 1] = number
+        ids, _ = arrays.gather(flat, sizes, lists)
+        return ids, sizes[len(found) :] + np.bincount(owner, sizes[number], n).astype(np.int64)
 
 
 _encoders: dict[str, Encoder] = {}
@@ -190,15 +199,14 @@ def write(docs: DataFrame, path: str, tokenizer: str = "byte_bpe_50k.json", end:
     ordered = common.only(docs, "doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tail, work = np.array([end], "<u4").tobytes(), encoder(tokenizer_path(tokenizer))
+        work = encoder(tokenizer_path(tokenizer))
         for batch in common.slices(batches, "text", BLOCK_BYTES):
-            texts = [x or "" for x in batch.column("text").to_pylist()]
-            coded = [x + tail for x in work.encode(texts)]
-            counts = [len(x) // 4 for x in coded]
-            ids = np.frombuffer(b"".join(coded), "<u4")
+            ids, counts = work.encode(batch.column("text"))
+            ids = np.insert(ids, np.cumsum(counts), end)
+            counts = counts + 1
             doc = batch.column("doc_id")
             yield pa.RecordBatch.from_arrays(
-                [doc.slice(0, 1), pa.array([doc.to_pylist()], pa.list_(pa.int64())), pa.array([counts], pa.list_(pa.int64())), pa.array([len(ids)], pa.int64()), pa.array([pack(ids, width)], pa.binary())],
+                [doc.slice(0, 1), pa.array([doc.to_pylist()], pa.list_(pa.int64())), pa.array([counts.tolist()], pa.list_(pa.int64())), pa.array([len(ids)], pa.int64()), pa.array([pack(ids, width)], pa.binary())],
                 names=["first_id", "doc_id", "n_tokens", "n_ids", "codes"],
             )
 
