@@ -4,7 +4,9 @@ Texts are cut into pieces by the tokenizer's pattern. Rows are taken in blocks;
 themselves go, as byte arrays, through Spark's higher-order functions: ``aggregate`` folds over the merge steps, each taking the
 adjacent pair of lowest rank from a literal rank map. The map is a row-displaced table: the merge of ids (a, b) stands at
 ``base[a] + b`` and carries a, so one look tells the rank or that there is none. The ids of the pieces are then put together for
-each text; decoding concatenates the ids' byte strings. Nothing is shuffled or collected; blocks bound the memory.
+each text; decoding concatenates the ids' byte strings. Texts are neither shuffled nor collected; blocks bound the memory. Of a
+larger table the pieces that are frequent in a bounded sample (FREQUENT of them at most, SAMPLE rows) are encoded once and
+broadcast; they save work alone, every other piece is encoded in its block.
 
 The fold is quadratic in a piece's length; pieces of over LONG bytes (a long run without a break) are merged by a heap instead.
 
@@ -26,13 +28,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import common
-from .binary_ids import tokenizer_path, words
+from . import arrays, common
+from .binary_ids import tokenizer_path
 
 LONG = 256  # bytes of a piece beyond which a heap merges it
 BLOCK_BYTES = 32 << 20  # UTF-8 bytes of text whose distinct pieces are encoded together
 IDS = 1 << 16  # more than any id
-NONE = 1 << 16  # the rank of a pair that doesn't merge
+NONE = IDS - 1  # the rank of a pair that doesn't merge
+SAMPLE = 16_000  # rows in which frequent pieces are counted
+FREQUENT = 300_000  # of them, and so of the broadcast table
 
 
 @functools.cache
@@ -98,142 +102,201 @@ def let(value: Column, body) -> Column:
 
 
 def fold(piece: Column, name: str) -> Column:
-    """Ids of a piece (array of signed bytes): the merges as a fold over the array, one for each step."""
+    """Ids of a piece (array of signed bytes): the merges as a fold over the array, one for each step.
+
+    The state is an array with one integer for each part, its pair's rank above its id: the least one is the pair to merge."""
     single, base, table = rank_table(name)
     start, bases, merges = literal(np.roll(single, 128), "int"), literal(base, "int"), literal(table, "bigint")
     edge = F.lit(len(base) - 1)  # an id that merges with nothing
+    half, low, none = F.lit(IDS // 2), F.lit(IDS - 1), F.lit((NONE - IDS // 2) << 16)
 
-    def rank(a: Column, b: Column) -> Column:
-        found = F.get(merges, F.get(bases, a) + b) - F.shiftleft(a.cast("bigint"), 16)
-        return F.least(found.bitwiseAND(F.lit((1 << 63) - 1)), F.lit(NONE)).cast("int")
+    def pair(a: Column, b: Column) -> Column:
+        rank = (F.get(merges, F.get(bases, a) + b) - F.shiftleft(a.cast("bigint"), 16)).bitwiseAND(F.lit((1 << 63) - 1))
+        return F.shiftleft(F.least(rank, F.lit(NONE)).cast("int") - half, 16).bitwiseOR(a)
 
     def step(state: Column, _: Column) -> Column:
-        ids, ranks = state["ids"], state["ranks"]
-
-        def joined(m: Column) -> Column:
+        def merged(least: Column) -> Column:
             def at(p: Column) -> Column:
-                left = rank(F.get(ids, p - 2), m)
-                right = rank(m, F.get(ids, p + 1))
-                return F.struct(
-                    F.concat(F.slice(ids, F.lit(1), p - 1), F.array(m), F.slice(ids, p + 2, F.size(ids))).alias("ids"),
-                    F.concat(F.slice(ranks, F.lit(1), p - 2), F.array(left, right), F.slice(ranks, p + 2, F.size(ranks))).alias("ranks"),
-                )
-
-            return F.when(m >= NONE, state).otherwise(let(F.array_position(ranks, m).cast("int"), at))
+                both = F.shiftright(least, 16) + half
+                left, right = F.get(state, p - 2).bitwiseAND(low), F.get(state, p + 1).bitwiseAND(low)
+                return F.concat(F.slice(state, F.lit(1), p - 2), F.array(pair(left, both), pair(both, right)), F.slice(state, p + 2, F.lit(1 << 20)))
 
-        return let(F.array_min(ranks), joined)
+            return F.when(least >= none, state).otherwise(let(F.array_position(state, least).cast("int"), at))
 
-    ids = F.concat(F.array(edge), F.transform(piece, lambda b: F.get(start, b.cast("int") + 128)), F.array(edge))
+        return let(F.array_min(state), merged)
 
     def run(ids: Column) -> Column:
-        ranks = F.transform(F.sequence(F.lit(0), F.size(ids) - 2), lambda i: rank(F.get(ids, i), F.get(ids, i + 1)))
-        first = F.struct(ids.alias("ids"), ranks.alias("ranks"))
-        return F.aggregate(F.sequence(F.lit(2), F.size(piece)), first, step, lambda s: F.slice(s["ids"], F.lit(2), F.size(s["ids"]) - 2))
+        first = F.transform(F.slice(ids, F.lit(1), F.size(ids) - 1), lambda a, i: pair(a, F.get(ids, i + 1)))
+        return F.aggregate(piece, first, step, lambda e: F.transform(F.slice(e, F.lit(2), F.size(e) - 2), lambda x: x.bitwiseAND(low)))
 
-    return F.when(F.size(piece) < 2, F.slice(ids, F.lit(2), F.size(piece))).otherwise(let(ids, run))
+    return let(F.concat(F.array(edge), F.transform(piece, lambda b: F.get(start, b.cast("int") + 128)), F.array(edge, edge)), run)
 
 
-def blocks(df: DataFrame, name: str) -> DataFrame:
-    """One row a block: its rows (Arrow IPC), each text's piece codes, and the pieces that the codes from IDS on stand for."""
+class Pieces:
+    """Piece codes of texts: an id itself, IDS + number of a frequent piece, or beyond these the number of a piece in fresh."""
+
+    def __init__(self, name: str, pattern: str, frequent: dict[bytes, int]):
+        import regex
+
+        self.find, self.ranks, self.frequent = regex.compile(pattern).findall, load_ranks(name), frequent
+        self.known: dict[int, bytes] = {}
+        self.fresh: dict[bytes, int] = {}
+
+    def code(self, piece: bytes) -> int:
+        found = self.ranks.get(piece)
+        if found is None:
+            found = self.frequent.get(piece)
+            if found is None:
+                found = self.fresh.setdefault(piece, IDS + len(self.frequent) + len(self.fresh))
+        return found
+
+    def codes(self, text: str) -> bytes:
+        return np.array([self.code(x.encode("utf-8", "surrogatepass")) for x in self.find(text)], "<i4").tobytes()
+
+    def of(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(codes of all texts one after the other, number of each); cut before single spaces, where the pattern cuts too."""
+        w = arrays.Words(column, arrays.BLANK)
+        whole = arrays.split_forbidden(w.data, w.texts)
+        n = len(whole)
+        text = np.repeat(np.arange(n), np.diff(w.bounds))
+        first = w.starts == w.texts[text]
+        plain = np.flatnonzero(~first & ~whole[text])
+        one, number = arrays.distinct(w.hashes[plain])
+        keys = w.hashes[plain[one]].tolist()
+        found = list(map(self.known.get, keys))
+        for i, v in enumerate(found):
+            if v is None:
+                found[i] = self.known[keys[i]] = self.codes(" " + w.string(plain[one[i]]))
+        stops = w.texts[:-1].copy()
+        at = np.flatnonzero(first)
+        stops[text[at]] = w.ends[at]
+        stops[whole] = w.texts[1:][whole]
+        heads = [self.codes(w.data[a:b].tobytes().decode("utf-8", "surrogatepass")) for a, b in zip(w.texts.tolist(), stops.tolist(), strict=False)]
+        flat = np.frombuffer(b"".join([*found, *heads]), "<i4")
+        sizes = np.fromiter(map(len, [*found, *heads]), np.int64, len(found) + n) // 4
+        owner = text[plain]
+        lists = np.empty(n + len(plain), np.int64)
+        lists[np.arange(n) + np.searchsorted(owner, np.arange(n))] = len(found) + np.arange(n)
+        lists[np.arange(len(plain)) + owner + 1] = number
+        return arrays.gather(flat, sizes, lists)[0], sizes[len(found) :] + np.bincount(owner, sizes[number], n).astype(np.int64)
+
+    def column(self, name: str) -> pa.Array:
+        """The fresh pieces as structs of bytes, or of ids for those that are long."""
+        fresh = list(self.fresh)
+        small = [b"" if len(x) > LONG else x for x in fresh]
+        stops = np.concatenate(([0], np.cumsum([len(x) for x in small]))).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(stops), pa.array(np.frombuffer(b"".join(small), np.int8), pa.int8()))
+        large = pa.array([[self.ranks[y] for y in merge(x, self.ranks)] if len(x) > LONG else None for x in fresh], pa.list_(pa.int32()))
+        return pa.StructArray.from_arrays([lists, large], names=["bytes", "ids"])
+
+
+PIECE = "struct<bytes: array<tinyint>, ids: array<int>>"
+
+
+def piece_ids(piece: Column, name: str) -> Column:
+    return F.when(piece["ids"].isNotNull(), piece["ids"]).otherwise(fold(piece["bytes"], name))
+
+
+def frequent_pieces(df: DataFrame, name: str, sample: int = SAMPLE, most: int = FREQUENT) -> tuple[list[bytes], list[list[int]]]:
+    """Pieces that come most often in a bounded sample of the texts, and their ids."""
     import public_tokenizers
 
-    pattern = public_tokenizers.PATTERN
+    pattern, n = public_tokenizers.PATTERN, df.count()
+    if n <= sample:
+        return [], []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import regex
+        for batch in common.slices(batches, "text", BLOCK_BYTES // 4):
+            p = Pieces(name, pattern, {})
+            codes, _ = p.of(batch.column("text"))
+            count = np.bincount(codes, minlength=IDS + len(p.fresh))[IDS:]
+            yield pa.RecordBatch.from_arrays([pa.array(list(p.fresh), pa.binary()), p.column(name), pa.array(count, pa.int64())], names=["piece", "made", "n"])
+
+    some = df.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 24)) < int(sample / n * (1 << 24))).select("text")
+    counts = some.mapInArrow(run, f"piece binary, made {PIECE}, n long").groupBy("piece").agg(F.sum("n").alias("n"), F.any_value("made").alias("made"))
+    top = counts.orderBy(F.desc("n"), "piece").limit(most).repartition(max(8, df.sparkSession.sparkContext.defaultParallelism))
+    found = top.select("piece", piece_ids(F.col("made"), name).alias("ids")).toArrow()
+    return found.column("piece").to_pylist(), found.column("ids").to_pylist()
 
-        find, ranks = regex.compile(pattern).findall, load_ranks(name)
+
+def blocks(df: DataFrame, name: str, frequent) -> DataFrame:
+    """One row a block: its rows (Arrow IPC) with each text's piece codes, and the pieces that the codes beyond the frequent stand for."""
+    import public_tokenizers
+
+    pattern = public_tokenizers.PATTERN
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers = {x: IDS + i for i, x in enumerate(frequent.value[0])}
         for batch in common.slices(batches, "text", BLOCK_BYTES):
-            pieces: dict[str, int] = {}
-            known: dict[str, bytes] = {}
-            fresh: list[bytes] = []
-
-            def code(piece: str, pieces=pieces, fresh=fresh) -> int:
-                found = pieces.get(piece)
-                if found is None:
-                    raw = piece.encode()
-                    found = ranks.get(raw)
-                    if found is None:
-                        found = IDS + len(fresh)
-                        fresh.append(raw)
-                    pieces[piece] = found
-                return found
-
-            def codes(text: str, code=code) -> bytes:
-                return np.array([code(x) for x in find(text)], "<i4").tobytes()
-
-            coded = []
-            for text in batch.column("text").to_pylist():
-                text = text or ""
-                cut = words(text)
-                if cut is None:
-                    coded.append(codes(text))
-                    continue
-                found = list(map(known.get, cut[1:]))
-                if None in found:
-                    for i, v in enumerate(found):
-                        if v is None:
-                            w = cut[i + 1]
-                            found[i] = known.get(w) or known.setdefault(w, codes(" " + w))
-                coded.append(codes(cut[0]) + b"".join(found))
+            p = Pieces(name, pattern, numbers)
             sink = pa.BufferOutputStream()
-            rest = batch.drop_columns(["text"])
-            with pa.ipc.new_stream(sink, rest.schema) as w:
-                w.write_batch(rest)
-            small = [None if len(x) > LONG else x for x in fresh]
-            flat = np.frombuffer(b"".join(x or b"" for x in small), np.int8)
-            stops = np.concatenate(([0], np.cumsum([len(x or b"") for x in small]))).astype(np.int32)
-            arrays = pa.ListArray.from_arrays(pa.array(stops), pa.array(flat, pa.int8()))
-            large = [[ranks[y] for y in merge(x, ranks)] if len(x) > LONG else None for x in fresh]
-            structs = pa.StructArray.from_arrays([arrays, pa.array(large, pa.list_(pa.int32()))], names=["bytes", "ids"])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([sink.getvalue().to_pybytes()], pa.binary()), pa.array([coded], pa.list_(pa.binary())), pa.ListArray.from_arrays(pa.array([0, len(fresh)], pa.int32()), structs)],
-                names=["rest", "codes", "pieces"],
-            )
-
-    return df.mapInArrow(run, "rest binary, codes array<binary>, pieces array<struct<bytes: array<tinyint>, ids: array<int>>>")
+            writer = None
+            for part in common.slices([batch], "text"):
+                codes, n = p.of(part.column("text"))
+                stops = np.concatenate(([0], np.cumsum(n))).astype(np.int32)
+                rest = part.drop_columns(["text"])
+                rest = pa.RecordBatch.from_arrays([*rest.columns, pa.ListArray.from_arrays(pa.array(stops), pa.array(codes))], names=[*rest.schema.names, "__codes"])
+                writer = writer or pa.ipc.new_stream(sink, rest.schema)
+                writer.write_batch(rest)
+            writer.close()
+            yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary()), pa.ListArray.from_arrays(pa.array([0, len(p.fresh)], pa.int32()), p.column(name))], names=["rest", "pieces"])
+
+    return df.mapInArrow(run, f"rest binary, pieces array<{PIECE}>")
 
 
 def encode(df: DataFrame, name: str = "byte_bpe_50k.tiktoken", finish: tuple | None = None) -> DataFrame:
     """df (with a column text) without text, with ids binary: each text's ids as little-endian unsigned 32-bit integers.
 
-    finish: instead, (columns' schema, function of the list of ids' bytes to lists of values), for what needs no ids afterwards."""
-    spark = df.sparkSession
-    added = T._parse_datatype_string(finish[0]) if finish else T._parse_datatype_string("ids binary")
-    make = finish[1] if finish else lambda ids: [ids]
+    finish: instead, (columns' schema, function of the ids of many texts and their numbers to lists of values), for what needs no
+    ids afterwards."""
+    added = T._parse_datatype_string(finish[0] if finish else "ids binary")
+    make = finish[1] if finish else lambda ids, n: [cut(ids, n)]
     df = df.drop(*[f.name for f in added])
     schema = T.StructType([*df.drop("text").schema.fields, *added.fields])
-    kinds = [{"long": pa.int64(), "bigint": pa.int64(), "string": pa.string(), "binary": pa.binary()}[f.dataType.simpleString()] for f in added]
-    coded = blocks(df, name).withColumn("ids", F.transform("pieces", lambda x: F.when(x["ids"].isNotNull(), x["ids"]).otherwise(fold(x["bytes"], name)))).drop("pieces")
-    assert spark
+    kinds = [{"bigint": pa.int64(), "string": pa.string(), "binary": pa.binary()}[f.dataType.simpleString()] for f in added]
+    frequent = df.sparkSession.sparkContext.broadcast(frequent_pieces(df, name))  # FREQUENT pieces at most
+    coded = blocks(df, name, frequent).select("rest", F.transform("pieces", lambda x: piece_ids(x, name)).alias("ids"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = [np.array([i], "<u4").tobytes() for i in range(IDS)]
+        made = frequent.value[1]
+        head = np.concatenate((np.arange(IDS, dtype=np.uint32), np.array([i for x in made for i in x], np.uint32)))
+        head_sizes = np.concatenate((np.ones(IDS, np.int64), np.fromiter(map(len, made), np.int64, len(made))))
         for batch in batches:
             for k in range(batch.num_rows):
-                lists = batch.column("ids")[k].values
-                flat, stops = np.asarray(lists.values, "<u4").tobytes() if len(lists) else b"", 4 * np.asarray(lists.offsets, np.int64) if len(lists) else np.zeros(1, np.int64)
-                stops = (stops - stops[0]).tolist() if not len(lists) else stops.tolist()
-                table = tokens + [flat[a:b] for a, b in zip(stops, stops[1:], strict=False)]
-                ids = [b"".join(map(table.__getitem__, np.frombuffer(x, "<i4").tolist())) for x in batch.column("codes")[k].as_py()]
-                rest = next(iter(pa.ipc.open_stream(batch.column("rest")[k].as_py())))
-                found = make(ids)
-                yield pa.RecordBatch.from_arrays([*rest.columns, *[pa.array(x, kind) for x, kind in zip(found, kinds, strict=True)]], names=[f.name for f in schema])
+                lists = batch.column("ids").slice(k, 1).flatten()
+                flat = np.concatenate((head, np.asarray(lists.flatten(), np.uint32)))
+                sizes = np.concatenate((head_sizes, np.asarray(lists.value_lengths(), np.int64)))
+                for rest in pa.ipc.open_stream(batch.column("rest")[k].as_py()):
+                    codes = rest.column("__codes")
+                    ids, each = arrays.gather(flat, sizes, np.asarray(codes.flatten(), np.int64))
+                    n = arrays.sums(each, np.concatenate(([0], np.cumsum(np.asarray(codes.value_lengths(), np.int64)))))
+                    found = make(ids, n)
+                    yield pa.RecordBatch.from_arrays([*rest.drop_columns(["__codes"]).columns, *[pa.array(x, kind) for x, kind in zip(found, kinds, strict=True)]], names=[f.name for f in schema])
 
     return coded.mapInArrow(run, schema)
 
 
+def cut(ids: np.ndarray, n: np.ndarray) -> list[bytes]:
+    """The ids of each text as little-endian unsigned 32-bit integers."""
+    raw, stops = ids.astype("<u4").tobytes(), (4 * np.cumsum([0, *n])).tolist()
+    return [raw[a:b] for a, b in zip(stops, stops[1:], strict=False)]
+
+
 @functools.cache
-def token_bytes(name: str) -> list[bytes]:
+def token_bytes(name: str) -> tuple[np.ndarray, np.ndarray]:
+    """(the byte strings of all ids one after the other, their lengths)."""
     out = [b""] * IDS
     for token, rank in load_ranks(name).items():
         out[rank] = token
-    return out
+    return np.frombuffer(b"".join(out), np.uint8), np.fromiter(map(len, out), np.int64, IDS)
 
 
-def decode_ids(ids: bytes, name: str) -> bytes:
-    """The byte strings of ids, concatenated."""
-    return b"".join(map(token_bytes(name).__getitem__, np.frombuffer(ids, "<u4").tolist()))
+def decode_ids(ids: np.ndarray, n: np.ndarray, name: str) -> list[bytes]:
+    """The byte strings of each text's ids, concatenated."""
+    data, each = arrays.gather(*token_bytes(name), ids.astype(np.int64))
+    raw = data.tobytes()
+    stops = np.concatenate(([0], np.cumsum(arrays.sums(each, np.concatenate(([0], np.cumsum(n))))))).tolist()
+    return [raw[a:b] for a, b in zip(stops, stops[1:], strict=False)]
 
 
 def decode(df: DataFrame, ids: str = "ids", out: str = "decoded", name: str = "byte_bpe_50k.tiktoken") -> DataFrame:
@@ -243,7 +306,8 @@ def decode(df: DataFrame, ids: str = "ids", out: str = "decoded", name: str = "b
 
     def run(batches):
         for batch in batches:
-            found = [decode_ids(x or b"", name) for x in batch.column(ids).to_pylist()]
+            raw = [x or b"" for x in batch.column(ids).to_pylist()]
+            found = decode_ids(np.frombuffer(b"".join(raw), "<u4"), np.array([len(x) // 4 for x in raw], np.int64), name)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.binary())], names=[f.name for f in schema])
 
     return df.mapInArrow(run, schema)
@@ -252,12 +316,11 @@ def decode(df: DataFrame, ids: str = "ids", out: str = "decoded", name: str = "b
 DIGESTS = "n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
-def digests(ids: list[bytes], name: str) -> list[list]:
+def digests(ids: np.ndarray, n: np.ndarray, name: str) -> list:
     """Lengths, digests of the decimal ids, and digests of the bytes they decode to."""
-    decimal = decimals()
-    numbers = [np.frombuffer(x, "<u4").tolist() for x in ids]
-    pieces = token_bytes(name)
-    return [[len(x) for x in numbers], [hashlib.sha256(" ".join(map(decimal.__getitem__, x)).encode()).hexdigest() for x in numbers], [hashlib.sha256(b"".join(map(pieces.__getitem__, x))).hexdigest() for x in numbers]]
+    decimal = list(map(decimals().__getitem__, ids.tolist()))
+    stops = np.cumsum([0, *n]).tolist()
+    return [n, [hashlib.sha256(" ".join(decimal[a:b]).encode()).hexdigest() for a, b in zip(stops, stops[1:], strict=False)], [hashlib.sha256(x).hexdigest() for x in decode_ids(ids, n, name)]]
 
 
 @functools.cache
@@ -269,9 +332,9 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text of documents encoded by the ranks, and decoded again; digests of both."""
     name = "byte_bpe_50k.tiktoken"
     docs = common.only(common.table(spark, sf_dir, "documents"), "doc_id", "text")
-    return encode(docs, name, (DIGESTS, lambda ids: digests(ids, name)))
+    return encode(docs, name, (DIGESTS, lambda ids, n: digests(ids, n, name)))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: every document's ids and their number instead of its text."""
-    return encode(docs, finish=("ids binary, n_tokens long", lambda ids: [ids, [len(x) // 4 for x in ids]]))
+    return encode(docs, finish=("ids binary, n_tokens long", lambda ids, n: [cut(ids, n), n]))
