@@ -1,12 +1,13 @@
 """The queries of the training-data operators and the DuckDB SQL of those that SQL can express."""
 
-from . import binary_ids, bpe, langid, media, mixing, quality
+from . import binary_ids, bpe, langid, media, mixing, near_dedup, quality
 
 QUERIES: dict = {
     "op1_language_id": langid.op1_language_id,
     "op2_token_ids": binary_ids.op2_token_ids,
     "op3_byte_bpe": bpe.op3_byte_bpe,
     "op4_quality_rules": quality.op4_quality_rules,
+    "op5_near_dedup": near_dedup.op5_near_dedup,
     "op9_mixing": mixing.op9_mixing,
     "op10_media_columns": media.op10_media_columns,
 }
