@@ -101,14 +101,49 @@ def distinct(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order[fresh], inverse
 
 
+def take(flat: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The spans of flat that begin at first and are size long, one after the other."""
+    stops = np.cumsum(size)
+    total = int(stops[-1]) if len(stops) else 0
+    return flat[np.arange(total) + np.repeat(first - (stops - size), size)]
+
+
 def gather(flat: np.ndarray, sizes: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(the values of the chosen lists one after the other, the sizes of the chosen); the lists are sizes long and lie in flat in order."""
-    first = np.concatenate(([0], np.cumsum(sizes)[:-1])) if len(sizes) else np.zeros(0, np.int64)
-    n = sizes[chosen]
-    stops = np.cumsum(n)
-    total = int(stops[-1]) if len(stops) else 0
-    at = np.arange(total) + np.repeat(first[chosen] - (stops - n), n)
-    return flat[at], n
+    first = np.cumsum(sizes) - sizes
+    return take(flat, first[chosen], sizes[chosen]), sizes[chosen]
+
+
+class Store:
+    """Lists of integers by 64-bit key, in arrays: sorted keys, and for each where its list lies in one flat array."""
+
+    def __init__(self, kind: str, most: int):
+        self.kind, self.most = kind, most
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys, self.first, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.flat, self.used = np.zeros(1 << 16, self.kind), 0
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place of each key, whether it is there)."""
+        at = np.searchsorted(self.keys, keys)
+        there = np.zeros(len(keys), bool)
+        inside = at < len(self.keys)
+        there[inside] = self.keys[at[inside]] == keys[inside]
+        return at, there
+
+    def add(self, keys: np.ndarray, flat: np.ndarray, size: np.ndarray) -> None:
+        """Add lists under new, ascending keys."""
+        if len(self.keys) + len(keys) > self.most:
+            self.clear()
+        at = np.searchsorted(self.keys, keys)
+        first = self.used + np.cumsum(size) - size
+        if self.used + len(flat) > len(self.flat):
+            self.flat = np.concatenate((self.flat[: self.used], np.zeros(self.used + 2 * len(flat), self.kind)))
+        self.flat[self.used : self.used + len(flat)] = flat
+        self.used += len(flat)
+        self.keys, self.first, self.size = np.insert(self.keys, at, keys), np.insert(self.first, at, first), np.insert(self.size, at, size)
 
 
 def sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:

@@ -30,7 +30,7 @@ END = 0  # the id appended to each document
 WIDTH = 8  # bits of an id in each level
 RANK_BITS = 512  # bits of a bitmap between entries of its rank directory
 BLOCK_BYTES = 4 << 20  # UTF-8 bytes of text in a block; one longer text makes a block of its own
-CACHED = 700_000  # words whose ids a worker remembers
+CACHED = 3_000_000  # words whose ids a worker remembers, some 30 bytes each
 
 JOINED = 400  # words in a text for the library
 
@@ -110,7 +110,7 @@ class Encoder:
 
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.known: dict[int, bytes] = {}  # by the hash of a word with a space before it
+        self.known = arrays.Store("<u4", CACHED)  # by the hash of a word with a space before it
         vocab = self.model.get_vocab()
         self.opens = np.zeros(max(vocab.values()) + 1, bool)  # ids of tokens that begin with a space
         self.opens[[i for t, i in vocab.items() if t.startswith("\u0120")]] = True
@@ -118,25 +118,43 @@ class Encoder:
     def ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, "<u4").tobytes() for x in self.model.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def words(self, words: list[str]) -> list[bytes]:
-        """Ids of words with a space before them.
-
-        They are encoded as one text: a token that begins with a space begins the next word."""
-        out: list[bytes] = [b""] * len(words)
-        joined = [i for i, x in enumerate(words) if not x[-1].isspace()]
-        alone = [i for i, x in enumerate(words) if x[-1].isspace()]
-        parts = [joined[a : a + JOINED] for a in range(0, len(joined), JOINED)]
-        for part, raw in zip(parts, self.ids([" " + " ".join([words[i] for i in x]) for x in parts]), strict=True):
-            at = np.nonzero(self.opens[np.frombuffer(raw, "<u4")])[0].tolist()
-            if len(at) != len(part) or at[0]:
-                alone += part
-                continue
-            at.append(len(raw) // 4)
-            for i, a, b in zip(part, at, at[1:], strict=False):
-                out[i] = raw[4 * a : 4 * b]
-        for i, x in zip(alone, self.ids([" " + words[i] for i in alone]), strict=True):
-            out[i] = x
-        return out
+    def flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        raw = self.ids(texts)
+        return np.frombuffer(b"".join(raw), "<u4"), np.fromiter(map(len, raw), np.int64, len(raw)) // 4
+
+    def words(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number of each) of the words at these places, with the space before each.
+
+        JOINED words make a text for the library: a token that begins with a space begins the next word. Where the numbers don't
+        agree, and for words that end in white space, each is encoded alone."""
+        alone = arrays.WHITE[data[ends - 1]]
+        safe = np.flatnonzero(~alone)
+        size = ends[safe] - starts[safe] + 1
+        joined = arrays.take(data, starts[safe] - 1, size).tobytes()
+        stops = np.concatenate(([0], np.cumsum(size)))[::JOINED].tolist()
+        stops += [len(joined)] * (stops[-1] != len(joined))
+        ids, each = self.flat([joined[a:b].decode("utf-8", "surrogatepass") for a, b in zip(stops, stops[1:], strict=False)])
+        opens = self.opens[ids]
+        made = arrays.sums(opens.astype(np.int64), np.concatenate(([0], np.cumsum(each))))
+        asked = np.diff(np.append(np.arange(0, len(safe), JOINED), len(safe)))
+        begins = opens[np.cumsum(each) - each] if len(each) else np.zeros(0, bool)
+        good = (made == asked) & begins
+        counts = np.zeros(len(starts), np.int64)
+        right = np.repeat(good, asked)
+        alone[safe[~right]] = True
+        kept = np.repeat(good, each)
+        ids = ids[kept]
+        at = np.flatnonzero(opens[kept])
+        counts[safe[right]] = np.diff(np.append(at, len(ids)))
+        rest = np.flatnonzero(alone)
+        if not len(rest):
+            return ids, counts
+        more, n = self.flat([data[a - 1 : b].tobytes().decode("utf-8", "surrogatepass") for a, b in zip(starts[rest].tolist(), ends[rest].tolist(), strict=True)])
+        counts[rest] = n
+        out = np.empty(int(counts.sum()), "<u4")
+        of_rest = np.repeat(alone, counts)
+        out[of_rest], out[~of_rest] = more, ids
+        return out, counts
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after the other, number of ids of each).
@@ -147,34 +165,35 @@ class Encoder:
         whole = arrays.split_forbidden(w.data, w.texts)
         n = len(whole)
         text = np.repeat(np.arange(n), np.diff(w.bounds))
-        first = w.starts == w.texts[text] if len(text) else np.zeros(0, bool)
-        plain = np.flatnonzero(~first & ~whole[text]) if len(text) else np.zeros(0, np.int64)
+        first = w.starts == w.texts[text]
+        plain = np.flatnonzero(~first & ~whole[text])
         one, number = arrays.distinct(w.hashes[plain])
-        keys = w.hashes[plain[one]].tolist()
-        found = list(map(self.known.get, keys))
-        lack = [i for i, v in enumerate(found) if v is None]
-        if lack:
-            if len(self.known) + len(lack) > CACHED:
+        one = plain[one]
+        keys = w.hashes[one]
+        _, there = self.known.find(keys)
+        if not there.all():
+            if len(self.known.keys) + len(keys) > CACHED:
                 self.known.clear()
-            for i, x in zip(lack, self.words([w.string(k) for k in plain[one[lack]].tolist()]), strict=True):
-                found[i] = self.known[keys[i]] = x
+                there[:] = False
+            new = one[~there]
+            self.known.add(keys[~there], *self.words(w.data, w.starts[new], w.ends[new]))
+        at, there = self.known.find(keys)
+        assert there.all()
         # what each text begins with: its first word, or all of it
-        heads = []
-        starts = np.full(n, -1)
-        at = np.flatnonzero(first)
-        starts[text[at]] = w.ends[at]
-        for i, (a, b, end) in enumerate(zip(w.texts.tolist(), w.texts[1:].tolist(), starts.tolist(), strict=False)):
-            heads.append(w.data[a : b if whole[i] else max(a, end)].tobytes().decode("utf-8", "surrogatepass"))
-        heads = self.ids(heads)
-        flat = np.frombuffer(b"".join([*found, *heads]), "<u4")
-        sizes = np.fromiter(map(len, [*found, *heads]), np.int64, len(found) + n) // 4
+        stops = w.texts[:-1].copy()
+        at_first = np.flatnonzero(first)
+        stops[text[at_first]] = w.ends[at_first]
+        stops[whole] = w.texts[1:][whole]
+        heads, head_n = self.flat([w.data[a:b].tobytes().decode("utf-8", "surrogatepass") for a, b in zip(w.texts.tolist(), stops.tolist(), strict=False)])
         # the lists in order: each text's head, then its words
         owner = text[plain]
-        lists = np.empty(n + len(plain), np.int64)
-        lists[np.arange(n) + np.searchsorted(owner, np.arange(n))] = len(found) + np.arange(n)
-        lists[np.arange(len(plain)) + owner + 1] = number
-        ids, _ = arrays.gather(flat, sizes, lists)
-        return ids, sizes[len(found) :] + np.bincount(owner, sizes[number], n).astype(np.int64)
+        spans_first, spans_size = np.empty(n + len(plain), np.int64), np.empty(n + len(plain), np.int64)
+        head_at, word_at = np.arange(n) + np.searchsorted(owner, np.arange(n)), np.arange(len(plain)) + owner + 1
+        base = self.known.used
+        spans_first[head_at], spans_size[head_at] = base + np.cumsum(head_n) - head_n, head_n
+        spans_first[word_at], spans_size[word_at] = self.known.first[at][number], self.known.size[at][number]
+        ids = arrays.take(np.concatenate((self.known.flat[:base], heads)), spans_first, spans_size)
+        return ids, head_n + np.bincount(owner, spans_size[word_at], n).astype(np.int64)
 
 
 _encoders: dict[str, Encoder] = {}
