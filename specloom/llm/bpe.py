@@ -32,11 +32,12 @@ from . import arrays, common
 from .binary_ids import tokenizer_path
 
 LONG = 256  # bytes of a piece beyond which a heap merges it
-BLOCK_BYTES = 32 << 20  # UTF-8 bytes of text whose distinct pieces are encoded together
+BLOCK_BYTES = 8 << 20  # UTF-8 bytes of text whose distinct pieces are encoded together
+SLICE_BYTES = 2 << 20  # of them at a time
 IDS = 1 << 16  # more than any id
 NONE = IDS - 1  # the rank of a pair that doesn't merge
 SAMPLE = 16_000  # rows in which frequent pieces are counted
-FREQUENT = 300_000  # of them, and so of the broadcast table
+FREQUENT = 150_000  # of them, and so of the broadcast table
 
 
 @functools.cache
@@ -132,26 +133,60 @@ def fold(piece: Column, name: str) -> Column:
     return let(F.concat(F.array(edge), F.transform(piece, lambda b: F.get(start, b.cast("int") + 128)), F.array(edge, edge)), run)
 
 
+class Numbers(dict):
+    """Piece -> code; an unknown piece gets the next number and is appended to fresh."""
+
+    def __init__(self, known: list[dict[str, int]], first: int):
+        self.known, self.first, self.fresh = known, first, []
+
+    def __missing__(self, piece: str) -> int:
+        for known in self.known:
+            if (found := known.get(piece)) is not None:
+                break
+        else:
+            found = self.first + len(self.fresh)
+            self.fresh.append(piece.encode("utf-8", "surrogatepass"))
+        self[piece] = found
+        return found
+
+
 class Pieces:
     """Piece codes of texts: an id itself, IDS + number of a frequent piece, or beyond these the number of a piece in fresh."""
 
-    def __init__(self, name: str, pattern: str, frequent: dict[bytes, int]):
+    def __init__(self, name: str, pattern: str, frequent: dict[str, int]):
         import regex
 
-        self.find, self.ranks, self.frequent = regex.compile(pattern).findall, load_ranks(name), frequent
-        self.known: dict[int, bytes] = {}
-        self.fresh: dict[bytes, int] = {}
-
-    def code(self, piece: bytes) -> int:
-        found = self.ranks.get(piece)
-        if found is None:
-            found = self.frequent.get(piece)
-            if found is None:
-                found = self.fresh.setdefault(piece, IDS + len(self.frequent) + len(self.fresh))
-        return found
-
-    def codes(self, text: str) -> bytes:
-        return np.array([self.code(x.encode("utf-8", "surrogatepass")) for x in self.find(text)], "<i4").tobytes()
+        self.name, self.find = name, regex.compile(pattern).findall
+        self.numbers = Numbers([token_strings(name), frequent], IDS + len(frequent))
+        self.known = arrays.Store("<i4", 1 << 30)
+
+    @property
+    def fresh(self) -> list[bytes]:
+        return self.numbers.fresh
+
+    def codes(self, text: str) -> list[int]:
+        return list(map(self.numbers.__getitem__, self.find(text)))
+
+    def words(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(codes, number of each) of words with the space before them: a piece that begins with a space begins the next word."""
+        alone = arrays.WHITE[data[ends - 1]]
+        safe = np.flatnonzero(~alone)
+        pieces = self.find(arrays.take(data, starts[safe] - 1, ends[safe] - starts[safe] + 1).tobytes().decode("utf-8", "surrogatepass"))
+        opens = np.flatnonzero(np.fromiter([x[0] == " " for x in pieces], bool, len(pieces)))
+        if len(opens) != len(safe):
+            raise ValueError("the pattern does not cut before single spaces")
+        codes = np.fromiter(map(self.numbers.__getitem__, pieces), "<i4", len(pieces))
+        counts = np.zeros(len(starts), np.int64)
+        counts[safe] = np.diff(np.append(opens, len(pieces)))
+        rest = np.flatnonzero(alone)
+        if not len(rest):
+            return codes, counts
+        more = [self.codes(data[a - 1 : b].tobytes().decode("utf-8", "surrogatepass")) for a, b in zip(starts[rest].tolist(), ends[rest].tolist(), strict=True)]
+        counts[rest] = list(map(len, more))
+        out = np.empty(int(counts.sum()), "<i4")
+        of_rest = np.repeat(alone, counts)
+        out[of_rest], out[~of_rest] = [x for y in more for x in y], codes
+        return out, counts
 
     def of(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(codes of all texts one after the other, number of each); cut before single spaces, where the pattern cuts too."""
@@ -162,34 +197,50 @@ class Pieces:
         first = w.starts == w.texts[text]
         plain = np.flatnonzero(~first & ~whole[text])
         one, number = arrays.distinct(w.hashes[plain])
-        keys = w.hashes[plain[one]].tolist()
-        found = list(map(self.known.get, keys))
-        for i, v in enumerate(found):
-            if v is None:
-                found[i] = self.known[keys[i]] = self.codes(" " + w.string(plain[one[i]]))
+        one = plain[one]
+        keys = w.hashes[one]
+        _, there = self.known.find(keys)
+        if not there.all():
+            new = one[~there]
+            self.known.add(keys[~there], *self.words(w.data, w.starts[new], w.ends[new]))
+        at, _ = self.known.find(keys)
         stops = w.texts[:-1].copy()
-        at = np.flatnonzero(first)
-        stops[text[at]] = w.ends[at]
+        at_first = np.flatnonzero(first)
+        stops[text[at_first]] = w.ends[at_first]
         stops[whole] = w.texts[1:][whole]
         heads = [self.codes(w.data[a:b].tobytes().decode("utf-8", "surrogatepass")) for a, b in zip(w.texts.tolist(), stops.tolist(), strict=False)]
-        flat = np.frombuffer(b"".join([*found, *heads]), "<i4")
-        sizes = np.fromiter(map(len, [*found, *heads]), np.int64, len(found) + n) // 4
+        head_n = np.fromiter(map(len, heads), np.int64, n)
         owner = text[plain]
-        lists = np.empty(n + len(plain), np.int64)
-        lists[np.arange(n) + np.searchsorted(owner, np.arange(n))] = len(found) + np.arange(n)
-        lists[np.arange(len(plain)) + owner + 1] = number
-        return arrays.gather(flat, sizes, lists)[0], sizes[len(found) :] + np.bincount(owner, sizes[number], n).astype(np.int64)
-
-    def column(self, name: str) -> pa.Array:
+        spans_first, spans_size = np.empty(n + len(plain), np.int64), np.empty(n + len(plain), np.int64)
+        head_at, word_at = np.arange(n) + np.searchsorted(owner, np.arange(n)), np.arange(len(plain)) + owner + 1
+        base = self.known.used
+        spans_first[head_at], spans_size[head_at] = base + np.cumsum(head_n) - head_n, head_n
+        spans_first[word_at], spans_size[word_at] = self.known.first[at][number], self.known.size[at][number]
+        codes = arrays.take(np.concatenate((self.known.flat[:base], np.array([x for y in heads for x in y], "<i4"))), spans_first, spans_size)
+        return codes, head_n + np.bincount(owner, spans_size[word_at], n).astype(np.int64)
+
+    def column(self) -> pa.Array:
         """The fresh pieces as structs of bytes, or of ids for those that are long."""
-        fresh = list(self.fresh)
-        small = [b"" if len(x) > LONG else x for x in fresh]
+        ranks = load_ranks(self.name)
+        small = [b"" if len(x) > LONG else x for x in self.fresh]
         stops = np.concatenate(([0], np.cumsum([len(x) for x in small]))).astype(np.int32)
         lists = pa.ListArray.from_arrays(pa.array(stops), pa.array(np.frombuffer(b"".join(small), np.int8), pa.int8()))
-        large = pa.array([[self.ranks[y] for y in merge(x, self.ranks)] if len(x) > LONG else None for x in fresh], pa.list_(pa.int32()))
+        large = pa.array([[ranks[y] for y in merge(x, ranks)] if len(x) > LONG else None for x in self.fresh], pa.list_(pa.int32()))
         return pa.StructArray.from_arrays([lists, large], names=["bytes", "ids"])
 
 
+@functools.cache
+def token_strings(name: str) -> dict[str, int]:
+    """The tokens that are text by themselves."""
+    out = {}
+    for token, rank in load_ranks(name).items():
+        try:
+            out[token.decode()] = rank
+        except UnicodeDecodeError:
+            pass
+    return out
+
+
 PIECE = "struct<bytes: array<tinyint>, ids: array<int>>"
 
 
@@ -197,26 +248,27 @@ def piece_ids(piece: Column, name: str) -> Column:
     return F.when(piece["ids"].isNotNull(), piece["ids"]).otherwise(fold(piece["bytes"], name))
 
 
-def frequent_pieces(df: DataFrame, name: str, sample: int = SAMPLE, most: int = FREQUENT) -> tuple[list[bytes], list[list[int]]]:
-    """Pieces that come most often in a bounded sample of the texts, and their ids."""
+def frequent_pieces(df: DataFrame, name: str, sample: int = SAMPLE, most: int = FREQUENT) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Pieces that come most often in a bounded sample of the texts, their ids one after the other, and the number of each."""
     import public_tokenizers
 
     pattern, n = public_tokenizers.PATTERN, df.count()
     if n <= sample:
-        return [], []
+        return [], np.zeros(0, np.uint32), np.zeros(0, np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.slices(batches, "text", BLOCK_BYTES // 4):
+        for batch in common.slices(batches, "text", SLICE_BYTES):
             p = Pieces(name, pattern, {})
             codes, _ = p.of(batch.column("text"))
             count = np.bincount(codes, minlength=IDS + len(p.fresh))[IDS:]
-            yield pa.RecordBatch.from_arrays([pa.array(list(p.fresh), pa.binary()), p.column(name), pa.array(count, pa.int64())], names=["piece", "made", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(p.fresh, pa.binary()), p.column(), pa.array(count, pa.int64())], names=["piece", "made", "n"])
 
     some = df.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 24)) < int(sample / n * (1 << 24))).select("text")
     counts = some.mapInArrow(run, f"piece binary, made {PIECE}, n long").groupBy("piece").agg(F.sum("n").alias("n"), F.any_value("made").alias("made"))
     top = counts.orderBy(F.desc("n"), "piece").limit(most).repartition(max(8, df.sparkSession.sparkContext.defaultParallelism))
     found = top.select("piece", piece_ids(F.col("made"), name).alias("ids")).toArrow()
-    return found.column("piece").to_pylist(), found.column("ids").to_pylist()
+    ids = found.column("ids").combine_chunks()
+    return [x.decode("utf-8", "surrogatepass") for x in found.column("piece").to_pylist()], np.asarray(ids.flatten(), np.uint32), np.asarray(ids.value_lengths(), np.int64)
 
 
 def blocks(df: DataFrame, name: str, frequent) -> DataFrame:
@@ -231,7 +283,7 @@ def blocks(df: DataFrame, name: str, frequent) -> DataFrame:
             p = Pieces(name, pattern, numbers)
             sink = pa.BufferOutputStream()
             writer = None
-            for part in common.slices([batch], "text"):
+            for part in common.slices([batch], "text", SLICE_BYTES):
                 codes, n = p.of(part.column("text"))
                 stops = np.concatenate(([0], np.cumsum(n))).astype(np.int32)
                 rest = part.drop_columns(["text"])
@@ -239,7 +291,7 @@ def blocks(df: DataFrame, name: str, frequent) -> DataFrame:
                 writer = writer or pa.ipc.new_stream(sink, rest.schema)
                 writer.write_batch(rest)
             writer.close()
-            yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary()), pa.ListArray.from_arrays(pa.array([0, len(p.fresh)], pa.int32()), p.column(name))], names=["rest", "pieces"])
+            yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary()), pa.ListArray.from_arrays(pa.array([0, len(p.fresh)], pa.int32()), p.column())], names=["rest", "pieces"])
 
     return df.mapInArrow(run, f"rest binary, pieces array<{PIECE}>")
 
@@ -258,9 +310,8 @@ def encode(df: DataFrame, name: str = "byte_bpe_50k.tiktoken", finish: tuple | N
     coded = blocks(df, name, frequent).select("rest", F.transform("pieces", lambda x: piece_ids(x, name)).alias("ids"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made = frequent.value[1]
-        head = np.concatenate((np.arange(IDS, dtype=np.uint32), np.array([i for x in made for i in x], np.uint32)))
-        head_sizes = np.concatenate((np.ones(IDS, np.int64), np.fromiter(map(len, made), np.int64, len(made))))
+        _, made, made_sizes = frequent.value
+        head, head_sizes = np.concatenate((np.arange(IDS, dtype=np.uint32), made)), np.concatenate((np.ones(IDS, np.int64), made_sizes))
         for batch in batches:
             for k in range(batch.num_rows):
                 lists = batch.column("ids").slice(k, 1).flatten()
