@@ -1,8 +1,8 @@
 """Operator 5, MinHash near-dedup with odd sketches.
 
 A text's set holds the hashes of its distinct word shingles. Equal sets form classes; one document stands for each. BANDS bands of
-ROWS MinHash values propose pairs: in each bucket every document first with the least one, and then whatever pair of a bucket is
-not yet connected. An odd sketch, the parity bitmap of all MinHash samples, tells from the population count of an exclusive or how
+ROWS MinHash values propose pairs. In STARS rounds the documents outside a bucket's largest group each meet one document of it; then
+whatever pair of a bucket is not yet connected is proposed. An odd sketch, the parity bitmap of all MinHash samples, tells from the population count of an exclusive or how
 similar a proposed pair is; clearly dissimilar pairs end there, all others are confirmed on the full sets. Components of the
 confirmed links are the groups; the least doc_id of each is kept.
 
@@ -15,20 +15,23 @@ groups of all their texts; rows with null doc_id are linked with nothing. Other
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import arrays, common
 from .components import components
 
 BANDS, ROWS = 40, 5
-BITS = 512  # of an odd sketch
+STARS = 4  # rounds
+TRIED = 2  # of a document's proposals in such a round, the most similar ones
+BITS = 1024  # of an odd sketch
 PERCENT = 80
-SLACK = 0.2  # how far below the similarity asked for a sketch's estimate may be: over five standard deviations
+SLACK = 0.15  # how far below the similarity asked for a sketch's estimate may be: nearly five standard deviations
 FEW_IDS = 2_000_000  # ids that are broadcast at most; more are joined by shuffling
 U = np.uint64
 
@@ -164,34 +167,53 @@ def near_groups(docs: DataFrame, width: int = 2, percent: int = PERCENT) -> Data
     members = common.written(first.select("id", "rep", "low", "high").distinct(), "members")
     heads = common.written(real.join(members.filter("id = rep").select(F.col("id").alias("head"), F.col("low").alias("low2"), F.col("high").alias("high2")), (F.col("id") == F.col("head")) & (F.col("low") == F.col("low2")) & (F.col("high") == F.col("high2"))).dropDuplicates(["id", "low", "high"]).select("id", "n_shingles", "bands", "sketch"), "heads")
     rows = heads.select("id", F.explode("bands").alias("band"))
-    buckets = rows.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("pivot")).filter("n > 1").select(F.col("band").alias("bucket"), "pivot")
-    inside = common.written(rows.join(buckets, F.col("band") == F.col("bucket")).select("band", "id", "pivot"), "buckets")
+    buckets = rows.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("band").alias("bucket"))
+    inside = common.written(rows.join(buckets, F.col("band") == F.col("bucket")).select("band", "id"), "buckets")
 
     short = heads.select("id", "n_shingles", "sketch")
-
-    def likely(pairs: DataFrame) -> DataFrame:
-        """(a, b, about) of pairs that their sizes and sketches allow."""
-        one, two = short.toDF("ia", "na", "ka"), short.toDF("ib", "nb", "kb")
-        both = pairs.join(one, F.col("a") == F.col("ia")).join(two, F.col("b") == F.col("ib"))
-        both = both.filter(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
-        return both.withColumn("about", sketch_similarity(F.col("ka"), F.col("kb"))).filter(F.col("about") >= percent / 100 - SLACK).select("a", "b", "about")
-
     text_of = named.filter("id is not null")
-    stars = inside.filter("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
-    best = likely(stars).groupBy("b").agg(F.max_by("a", F.struct("about", -F.col("a"))).alias("a")).select("a", "b")
-    links = common.written(confirmed(common.written(best, "pairs"), text_of, width, percent), "links")
-    groups = components(links)
+    least = percent / 100 - SLACK
+
+    def allowed(na: str, nb: str, ka: str, kb: str) -> Column:
+        return (F.least(na, nb) * 100 >= F.greatest(na, nb) * percent) & (sketch_similarity(F.col(ka), F.col(kb)) >= least)
+
+    def placed(groups: DataFrame | None) -> DataFrame:
+        """(band, id, group) of the buckets with several groups, and each one's main group."""
+        if groups is None:
+            now = inside.withColumn("group", F.col("id"))
+        else:
+            now = inside.join(groups.toDF("gid", "group"), F.col("id") == F.col("gid"), "left").select("band", "id", F.coalesce("group", "id").alias("group"))
+        return common.written(now, "placed")
+
+    def mains(now: DataFrame, turn: int) -> DataFrame:
+        """Of each bucket with several groups the largest, and one of its documents, another in every turn."""
+        each = now.groupBy("band", "group").agg(F.count(F.lit(1)).alias("n"), F.min_by("id", F.struct(F.xxhash64("id", F.lit(turn)) if turn else F.lit(0), F.col("id"))).alias("pivot"))
+        top = F.max_by(F.struct("group", "pivot"), F.struct(F.col("n"), -F.col("group")))
+        return each.groupBy("band").agg(F.count(F.lit(1)).alias("groups"), top.alias("top")).filter("groups > 1").select(F.col("band").alias("bucket"), "top.group", "top.pivot").toDF("bucket", "main", "pivot")
+
+    groups, links = None, []
+    for turn in range(STARS):
+        now = placed(groups)
+        met = now.join(mains(now, turn), F.col("band") == F.col("bucket")).filter(F.col("group") != F.col("main"))
+        stars = met.select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
+        one, two = short.toDF("ia", "na", "ka"), short.toDF("ib", "nb", "kb")
+        likely = stars.join(one, F.col("a") == F.col("ia")).join(two, F.col("b") == F.col("ib")).filter(allowed("na", "nb", "ka", "kb"))
+        rank = F.row_number().over(Window.partitionBy("b").orderBy(F.desc(sketch_similarity(F.col("ka"), F.col("kb"))), "a"))
+        best = likely.withColumn("rank", rank).filter(F.col("rank") <= TRIED).select("a", "b")
+        links.append(common.written(confirmed(common.written(best, "pairs"), text_of, width, percent), "links"))
+        groups = components(functools.reduce(DataFrame.union, links))
+        common.drop_table(now)
     # what shares a bucket and is not connected
-    placed = inside.join(groups.toDF("gid", "group"), F.col("id") == F.col("gid"), "left").select("band", "id", F.coalesce("group", "id").alias("group"))
-    placed = common.written(placed, "placed")
-    main = placed.groupBy("band", "group").agg(F.count(F.lit(1)).alias("n")).groupBy("band").agg(F.count(F.lit(1)).alias("groups"), F.max_by("group", F.struct("n", "group")).alias("main")).filter("groups > 1").select(F.col("band").alias("bucket"), "main")
-    mixed = common.written(placed.join(main, F.col("band") == F.col("bucket")).select("band", "id", "group", "main"), "mixed")
-    minor = mixed.filter(F.col("group") != F.col("main")).select(F.col("band").alias("band1"), F.col("id").alias("id1"), F.col("group").alias("group1"))
-    pairs = minor.join(mixed, (F.col("band1") == F.col("band")) & (F.col("group1") != F.col("group")) & ((F.col("group") == F.col("main")) | (F.col("id1") < F.col("id"))))
+    now = placed(groups)
+    mixed = now.join(mains(now, 0), F.col("band") == F.col("bucket")).select("band", "id", "group", "main")
+    mixed = common.written(mixed.join(short.toDF("sid", "n", "sketch"), F.col("id") == F.col("sid")).drop("sid"), "mixed")
+    minor = mixed.filter(F.col("group") != F.col("main")).toDF("band1", "id1", "group1", "main1", "n1", "sketch1")
+    fresh = (F.col("group1") != F.col("group")) & ((F.col("group") == F.col("main")) | (F.col("id1") < F.col("id")))
+    pairs = minor.join(mixed, (F.col("band1") == F.col("band")) & fresh & allowed("n1", "n", "sketch1", "sketch"))
     pairs = pairs.select(F.least("id1", "id").alias("a"), F.greatest("id1", "id").alias("b")).distinct()
-    more = common.written(confirmed(common.written(likely(pairs).select("a", "b"), "pairs"), text_of, width, percent), "links")
+    links.append(common.written(confirmed(common.written(pairs, "pairs"), text_of, width, percent), "links"))
     same = members.filter("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
-    groups = components(links.union(more).union(_bridges(same)))
+    groups = components(functools.reduce(DataFrame.union, links).union(_bridges(same)))
     groups = members.select("id", "rep").join(groups.toDF("gid", "group"), F.col("rep") == F.col("gid"), "left").groupBy("id").agg(F.min(F.coalesce("group", "rep")).alias("component"))
     found = sigs.select("id", "n_shingles").join(groups.withColumnRenamed("id", "mid"), F.col("id") == F.col("mid"), "left")
     return found.select(F.col("id").alias("doc_id"), "n_shingles", F.coalesce("component", "id").alias("component_id"))
