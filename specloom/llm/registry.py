@@ -1,6 +1,6 @@
 """The queries of the training-data operators and the DuckDB SQL of those that SQL can express."""
 
-from . import binary_ids, bpe, langid, media, mixing, near_dedup, passages, quality
+from . import binary_ids, bpe, langid, licences, media, mixing, near_dedup, passages, quality
 
 QUERIES: dict = {
     "op1_language_id": langid.op1_language_id,
@@ -8,6 +8,7 @@ QUERIES: dict = {
     "op3_byte_bpe": bpe.op3_byte_bpe,
     "op4_quality_rules": quality.op4_quality_rules,
     "op5_near_dedup": near_dedup.op5_near_dedup,
+    "op7_licence_scan": licences.op7_licence_scan,
     "op8_substring_dedup": passages.op8_substring_dedup,
     "op9_mixing": mixing.op9_mixing,
     "op10_media_columns": media.op10_media_columns,
