@@ -32,8 +32,8 @@ from . import arrays, common
 from .binary_ids import tokenizer_path
 
 LONG = 256  # bytes of a piece beyond which a heap merges it
-BLOCK_BYTES = 8 << 20  # UTF-8 bytes of text whose distinct pieces are encoded together
-SLICE_BYTES = 2 << 20  # of them at a time
+BLOCK_BYTES = 4 << 20  # UTF-8 bytes of text whose distinct pieces are encoded together
+SLICE_BYTES = 1 << 20  # of them at a time
 IDS = 1 << 16  # more than any id
 NONE = IDS - 1  # the rank of a pair that doesn't merge
 SAMPLE = 16_000  # rows in which frequent pieces are counted
