@@ -158,7 +158,7 @@ def quality(df: DataFrame, text: str = "text", min_repeat: int = MIN_REPEAT, max
     kinds = [pa.bool_() if f.dataType == T.BooleanType() else pa.int64() for f in added]
 
     def run(batches):
-        for batch in common.slices(batches, text):
+        for batch in common.slices(batches, text, 4 << 20):
             found = measure(common.utf8(batch.column(text)), min_repeat, max_covered, max_longest)
             yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(x, k) for x, k in zip(found, kinds, strict=True)]], names=[f.name for f in schema])
 
