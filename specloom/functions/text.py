@@ -207,10 +207,10 @@ def code_block(x: Column | str) -> Column:
 def human_size(n: Column | str) -> Column:
     """Bytes whole, larger units with two decimals, steps of 1024."""
     v = col(n).cast("double")
-    out = F.format_string("%.2f TB", v / 1024**4)
+    out = F.format_string("%.2f TB", F.bround(v / 1024**4, 2))
     for k, unit in ((3, "GB"), (2, "MB"), (1, "KB")):
-        out = F.when(v < 1024.0 ** (k + 1), F.format_string(f"%.2f {unit}", v / 1024.0**k)).otherwise(out)
-    return F.when(v < 1024, F.format_string("%.0f B", v)).otherwise(out)
+        out = F.when(v < 1024.0 ** (k + 1), F.format_string(f"%.2f {unit}", F.bround(v / 1024.0**k, 2))).otherwise(out)
+    return F.when(v < 1024, F.format_string("%.0f B", F.bround(v, 0))).otherwise(out)
 
 
 def score_label(x: Column | str) -> Column:
