@@ -9,8 +9,15 @@ from pyspark.sql import SparkSession
 ROOT = str(Path(__file__).resolve().parent.parent)
 
 
+#: Bytes of an Arrow batch between Spark and its Python workers, where the session names none: long texts count by size, not by row.
+BATCH_BYTES = "8m"
+
+
 def ready(spark: SparkSession) -> SparkSession:
-    """Let Python workers on this machine import the package from where the driver has it; where it is installed, nothing changes."""
+    """Let Python workers on this machine import the package from where the driver has it (where it is installed, nothing changes),
+    and bound the batches they get."""
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     env = spark.sparkContext.environment
     if ROOT not in env.get("PYTHONPATH", "").split(":"):
         env["PYTHONPATH"] = ":".join(x for x in (ROOT, env.get("PYTHONPATH", "")) if x)
