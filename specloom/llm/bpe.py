@@ -37,7 +37,7 @@ SLICE_BYTES = 1 << 20  # of them at a time
 IDS = 1 << 16  # more than any id
 NONE = IDS - 1  # the rank of a pair that doesn't merge
 SAMPLE = 16_000  # rows in which frequent pieces are counted
-FREQUENT = 150_000  # of them, and so of the broadcast table
+FREQUENT = 50_000  # of them, and so of the broadcast table
 
 
 @functools.cache
@@ -107,30 +107,35 @@ def fold(piece: Column, name: str) -> Column:
 
     The state is an array with one integer for each part, its pair's rank above its id: the least one is the pair to merge."""
     single, base, table = rank_table(name)
-    start, bases, merges = literal(np.roll(single, 128), "int"), literal(base, "int"), literal(table, "bigint")
     edge = F.lit(len(base) - 1)  # an id that merges with nothing
     half, low, none = F.lit(IDS // 2), F.lit(IDS - 1), F.lit((NONE - IDS // 2) << 16)
 
-    def pair(a: Column, b: Column) -> Column:
-        rank = (F.get(merges, F.get(bases, a) + b) - F.shiftleft(a.cast("bigint"), 16)).bitwiseAND(F.lit((1 << 63) - 1))
-        return F.shiftleft(F.least(rank, F.lit(NONE)).cast("int") - half, 16).bitwiseOR(a)
+    def with_tables(tables: Column) -> Column:
+        start, bases, merges = tables["start"], tables["bases"], tables["merges"]
 
-    def step(state: Column, _: Column) -> Column:
-        def merged(least: Column) -> Column:
-            def at(p: Column) -> Column:
-                both = F.shiftright(least, 16) + half
-                left, right = F.get(state, p - 2).bitwiseAND(low), F.get(state, p + 1).bitwiseAND(low)
-                return F.concat(F.slice(state, F.lit(1), p - 2), F.array(pair(left, both), pair(both, right)), F.slice(state, p + 2, F.lit(1 << 20)))
+        def pair(a: Column, b: Column) -> Column:
+            rank = (F.get(merges, F.get(bases, a) + b) - F.shiftleft(a.cast("bigint"), 16)).bitwiseAND(F.lit((1 << 63) - 1))
+            return F.shiftleft(F.least(rank, F.lit(NONE)).cast("int") - half, 16).bitwiseOR(a)
 
-            return F.when(least >= none, state).otherwise(let(F.array_position(state, least).cast("int"), at))
+        def step(state: Column, _: Column) -> Column:
+            def merged(least: Column) -> Column:
+                def at(p: Column) -> Column:
+                    both = F.shiftright(least, 16) + half
+                    left, right = F.get(state, p - 2).bitwiseAND(low), F.get(state, p + 1).bitwiseAND(low)
+                    return F.concat(F.slice(state, F.lit(1), p - 2), F.array(pair(left, both), pair(both, right)), F.slice(state, p + 2, F.lit(1 << 20)))
 
-        return let(F.array_min(state), merged)
+                return F.when(least >= none, state).otherwise(let(F.array_position(state, least).cast("int"), at))
 
-    def run(ids: Column) -> Column:
-        first = F.transform(F.slice(ids, F.lit(1), F.size(ids) - 1), lambda a, i: pair(a, F.get(ids, i + 1)))
-        return F.aggregate(piece, first, step, lambda e: F.transform(F.slice(e, F.lit(2), F.size(e) - 2), lambda x: x.bitwiseAND(low)))
+            return let(F.array_min(state), merged)
 
-    return let(F.concat(F.array(edge), F.transform(piece, lambda b: F.get(start, b.cast("int") + 128)), F.array(edge, edge)), run)
+        def run(ids: Column) -> Column:
+            first = F.transform(F.slice(ids, F.lit(1), F.size(ids) - 1), lambda a, i: pair(a, F.get(ids, i + 1)))
+            return F.aggregate(piece, first, step, lambda e: F.transform(F.slice(e, F.lit(2), F.size(e) - 2), lambda x: x.bitwiseAND(low)))
+
+        return let(F.concat(F.array(edge), F.transform(piece, lambda b: F.get(start, b.cast("int") + 128)), F.array(edge, edge)), run)
+
+    # one copy of the tables in the plan, bound to a variable
+    return let(F.struct(literal(np.roll(single, 128), "int").alias("start"), literal(base, "int").alias("bases"), literal(table, "bigint").alias("merges")), with_tables)
 
 
 class Numbers(dict):
