@@ -28,15 +28,19 @@ def _stars(edges: DataFrame, small: bool) -> DataFrame:
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(id, component): for every id in edges (a, b), the least id that it is connected with. Ids are not null."""
     now = common.written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "edges")
-    state = None
-    for _ in range(rounds):
+
+    def seen(df: DataFrame):
+        return df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+
+    state = seen(now)
+    for _ in range(rounds if state[0] else 0):
         after = common.written(_stars(_stars(now, False), True), "edges")
         common.drop_table(now)
         now = after
-        seen = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if seen == state:
+        before, state = state, seen(now)
+        if state == before:
             break
-        state = seen
     else:
-        raise RuntimeError("components did not settle")
+        if state[0]:
+            raise RuntimeError("components did not settle")
     return now.groupBy("a").agg(F.min("b").alias("component")).withColumnRenamed("a", "id").union(now.select("b", F.col("b").alias("component")).distinct())

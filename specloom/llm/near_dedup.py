@@ -27,8 +27,8 @@ from . import arrays, common
 from .components import components
 
 BANDS, ROWS = 40, 5
-STARS = 4  # rounds
-TRIED = 2  # of a document's proposals in such a round, the most similar ones
+STARS = 2  # rounds
+TRIED = 3  # of a document's proposals in such a round, the most similar ones
 BITS = 1024  # of an odd sketch
 PERCENT = 80
 SLACK = 0.15  # how far below the similarity asked for a sketch's estimate may be: nearly five standard deviations
@@ -168,9 +168,10 @@ def near_groups(docs: DataFrame, width: int = 2, percent: int = PERCENT) -> Data
     heads = common.written(real.join(members.filter("id = rep").select(F.col("id").alias("head"), F.col("low").alias("low2"), F.col("high").alias("high2")), (F.col("id") == F.col("head")) & (F.col("low") == F.col("low2")) & (F.col("high") == F.col("high2"))).dropDuplicates(["id", "low", "high"]).select("id", "n_shingles", "bands", "sketch"), "heads")
     rows = heads.select("id", F.explode("bands").alias("band"))
     buckets = rows.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("band").alias("bucket"))
-    inside = common.written(rows.join(buckets, F.col("band") == F.col("bucket")).select("band", "id"), "buckets")
+    inside = rows.join(buckets, F.col("band") == F.col("bucket")).select("band", "id")
+    short = heads.select(F.col("id").alias("sid"), F.col("n_shingles").alias("n"), "sketch")
+    inside = common.written(inside.join(short, F.col("id") == F.col("sid")).drop("sid"), "buckets")
 
-    short = heads.select("id", "n_shingles", "sketch")
     text_of = named.filter("id is not null")
     least = percent / 100 - SLACK
 
@@ -178,38 +179,36 @@ def near_groups(docs: DataFrame, width: int = 2, percent: int = PERCENT) -> Data
         return (F.least(na, nb) * 100 >= F.greatest(na, nb) * percent) & (sketch_similarity(F.col(ka), F.col(kb)) >= least)
 
     def placed(groups: DataFrame | None) -> DataFrame:
-        """(band, id, group) of the buckets with several groups, and each one's main group."""
+        """inside with the group that each document is in so far."""
         if groups is None:
-            now = inside.withColumn("group", F.col("id"))
-        else:
-            now = inside.join(groups.toDF("gid", "group"), F.col("id") == F.col("gid"), "left").select("band", "id", F.coalesce("group", "id").alias("group"))
-        return common.written(now, "placed")
+            return inside.withColumn("group", F.col("id"))
+        return inside.join(groups.toDF("gid", "group"), F.col("id") == F.col("gid"), "left").drop("gid").withColumn("group", F.coalesce("group", "id"))
 
     def mains(now: DataFrame, turn: int) -> DataFrame:
         """Of each bucket with several groups the largest, and one of its documents, another in every turn."""
-        each = now.groupBy("band", "group").agg(F.count(F.lit(1)).alias("n"), F.min_by("id", F.struct(F.xxhash64("id", F.lit(turn)) if turn else F.lit(0), F.col("id"))).alias("pivot"))
-        top = F.max_by(F.struct("group", "pivot"), F.struct(F.col("n"), -F.col("group")))
-        return each.groupBy("band").agg(F.count(F.lit(1)).alias("groups"), top.alias("top")).filter("groups > 1").select(F.col("band").alias("bucket"), "top.group", "top.pivot").toDF("bucket", "main", "pivot")
+        first = F.struct(F.xxhash64("id", F.lit(turn)) if turn else F.lit(0).cast("long"), F.col("id"))
+        each = now.groupBy("band", "group").agg(F.count(F.lit(1)).alias("size"), F.min_by(F.struct("id", "n", "sketch"), first).alias("pivot"))
+        top = F.max_by(F.struct("group", "pivot"), F.struct(F.col("size"), -F.col("group")))
+        found = each.groupBy("band").agg(F.count(F.lit(1)).alias("groups"), top.alias("top")).filter("groups > 1")
+        return found.select(F.col("band").alias("bucket"), F.col("top.group").alias("main"), F.col("top.pivot.id").alias("pivot"), F.col("top.pivot.n").alias("pivot_n"), F.col("top.pivot.sketch").alias("pivot_sketch"))
 
     groups, links = None, []
     for turn in range(STARS):
         now = placed(groups)
-        met = now.join(mains(now, turn), F.col("band") == F.col("bucket")).filter(F.col("group") != F.col("main"))
-        stars = met.select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
-        one, two = short.toDF("ia", "na", "ka"), short.toDF("ib", "nb", "kb")
-        likely = stars.join(one, F.col("a") == F.col("ia")).join(two, F.col("b") == F.col("ib")).filter(allowed("na", "nb", "ka", "kb"))
-        rank = F.row_number().over(Window.partitionBy("b").orderBy(F.desc(sketch_similarity(F.col("ka"), F.col("kb"))), "a"))
-        best = likely.withColumn("rank", rank).filter(F.col("rank") <= TRIED).select("a", "b")
+        met = now.join(mains(now, turn), (F.col("band") == F.col("bucket")) & (F.col("group") != F.col("main")) & allowed("n", "pivot_n", "sketch", "pivot_sketch"))
+        stars = met.groupBy(F.col("pivot").alias("a"), F.col("id").alias("b")).agg(F.max(sketch_similarity(F.col("sketch"), F.col("pivot_sketch"))).alias("about"))
+        rank = F.row_number().over(Window.partitionBy("b").orderBy(F.desc("about"), "a"))
+        best = stars.withColumn("rank", rank).filter(F.col("rank") <= TRIED).select("a", "b")
         links.append(common.written(confirmed(common.written(best, "pairs"), text_of, width, percent), "links"))
         groups = components(functools.reduce(DataFrame.union, links))
-        common.drop_table(now)
-    # what shares a bucket and is not connected
+    # what shares a bucket and is not connected, each pair in the first bucket that it shares
     now = placed(groups)
-    mixed = now.join(mains(now, 0), F.col("band") == F.col("bucket")).select("band", "id", "group", "main")
-    mixed = common.written(mixed.join(short.toDF("sid", "n", "sketch"), F.col("id") == F.col("sid")).drop("sid"), "mixed")
-    minor = mixed.filter(F.col("group") != F.col("main")).toDF("band1", "id1", "group1", "main1", "n1", "sketch1")
+    mixed = now.join(mains(now, 0).select("bucket", "main"), F.col("band") == F.col("bucket")).drop("bucket")
+    mixed = common.written(mixed.join(heads.select(F.col("id").alias("sid"), "bands"), F.col("id") == F.col("sid")).drop("sid"), "mixed")
+    minor = mixed.filter(F.col("group") != F.col("main")).select(*[F.col(c).alias(f"{c}1") for c in ("band", "id", "group", "n", "sketch", "bands")])
     fresh = (F.col("group1") != F.col("group")) & ((F.col("group") == F.col("main")) | (F.col("id1") < F.col("id")))
-    pairs = minor.join(mixed, (F.col("band1") == F.col("band")) & fresh & allowed("n1", "n", "sketch1", "sketch"))
+    shared = F.filter(F.zip_with("bands1", "bands", lambda x, y: F.when(x == y, x)), lambda x: x.isNotNull())
+    pairs = minor.join(mixed, (F.col("band1") == F.col("band")) & fresh & allowed("n1", "n", "sketch1", "sketch") & (F.get(shared, F.lit(0)) == F.col("band")))
     pairs = pairs.select(F.least("id1", "id").alias("a"), F.greatest("id1", "id").alias("b")).distinct()
     links.append(common.written(confirmed(common.written(pairs, "pairs"), text_of, width, percent), "links"))
     same = members.filter("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
