@@ -15,6 +15,7 @@ from .functions import udfs
 from .operators import compare, consensus, extract, linkage, quality, reports
 from .plans import facade
 from .session import ready
+from .sources import files
 from .sources.corpus import corpus, corpus_sql
 
 QUERIES: dict = {}
@@ -235,6 +236,38 @@ def _(spark, d):
     return extract.requirements(corpus(spark, d)).select(*PAGE, "page_number", "pos", tx.scored_category("text").alias("scored"))
 
 
+@query("req_short_category", REQUIREMENTS + " SELECT CASE " + " ".join(f"WHEN {sql_any(w, 'lower(text)')} THEN '{k}'" for k, w in lx.SHORT_CATEGORIES.items()) + " ELSE 'Functional' END AS category, count(*) AS n FROM requirements GROUP BY ALL")
+def _(spark, d):
+    return extract.requirements(corpus(spark, d)).groupBy(tx.category("text", lx.SHORT_CATEGORIES).alias("category")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("chunk_pages", HEADINGS + " SELECT DISTINCT c.spec, c.version, c.page_number AS page FROM corpus c JOIN (SELECT spec, version, min(page_number) AS f FROM headings GROUP BY ALL) USING (spec, version) WHERE c.page_number >= f")
+def _(spark, d):
+    return files.chunk_pages(extract.semantic_chunks(corpus(spark, d)))
+
+
+@query("visual_hints", "SELECT doc_id, list_transform(list_filter(" + str(sorted(lx.VISUAL_HINTS)) + ", lambda w: contains(lower(text), w)), lambda w: upper(w)) AS hints FROM documents")
+def _(spark, d):
+    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", tx.visual_hints("text", F.lit("")).alias("hints"))
+
+
+@query("page_accuracy", CORPUS + ", n AS (SELECT spec, max(page_number) AS n FROM corpus WHERE version = 1 GROUP BY spec), h AS (SELECT c.spec, count(DISTINCT page_number) AS have FROM corpus c JOIN n USING (spec) WHERE version = 2 AND page_number BETWEEN 1 AND n GROUP BY c.spec) SELECT n.spec, round(100.0::DOUBLE * coalesce(have, 0) / n, 6) AS share FROM n LEFT JOIN h USING (spec)")
+def _(spark, d):
+    total = side(spark, d, 1).groupBy("spec").agg(F.max("page_number").alias("n"))
+    return quality.page_accuracy(total, side(spark, d, 2))
+
+
+@query("token_counts", CORPUS + f" SELECT spec, version, upper(m) AS key, count(*) AS n FROM (SELECT spec, version, unnest(regexp_extract_all(text, '{lx.AXI_SIGNAL}')) AS m FROM corpus) GROUP BY ALL")
+def _(spark, d):
+    return extract.token_counts(corpus(spark, d), lx.AXI_SIGNAL)
+
+
+@query("score_labels", "SELECT doc_id, CASE WHEN v >= 90 THEN 'Excellent' WHEN v >= 75 THEN 'Good' WHEN v >= 60 THEN 'Fair' ELSE 'Poor' END AS label, CASE WHEN v >= 95 THEN 'PASS' ELSE 'FAIL' END AS status, printf('%.0f%%', round_even(v / 800 * 100, 0)) AS share FROM (SELECT doc_id, CAST(doc_id % 101 AS DOUBLE) AS v FROM documents)")
+def _(spark, d):
+    labels = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", (F.col("doc_id") % 101).cast("double").alias("v"))
+    return labels.select("doc_id", tx.score_label("v").alias("label"), tx.status("v").alias("status"), tx.percent_text(F.col("v") / 800).alias("share"))
+
+
 # Text functions -------------------------------------------------------------------------------------------------------
 
 
@@ -306,6 +339,12 @@ def _(spark, d):
     return linkage.exact_matches(old, new)
 
 
+@query("keyed_match", PAGES + ", k AS (SELECT spec, version, 'REQ:' || (idx // 2) AS key, max(idx) AS idx FROM items GROUP BY ALL) SELECT a.spec, a.key, a.idx AS old_idx, b.idx AS new_idx FROM k a JOIN k b ON a.spec = b.spec AND a.key = b.key AND a.version = 1 AND b.version = 2")
+def _(spark, d):
+    old, new = (page_items(spark, d, v).withColumn("key", F.concat(F.lit("REQ:"), F.floor(F.col("idx") / 2).cast("string"))) for v in (1, 2))
+    return linkage.keyed_matches(old, new)
+
+
 @query("moved_items", PAGES + " SELECT spec, hash, old_page, new_page FROM exact WHERE old_page <> new_page")
 def _(spark, d):
     old, new = (linkage.records(page_items(spark, d, v)) for v in (1, 2))

@@ -87,6 +87,14 @@ CATEGORIES = {
     ],
     "Interface": ["interface", "pin", "signal", "spi", "uart", "i2c", "can", "gpio", "jtag", "pcie"],
 }
+#: The shorter lists of the third generation.
+SHORT_CATEGORIES = {
+    "Performance": ["latency", "throughput", "timing", "frequency", "bandwidth"],
+    "Electrical": ["voltage", "current", "power"],
+    "Environmental": ["temperature", "humidity"],
+    "Safety": ["safety", "hazard", "fault"],
+    "Interface": ["interface", "spi", "uart", "i2c", "can"],
+}
 DEFAULT_CATEGORY = "Functional"
 PRIORITY = ["Protocol", "Architecture", "Memory", "Security", "Safety", "Electrical", "Performance", "Environmental", "Interface"]
 
