@@ -56,6 +56,14 @@ def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[bounds[0] : bounds[-1]], bounds - bounds[0]
 
 
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of byte spans: equal spans have equal hashes wherever they are."""
+    n = len(data)
+    total = np.zeros(n + 1, np.uint64)
+    np.cumsum(_BYTE[data] * powers("up", n), out=total[1:])
+    return mixed((total[ends] - total[starts]) * powers("down", n + 1)[starts] + (ends - starts).astype(np.uint64))
+
+
 class Words:
     """starts and ends of all words in the bytes, hashes (if asked for) and bounds: the words of text i are bounds[i]:bounds[i + 1]."""
 
@@ -75,14 +83,7 @@ class Words:
         self.ends = np.flatnonzero(solid & after) + 1
         self.bounds = np.searchsorted(self.starts, self.texts)
         if hashes:
-            self.hashes = self.span_hashes(self.starts, self.ends)
-
-    def span_hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Hashes of byte spans: equal spans have equal hashes wherever they are."""
-        n = len(self.data)
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum(_BYTE[self.data] * powers("up", n), out=total[1:])
-        return mixed((total[ends] - total[starts]) * powers("down", n + 1)[starts] + (ends - starts).astype(np.uint64))
+            self.hashes = span_hashes(self.data, self.starts, self.ends)
 
     def string(self, k: int) -> str:
         return self.data[self.starts[k] : self.ends[k]].tobytes().decode("utf-8", "surrogatepass")
@@ -125,6 +126,11 @@ class Store:
         self.keys, self.first, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32)
         self.flat, self.used = np.zeros(1 << 16, self.kind), 0
 
+    def copy(self) -> Store:
+        out = Store(self.kind, self.most)
+        out.keys, out.first, out.size, out.flat, out.used = self.keys, self.first, self.size, self.flat.copy(), self.used
+        return out
+
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(place of each key, whether it is there)."""
         at = np.searchsorted(self.keys, keys)

@@ -4,7 +4,7 @@ Texts are cut into pieces by the tokenizer's pattern. Rows are taken in blocks;
 themselves go, as byte arrays, through Spark's higher-order functions: ``aggregate`` folds over the merge steps, each taking the
 adjacent pair of lowest rank from a literal rank map. The map is a row-displaced table: the merge of ids (a, b) stands at
 ``base[a] + b`` and carries a, so one look tells the rank or that there is none. The ids of the pieces are then put together for
-each text; decoding concatenates the ids' byte strings. Texts are neither shuffled nor collected; blocks bound the memory. Of a
+each text; decoding concatenates the ids' byte strings. Texts are neither shuffled nor collected; blocks bound the memory, and a task folds a piece once while it remembers it. Of a
 larger table the pieces that are frequent in a bounded sample (FREQUENT of them at most, SAMPLE rows) are encoded once and
 broadcast; they save work alone, every other piece is encoded in its block.
 
@@ -34,10 +34,11 @@ from .binary_ids import tokenizer_path
 LONG = 256  # bytes of a piece beyond which a heap merges it
 BLOCK_BYTES = 4 << 20  # UTF-8 bytes of text whose distinct pieces are encoded together
 SLICE_BYTES = 1 << 20  # of them at a time
+MET = 600_000  # pieces that a task remembers between blocks
 IDS = 1 << 16  # more than any id
 NONE = IDS - 1  # the rank of a pair that doesn't merge
 SAMPLE = 16_000  # rows in which frequent pieces are counted
-FREQUENT = 50_000  # of them, and so of the broadcast table
+FREQUENT = 150_000  # of them, and so of the broadcast table
 
 
 @functools.cache
@@ -138,59 +139,73 @@ def fold(piece: Column, name: str) -> Column:
     return let(F.struct(literal(np.roll(single, 128), "int").alias("start"), literal(base, "int").alias("bases"), literal(table, "bigint").alias("merges")), with_tables)
 
 
-class Numbers(dict):
-    """Piece -> code; an unknown piece gets the next number and is appended to fresh."""
-
-    def __init__(self, known: list[dict[str, int]], first: int):
-        self.known, self.first, self.fresh = known, first, []
-
-    def __missing__(self, piece: str) -> int:
-        for known in self.known:
-            if (found := known.get(piece)) is not None:
-                break
-        else:
-            found = self.first + len(self.fresh)
-            self.fresh.append(piece.encode("utf-8", "surrogatepass"))
-        self[piece] = found
-        return found
-
-
 class Pieces:
-    """Piece codes of texts: an id itself, IDS + number of a frequent piece, or beyond these the number of a piece in fresh."""
+    """Piece codes of texts: an id itself, IDS + number of a frequent piece, or beyond these the number of a piece met before.
 
-    def __init__(self, name: str, pattern: str, frequent: dict[str, int]):
+    fresh: the pieces that got a number since it was last emptied. Pieces are known by 64-bit hashes."""
+
+    def __init__(self, name: str, pattern: str, frequent: list[str]):
         import regex
 
         self.name, self.find = name, regex.compile(pattern).findall
-        self.numbers = Numbers([token_strings(name), frequent], IDS + len(frequent))
-        self.known = arrays.Store("<i4", 1 << 30)
-
-    @property
-    def fresh(self) -> list[bytes]:
-        return self.numbers.fresh
-
-    def codes(self, text: str) -> list[int]:
-        return list(map(self.numbers.__getitem__, self.find(text)))
+        self.base = base_codes(name).copy()
+        if frequent:
+            raw = [x.encode("utf-8", "surrogatepass") for x in frequent]
+            keys = hashes_of(raw)
+            order = np.argsort(keys)
+            self.base.add(keys[order], IDS + order.astype(np.int32), np.ones(len(raw), np.int64))
+        self.first = IDS + len(frequent)
+        self.start_over()
+
+    def start_over(self) -> None:
+        self.known, self.own, self.fresh, self.met = arrays.Store("<i4", 1 << 40), arrays.Store("<i4", 1 << 40), [], 0
+
+    def number(self, pieces: list[str], text: str) -> np.ndarray:
+        """The codes of pieces, which together are text."""
+        data = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+        chars = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))
+        size = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        ends = np.cumsum(size)
+        starts, ends = chars[ends - size], chars[ends]
+        one, inverse = arrays.distinct(arrays.span_hashes(data, starts, ends))
+        keys = arrays.span_hashes(data, starts, ends)[one]
+        codes = np.full(len(keys), -1, np.int64)
+        for store in (self.base, self.own):
+            at, there = store.find(keys)
+            codes[there] = store.flat[store.first[at[there]]]
+        new = np.flatnonzero(codes < 0)
+        if len(new):
+            codes[new] = self.first + self.met + np.arange(len(new))
+            self.met += len(new)
+            raw = data.tobytes()
+            self.fresh += [raw[a:b] for a, b in zip(starts[one[new]].tolist(), ends[one[new]].tolist(), strict=True)]
+            self.own.add(keys[new], codes[new].astype(np.int32), np.ones(len(new), np.int64))
+        return codes[inverse].astype("<i4")
+
+    def codes(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(codes of all texts, number of each)."""
+        found = [self.find(x) for x in texts]
+        return self.number([x for y in found for x in y], "".join(texts)), np.fromiter(map(len, found), np.int64, len(found))
 
     def words(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(codes, number of each) of words with the space before them: a piece that begins with a space begins the next word."""
         alone = arrays.WHITE[data[ends - 1]]
         safe = np.flatnonzero(~alone)
-        pieces = self.find(arrays.take(data, starts[safe] - 1, ends[safe] - starts[safe] + 1).tobytes().decode("utf-8", "surrogatepass"))
+        text = arrays.take(data, starts[safe] - 1, ends[safe] - starts[safe] + 1).tobytes().decode("utf-8", "surrogatepass")
+        pieces = self.find(text)
         opens = np.flatnonzero(np.fromiter([x[0] == " " for x in pieces], bool, len(pieces)))
         if len(opens) != len(safe):
             raise ValueError("the pattern does not cut before single spaces")
-        codes = np.fromiter(map(self.numbers.__getitem__, pieces), "<i4", len(pieces))
+        codes = self.number(pieces, text)
         counts = np.zeros(len(starts), np.int64)
         counts[safe] = np.diff(np.append(opens, len(pieces)))
         rest = np.flatnonzero(alone)
         if not len(rest):
             return codes, counts
-        more = [self.codes(data[a - 1 : b].tobytes().decode("utf-8", "surrogatepass")) for a, b in zip(starts[rest].tolist(), ends[rest].tolist(), strict=True)]
-        counts[rest] = list(map(len, more))
+        more, counts[rest] = self.codes([data[a - 1 : b].tobytes().decode("utf-8", "surrogatepass") for a, b in zip(starts[rest].tolist(), ends[rest].tolist(), strict=True)])
         out = np.empty(int(counts.sum()), "<i4")
         of_rest = np.repeat(alone, counts)
-        out[of_rest], out[~of_rest] = [x for y in more for x in y], codes
+        out[of_rest], out[~of_rest] = more, codes
         return out, counts
 
     def of(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -213,15 +228,14 @@ class Pieces:
         at_first = np.flatnonzero(first)
         stops[text[at_first]] = w.ends[at_first]
         stops[whole] = w.texts[1:][whole]
-        heads = [self.codes(w.data[a:b].tobytes().decode("utf-8", "surrogatepass")) for a, b in zip(w.texts.tolist(), stops.tolist(), strict=False)]
-        head_n = np.fromiter(map(len, heads), np.int64, n)
+        heads, head_n = self.codes([w.data[a:b].tobytes().decode("utf-8", "surrogatepass") for a, b in zip(w.texts.tolist(), stops.tolist(), strict=False)])
         owner = text[plain]
         spans_first, spans_size = np.empty(n + len(plain), np.int64), np.empty(n + len(plain), np.int64)
         head_at, word_at = np.arange(n) + np.searchsorted(owner, np.arange(n)), np.arange(len(plain)) + owner + 1
         base = self.known.used
         spans_first[head_at], spans_size[head_at] = base + np.cumsum(head_n) - head_n, head_n
         spans_first[word_at], spans_size[word_at] = self.known.first[at][number], self.known.size[at][number]
-        codes = arrays.take(np.concatenate((self.known.flat[:base], np.array([x for y in heads for x in y], "<i4"))), spans_first, spans_size)
+        codes = arrays.take(np.concatenate((self.known.flat[:base], heads)), spans_first, spans_size)
         return codes, head_n + np.bincount(owner, spans_size[word_at], n).astype(np.int64)
 
     def column(self) -> pa.Array:
@@ -234,15 +248,20 @@ class Pieces:
         return pa.StructArray.from_arrays([lists, large], names=["bytes", "ids"])
 
 
+def hashes_of(pieces: list[bytes]) -> np.ndarray:
+    size = np.fromiter(map(len, pieces), np.int64, len(pieces))
+    ends = np.cumsum(size)
+    return arrays.span_hashes(np.frombuffer(b"".join(pieces), np.uint8), ends - size, ends)
+
+
 @functools.cache
-def token_strings(name: str) -> dict[str, int]:
-    """The tokens that are text by themselves."""
-    out = {}
-    for token, rank in load_ranks(name).items():
-        try:
-            out[token.decode()] = rank
-        except UnicodeDecodeError:
-            pass
+def base_codes(name: str) -> arrays.Store:
+    """The ids of all tokens by their hashes."""
+    ranks = load_ranks(name)
+    keys, ids = hashes_of(list(ranks)), np.array(list(ranks.values()), np.int32)
+    order = np.argsort(keys)
+    out = arrays.Store("<i4", 1 << 40)
+    out.add(keys[order], ids[order], np.ones(len(ids), np.int64))
     return out
 
 
@@ -263,7 +282,7 @@ def frequent_pieces(df: DataFrame, name: str, sample: int = SAMPLE, most: int =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches, "text", SLICE_BYTES):
-            p = Pieces(name, pattern, {})
+            p = Pieces(name, pattern, [])
             codes, _ = p.of(batch.column("text"))
             count = np.bincount(codes, minlength=IDS + len(p.fresh))[IDS:]
             yield pa.RecordBatch.from_arrays([pa.array(p.fresh, pa.binary()), p.column(), pa.array(count, pa.int64())], names=["piece", "made", "n"])
@@ -277,15 +296,19 @@ def frequent_pieces(df: DataFrame, name: str, sample: int = SAMPLE, most: int =
 
 
 def blocks(df: DataFrame, name: str, frequent) -> DataFrame:
-    """One row a block: its rows (Arrow IPC) with each text's piece codes, and the pieces that the codes beyond the frequent stand for."""
+    """One row a block: its rows (Arrow IPC) with each text's piece codes, and the pieces first met in it.
+
+    Numbers of pieces go on from block to block of a partition, until more than MET are met; before tells how many there were."""
     import public_tokenizers
 
     pattern = public_tokenizers.PATTERN
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers = {x: IDS + i for i, x in enumerate(frequent.value[0])}
+        p = Pieces(name, pattern, frequent.value[0])
         for batch in common.slices(batches, "text", BLOCK_BYTES):
-            p = Pieces(name, pattern, numbers)
+            if p.met > MET:
+                p.start_over()
+            before, p.fresh = p.met, []
             sink = pa.BufferOutputStream()
             writer = None
             for part in common.slices([batch], "text", SLICE_BYTES):
@@ -296,9 +319,9 @@ def blocks(df: DataFrame, name: str, frequent) -> DataFrame:
                 writer = writer or pa.ipc.new_stream(sink, rest.schema)
                 writer.write_batch(rest)
             writer.close()
-            yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary()), pa.ListArray.from_arrays(pa.array([0, len(p.fresh)], pa.int32()), p.column())], names=["rest", "pieces"])
+            yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary()), pa.array([before], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(p.fresh)], pa.int32()), p.column())], names=["rest", "before", "pieces"])
 
-    return df.mapInArrow(run, f"rest binary, pieces array<{PIECE}>")
+    return df.mapInArrow(run, f"rest binary, before long, pieces array<{PIECE}>")
 
 
 def encode(df: DataFrame, name: str = "byte_bpe_50k.tiktoken", finish: tuple | None = None) -> DataFrame:
@@ -312,16 +335,20 @@ def encode(df: DataFrame, name: str = "byte_bpe_50k.tiktoken", finish: tuple | N
     schema = T.StructType([*df.drop("text").schema.fields, *added.fields])
     kinds = [{"bigint": pa.int64(), "string": pa.string(), "binary": pa.binary()}[f.dataType.simpleString()] for f in added]
     frequent = df.sparkSession.sparkContext.broadcast(frequent_pieces(df, name))  # FREQUENT pieces at most
-    coded = blocks(df, name, frequent).select("rest", F.transform("pieces", lambda x: piece_ids(x, name)).alias("ids"))
+    coded = blocks(df, name, frequent).select("rest", "before", F.transform("pieces", lambda x: piece_ids(x, name)).alias("ids"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, made, made_sizes = frequent.value
         head, head_sizes = np.concatenate((np.arange(IDS, dtype=np.uint32), made)), np.concatenate((np.ones(IDS, np.int64), made_sizes))
+        flat, sizes = head, head_sizes
         for batch in batches:
             for k in range(batch.num_rows):
+                # a task's rows come in order, so what earlier blocks met is here
+                if batch.column("before")[k].as_py() == 0:
+                    flat, sizes = head, head_sizes
                 lists = batch.column("ids").slice(k, 1).flatten()
-                flat = np.concatenate((head, np.asarray(lists.flatten(), np.uint32)))
-                sizes = np.concatenate((head_sizes, np.asarray(lists.value_lengths(), np.int64)))
+                flat = np.concatenate((flat, np.asarray(lists.flatten(), np.uint32)))
+                sizes = np.concatenate((sizes, np.asarray(lists.value_lengths(), np.int64)))
                 for rest in pa.ipc.open_stream(batch.column("rest")[k].as_py()):
                     codes = rest.column("__codes")
                     ids, each = arrays.gather(flat, sizes, np.asarray(codes.flatten(), np.int64))
