@@ -15,10 +15,13 @@ BATCH_BYTES = "8m"
 
 def ready(spark: SparkSession) -> SparkSession:
     """Let Python workers on this machine import the package from where the driver has it (where it is installed, nothing changes),
-    and bound the batches they get."""
+    and bound the batches they get and the memory they keep."""
     if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     env = spark.sparkContext.environment
+    env.setdefault("ARROW_DEFAULT_MEMORY_POOL", "system")  # idle workers give memory back
+    env.setdefault("MALLOC_ARENA_MAX", "2")
+    env.setdefault("MALLOC_TRIM_THRESHOLD_", "1048576")
     if ROOT not in env.get("PYTHONPATH", "").split(":"):
         env["PYTHONPATH"] = ":".join(x for x in (ROOT, env.get("PYTHONPATH", "")) if x)
     return spark
