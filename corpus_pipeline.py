@@ -6,16 +6,27 @@ and read again as the next stage's documents. All but the last return the column
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
 from specloom.llm import bpe, common, mixing, near_dedup, passages, quality
+from specloom.session import ready
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def readied(stage: Stage) -> Stage:
+    """A stage that can be called by itself: the session is made ready first."""
+    return lambda spark, docs, sf_dir: stage(ready(spark), docs, sf_dir)
+
 
 STAGES = [
-    ("quality_rules", quality.stage),
-    ("near_dedup", near_dedup.stage),
-    ("substring_dedup", passages.stage),
-    ("mixing", mixing.stage),
-    ("byte_bpe", bpe.stage),
+    ("quality_rules", readied(quality.stage)),
+    ("near_dedup", readied(near_dedup.stage)),
+    ("substring_dedup", readied(passages.stage)),
+    ("mixing", readied(mixing.stage)),
+    ("byte_bpe", readied(bpe.stage)),
 ]
 
 #: No SQL expresses the suffix arrays, sketches and merges of the stages; tests hold them against brute force.

@@ -220,7 +220,7 @@ def predict(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for batch in common.slices(batches, text, 4 << 20):
+        for batch in common.slices(batches, text, 2 << 20):
             h, letters = model.entropies(batch.column(text))
             if model.langs:
                 best = h.argmin(1)
