@@ -3,7 +3,8 @@
 A text's set holds the hashes of its distinct word shingles. Equal sets form classes; one document stands for each. BANDS bands of
 ROWS MinHash values propose pairs. In STARS rounds the documents outside a bucket's largest group each meet one document of it; then
 whatever pair of a bucket is not yet connected is proposed. An odd sketch, the parity bitmap of all MinHash samples, tells from the population count of an exclusive or how
-similar a proposed pair is; clearly dissimilar pairs end there, all others are confirmed on the full sets. Components of the
+similar a proposed pair is; a second bitmap, of the whole set, has at most as many differing bits as the sets have differing shingles
+and so rules pairs out for certain. Clearly dissimilar pairs end there, all others are confirmed on the full sets. Components of the
 confirmed links are the groups; the least doc_id of each is kept.
 
 At the similarity asked for, a pair of equal chance misses all bands with a probability of (1 - 0.8 ** 5) ** 40 = 1.3e-7.
@@ -98,14 +99,25 @@ def odd_sketches(mins: np.ndarray) -> np.ndarray:
     return np.packbits(parity.astype(np.uint8).reshape(len(mins), BITS), axis=1, bitorder="little").view("<i8")
 
 
+def whole_sketches(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """(text, BITS // 64) words: the parity of the set's shingles that fall on each bit; bounds of non-empty sets."""
+    n = len(bounds) - 1
+    bit = (arrays.mixed(h ^ U(0xA0761D6478BD642F)) % U(BITS)).astype(np.int64) + BITS * np.repeat(np.arange(n), np.diff(bounds))
+    parity = np.bincount(bit, minlength=BITS * n) & 1
+    return np.packbits(parity.astype(np.uint8).reshape(n, BITS), axis=1, bitorder="little").view("<i8")
+
+
+def differing_bits(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+
+
 def sketch_similarity(a: Column, b: Column) -> Column:
     """The similarity that two sketches show: the odd sketch's size of a symmetric difference, over the number of samples."""
-    ones = F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    share = F.least(ones * (2.0 / BITS), F.lit(0.999))
+    share = F.least(differing_bits(a, b) * (2.0 / BITS), F.lit(0.999))
     return F.lit(1.0) + F.log1p(-share) * (BITS / 2 / (2.0 * BANDS * ROWS))
 
 
-SIGNED = "id long, n_shingles long, low long, high long, bands array<long>, sketch array<long>"
+SIGNED = "id long, n_shingles long, low long, high long, bands array<long>, sketch array<long>, whole array<long>"
 
 
 def signed(docs: DataFrame, width: int) -> DataFrame:
@@ -116,18 +128,17 @@ def signed(docs: DataFrame, width: int) -> DataFrame:
             h, bounds = shingle_sets(batch.column("text"), width)
             n = np.diff(bounds)
             full = np.flatnonzero(n)
-            bands, sketch = np.zeros((len(n), 0), np.int64), None
             sizes, sketches = np.where(n > 0, BANDS, 0), np.where(n > 0, BITS // 64, 0)
-            flat = [np.zeros(0, np.int64)] * 2
+            flat = [np.zeros(0, np.int64)] * 3
             if len(full):
-                mins = signatures(h, np.append(bounds[:-1][full], bounds[-1]))
-                flat = [band_keys(mins).ravel(), odd_sketches(mins).ravel()]
-            del bands, sketch
+                edges = np.append(bounds[:-1][full], bounds[-1])
+                mins = signatures(h, edges)
+                flat = [band_keys(mins).ravel(), odd_sketches(mins).ravel(), whole_sketches(h, edges).ravel()]
             total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(arrays.mixed(h))))
             other = np.concatenate((np.zeros(1, np.uint64), np.cumsum(arrays.mixed(h ^ U(0x5851F42D4C957F2D)))))
             low, high = total[bounds[1:]] - total[bounds[:-1]], other[bounds[1:]] - other[bounds[:-1]]
-            lists = [pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(s))).astype(np.int32)), pa.array(f)) for s, f in zip((sizes, sketches), flat, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n.astype(np.int64)), pa.array(low.view(np.int64)), pa.array(high.view(np.int64)), *lists], names=["id", "n_shingles", "low", "high", "bands", "sketch"])
+            lists = [pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(s))).astype(np.int32)), pa.array(f)) for s, f in zip((sizes, sketches, sketches), flat, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n.astype(np.int64)), pa.array(low.view(np.int64)), pa.array(high.view(np.int64)), *lists], names=["id", "n_shingles", "low", "high", "bands", "sketch", "whole"])
 
     return docs.mapInArrow(run, SIGNED)
 
@@ -165,7 +176,7 @@ def near_groups(docs: DataFrame, width: int = 2, percent: int = PERCENT) -> Data
     # rows of an id stand for each other, classes for their members
     first = real.select("id", "n_shingles", "low", "high").join(classes.toDF("low2", "high2", "n2", "rep"), (F.col("low") == F.col("low2")) & (F.col("high") == F.col("high2")) & (F.col("n_shingles") == F.col("n2")))
     members = common.written(first.select("id", "rep", "low", "high").distinct(), "members")
-    heads = common.written(real.join(members.filter("id = rep").select(F.col("id").alias("head"), F.col("low").alias("low2"), F.col("high").alias("high2")), (F.col("id") == F.col("head")) & (F.col("low") == F.col("low2")) & (F.col("high") == F.col("high2"))).dropDuplicates(["id", "low", "high"]).select("id", "n_shingles", "bands", "sketch"), "heads")
+    heads = common.written(real.join(members.filter("id = rep").select(F.col("id").alias("head"), F.col("low").alias("low2"), F.col("high").alias("high2")), (F.col("id") == F.col("head")) & (F.col("low") == F.col("low2")) & (F.col("high") == F.col("high2"))).dropDuplicates(["id", "low", "high"]).select("id", "n_shingles", "bands", F.struct("sketch", "whole").alias("sketch")), "heads")
     rows = heads.select("id", F.explode("bands").alias("band"))
     buckets = rows.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("band").alias("bucket"))
     inside = rows.join(buckets, F.col("band") == F.col("bucket")).select("band", "id")
@@ -176,7 +187,9 @@ def near_groups(docs: DataFrame, width: int = 2, percent: int = PERCENT) -> Data
     least = percent / 100 - SLACK
 
     def allowed(na: str, nb: str, ka: str, kb: str) -> Column:
-        return (F.least(na, nb) * 100 >= F.greatest(na, nb) * percent) & (sketch_similarity(F.col(ka), F.col(kb)) >= least)
+        """What sizes, the whole sets' bitmaps (both for certain) and the samples' allow."""
+        possible = differing_bits(F.col(ka)["whole"], F.col(kb)["whole"]) * (100 + percent) <= (F.col(na) + F.col(nb)) * (100 - percent)
+        return (F.least(na, nb) * 100 >= F.greatest(na, nb) * percent) & possible & (sketch_similarity(F.col(ka)["sketch"], F.col(kb)["sketch"]) >= least)
 
     def placed(groups: DataFrame | None) -> DataFrame:
         """inside with the group that each document is in so far."""
@@ -196,7 +209,7 @@ def near_groups(docs: DataFrame, width: int = 2, percent: int = PERCENT) -> Data
     for turn in range(STARS):
         now = placed(groups)
         met = now.join(mains(now, turn), (F.col("band") == F.col("bucket")) & (F.col("group") != F.col("main")) & allowed("n", "pivot_n", "sketch", "pivot_sketch"))
-        stars = met.groupBy(F.col("pivot").alias("a"), F.col("id").alias("b")).agg(F.max(sketch_similarity(F.col("sketch"), F.col("pivot_sketch"))).alias("about"))
+        stars = met.groupBy(F.col("pivot").alias("a"), F.col("id").alias("b")).agg(F.max(sketch_similarity(F.col("sketch.sketch"), F.col("pivot_sketch.sketch"))).alias("about"))
         rank = F.row_number().over(Window.partitionBy("b").orderBy(F.desc("about"), "a"))
         best = stars.withColumn("rank", rank).filter(F.col("rank") <= TRIED).select("a", "b")
         links.append(common.written(confirmed(common.written(best, "pairs"), text_of, width, percent), "links"))
