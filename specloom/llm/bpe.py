@@ -33,12 +33,12 @@ from .binary_ids import tokenizer_path
 
 LONG = 256  # bytes of a piece beyond which a heap merges it
 BLOCK_BYTES = 4 << 20  # UTF-8 bytes of text whose distinct pieces are encoded together
-SLICE_BYTES = 1 << 20  # of them at a time
+SLICE_BYTES = 2 << 20  # of them at a time
 MET = 600_000  # pieces that a task remembers between blocks
 IDS = 1 << 16  # more than any id
 NONE = IDS - 1  # the rank of a pair that doesn't merge
 SAMPLE = 16_000  # rows in which frequent pieces are counted
-FREQUENT = 150_000  # of them, and so of the broadcast table
+FREQUENT = 500_000  # of them, and so of the broadcast table
 
 
 @functools.cache
@@ -144,16 +144,13 @@ class Pieces:
 
     fresh: the pieces that got a number since it was last emptied. Pieces are known by 64-bit hashes."""
 
-    def __init__(self, name: str, pattern: str, frequent: list[str]):
+    def __init__(self, name: str, pattern: str, frequent: np.ndarray):
         import regex
 
         self.name, self.find = name, regex.compile(pattern).findall
         self.base = base_codes(name).copy()
-        if frequent:
-            raw = [x.encode("utf-8", "surrogatepass") for x in frequent]
-            keys = hashes_of(raw)
-            order = np.argsort(keys)
-            self.base.add(keys[order], IDS + order.astype(np.int32), np.ones(len(raw), np.int64))
+        order = np.argsort(frequent)
+        self.base.add(frequent[order], IDS + order.astype(np.int32), np.ones(len(order), np.int64))
         self.first = IDS + len(frequent)
         self.start_over()
 
@@ -167,8 +164,9 @@ class Pieces:
         size = np.fromiter(map(len, pieces), np.int64, len(pieces))
         ends = np.cumsum(size)
         starts, ends = chars[ends - size], chars[ends]
-        one, inverse = arrays.distinct(arrays.span_hashes(data, starts, ends))
-        keys = arrays.span_hashes(data, starts, ends)[one]
+        hashes = arrays.span_hashes(data, starts, ends)
+        one, inverse = arrays.distinct(hashes)
+        keys = hashes[one]
         codes = np.full(len(keys), -1, np.int64)
         for store in (self.base, self.own):
             at, there = store.find(keys)
@@ -249,6 +247,8 @@ class Pieces:
 
 
 def hashes_of(pieces: list[bytes]) -> np.ndarray:
+    if not pieces:
+        return np.zeros(0, np.uint64)
     size = np.fromiter(map(len, pieces), np.int64, len(pieces))
     ends = np.cumsum(size)
     return arrays.span_hashes(np.frombuffer(b"".join(pieces), np.uint8), ends - size, ends)
@@ -272,17 +272,17 @@ def piece_ids(piece: Column, name: str) -> Column:
     return F.when(piece["ids"].isNotNull(), piece["ids"]).otherwise(fold(piece["bytes"], name))
 
 
-def frequent_pieces(df: DataFrame, name: str, sample: int = SAMPLE, most: int = FREQUENT) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Pieces that come most often in a bounded sample of the texts, their ids one after the other, and the number of each."""
+def frequent_pieces(df: DataFrame, name: str, sample: int = SAMPLE, most: int = FREQUENT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the pieces that come most often in a bounded sample of the texts, their ids one after the other, and the number of each."""
     import public_tokenizers
 
     pattern, n = public_tokenizers.PATTERN, df.count()
     if n <= sample:
-        return [], np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0, np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches, "text", SLICE_BYTES):
-            p = Pieces(name, pattern, [])
+            p = Pieces(name, pattern, np.zeros(0, np.uint64))
             codes, _ = p.of(batch.column("text"))
             count = np.bincount(codes, minlength=IDS + len(p.fresh))[IDS:]
             yield pa.RecordBatch.from_arrays([pa.array(p.fresh, pa.binary()), p.column(), pa.array(count, pa.int64())], names=["piece", "made", "n"])
@@ -292,7 +292,7 @@ def frequent_pieces(df: DataFrame, name: str, sample: int = SAMPLE, most: int =
     top = counts.orderBy(F.desc("n"), "piece").limit(most).repartition(max(8, df.sparkSession.sparkContext.defaultParallelism))
     found = top.select("piece", piece_ids(F.col("made"), name).alias("ids")).toArrow()
     ids = found.column("ids").combine_chunks()
-    return [x.decode("utf-8", "surrogatepass") for x in found.column("piece").to_pylist()], np.asarray(ids.flatten(), np.uint32), np.asarray(ids.value_lengths(), np.int64)
+    return hashes_of(found.column("piece").to_pylist()), np.asarray(ids.flatten(), np.uint32), np.asarray(ids.value_lengths(), np.int64)
 
 
 def blocks(df: DataFrame, name: str, frequent) -> DataFrame:
