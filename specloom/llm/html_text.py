@@ -1,12 +1,14 @@
 """Operator 6, HTML extraction by inferred union-free wrappers.
 
-Each page becomes a stream of structural tokens: block tags with their id or class, and text slots. Repeated groups in a stream are
-folded, ``( p # )+``. The distinct streams of a host, few however many pages it has, are aligned one after the other; what only one
-side has becomes an optional group, ``( aside # /aside )?``, so the host's wrapper is a union-free regular expression of all its
-pages. The text slots of the wrapper are judged by the path of elements to them: the main container is an article, else a main
-element, else the container whose slots hold most text outside links over all the host's pages; of it, slots under menus, footers,
-side bars, notices, adverts, forms and comments are left out. A page's main text is what it has in the slots that its host's wrapper
-keeps, in page order.
+Each page becomes a stream of structural tokens: block tags with their id or class, and text slots. Names that only few pages of a
+host have (ids by page) count as the bare tag. Repeated groups in a stream are folded, ``( p # )+``. The distinct streams of a host,
+few however many pages it has, are aligned one after the other; what only one side has becomes an optional group, ``( aside # /aside
+)?``, so the host's wrapper is a union-free regular expression of all its pages. Each page's stream is then matched against its host's
+wrapper, which gives every text block a slot, and slots are judged over all the host's pages: one whose text is the same on all
+pages that have it, half of the host's different pages and FIXED_PAGES at least, is a fixed block. The main container is chosen for
+each page, as pages of a host differ in layout: an article, else a main element, else of the page's containers the one whose blocks
+hold most text outside links over all the host's pages. Of it, blocks under menus, footers, side bars, notices, adverts, forms and
+comments and blocks in fixed slots are left out; fixed ones stay where nothing else is left. Pages without a host are judged alone.
 
 Defined results: null and empty html and pages without main text give an empty text; character references are decoded; white space
 becomes one space; the host of a null or odd url is ''; repeated rows have equal results.
@@ -16,6 +18,7 @@ from __future__ import annotations
 
 import difflib
 import functools
+import hashlib
 import html
 import re
 from collections import defaultdict
@@ -30,6 +33,8 @@ from . import common
 
 MAX_PERIOD = 12  # tokens of a group that is folded
 WRAPPER_BYTES = 8 << 20  # wrappers are broadcast up to this size, measured; beyond it they are joined by shuffling
+FIXED_PAGES = 3  # different pages on which a slot of equal text is a fixed block
+RARE = 0.05  # share of a host's pages below which a name counts as made for the page
 SALTS = 16  # parts in which a host's streams are aligned first
 
 TOKEN = re.compile(
@@ -130,10 +135,11 @@ def parse(page: str) -> tuple[list[str], list[tuple[str, str, int]]]:
     return tokens, blocks
 
 
-def fold(tokens: list[str]) -> list[str]:
-    """The stream with neighbouring repetitions of a group as one group, ( ... )+, short groups first."""
+def folded(tokens: list[str], marks: list[list[int]]) -> tuple[list[str], list[list[int]]]:
+    """The stream with neighbouring repetitions of a group as one group, ( ... )+, short groups first, and the marks of its tokens."""
     for period in range(1, min(MAX_PERIOD, len(tokens) // 2) + 1):
         out: list[str] = []
+        made: list[list[int]] = []
         i, n = 0, len(tokens)
         while i < n:
             group = tokens[i : i + period]
@@ -141,13 +147,21 @@ def fold(tokens: list[str]) -> list[str]:
                 j = i + period
                 while tokens[j : j + period] == group:
                     j += period
-                out += ["(", *group, ")+"] if not (period == 1 and group[0].startswith("(")) else group
+                joined = [[x for at in range(i + k, j, period) for x in marks[at]] for k in range(period)]
+                whole = not (period == 1 and group[0].startswith("("))
+                out += ["(", *group, ")+"] if whole else group
+                made += [[], *joined, []] if whole else joined
                 i = j
             else:
                 out.append(tokens[i])
+                made.append(marks[i])
                 i += 1
-        tokens = out
-    return tokens
+        tokens, marks = out, made
+    return tokens, marks
+
+
+def fold(tokens: list[str]) -> list[str]:
+    return folded(tokens, [[] for _ in tokens])[0]
 
 
 def balanced(group: list[str]) -> bool:
@@ -239,27 +253,90 @@ def excluded(path: list[str], inside: int) -> bool:
     return False
 
 
-def kept_paths(slots: dict[str, tuple[int, int]]) -> list[str]:
-    """The paths of main text among slots: path -> (characters, of them in links)."""
-    paths = {p: elements(p) for p in slots}
+def general(token: str, names: set[str] | None) -> str:
+    """The token, without its id, class and role if these are not among the host's names."""
+    return token if names is None or token in names else tag_of(token)
+
+
+def located(tokens: list[str], names: set[str] | None) -> tuple[list[str], list[list[int]]]:
+    """(the folded stream of general tokens, for each of its tokens the text blocks there)."""
+    count = iter(range(len(tokens)))
+    found, marks = folded(tokens, [[next(count)] if x == "#" else [] for x in tokens])
+    return folded([general(x, names) for x in found], marks)
+
+
+def slots(wrapper: list[str], stream: list[str]) -> list[int]:
+    """For each token of a stream the place in the wrapper that it matches, or -1."""
+    signs = ("(", ")+", ")?")
+    at = [i for i, x in enumerate(wrapper) if x not in signs]
+    of = [i for i, x in enumerate(stream) if x not in signs]
+    out = [-1] * len(stream)
+    for i, j, n in difflib.SequenceMatcher(None, [wrapper[k] for k in at], [stream[k] for k in of], autojunk=False).get_matching_blocks():
+        for k in range(n):
+            out[of[j + k]] = at[i + k]
+    return out
+
+
+class Matcher:
+    """Text blocks of pages and their slots in their hosts' wrappers; what equal streams give is known from the first."""
+
+    MOST = 4096  # streams that are remembered
+
+    def __init__(self) -> None:
+        self.known: dict[tuple, list[int]] = {}
+
+    def __call__(self, page: str, wrapper: str | None, names: set[str] | None) -> tuple[list[tuple[str, str, int]], list[str]]:
+        """(blocks, for each its slot: the place in the wrapper and the general path, as other layouts may match there too, or '')."""
+        tokens, found = parse(page)
+        out = [""] * len(found)
+        if wrapper:
+            stream, marks = located(tokens, names)
+            key = (wrapper, tuple(stream))
+            if key not in self.known:
+                if len(self.known) >= self.MOST:
+                    self.known.clear()
+                self.known[key] = slots(wrapper.split(" "), stream)
+            for slot, blocks in zip(self.known[key], marks, strict=True):
+                for k in blocks if slot >= 0 else ():
+                    out[k] = f"{slot}>" + ">".join([general(x, names) for x in elements(found[k][0])])
+        return found, out
+
+
+def masses(blocks: list[tuple[str, str, int]], names: set[str] | None) -> tuple[dict[int, list[str]], dict[str, float]]:
+    """(general path by number of each block that may be main text, text outside links by container)."""
+    size: dict[str, list[int]] = defaultdict(lambda: [0, 0])
+    for path, raw, links in blocks:
+        size[path][0] += len(raw)
+        size[path][1] += links
+    free: dict[str, list[str]] = {}
+    mass: dict[str, float] = defaultdict(float)
+    for path, (chars, links) in size.items():
+        x = elements(path)
+        if chars > 2 * links and not excluded(x, len(x)):
+            free[path] = g = [general(e, names) for e in x]
+            container = g if not g or tag_of(g[-1]) not in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "blockquote", "pre", "td") else g[:-1]
+            weight = 1.5 if x and CONTENT.search(re.sub(r"[#.@_]+", " ", x[len(container) - 1] if container else "")) else 1.0
+            mass[">".join(container)] += (chars - 2 * links) * weight
+    return {k: free[path] for k, (path, _, _) in enumerate(blocks) if path in free}, mass
+
+
+def main_blocks(blocks: list[tuple[str, str, int]], names: set[str] | None, containers: dict[str, float]) -> list[int]:
+    """The numbers of a page's blocks in its main container; containers: text by container over the host's pages."""
+    paths = [elements(p) for p, _, _ in blocks]
     for wanted in ("article", "main", "role"):
         found = []
-        for p, x in paths.items():
-            at = next((k for k, e in enumerate(x) if tag_of(e) == wanted or (wanted == "role" and e.endswith("@main"))), None)
+        for k, x in enumerate(paths):
+            at = next((i for i, e in enumerate(x) if tag_of(e) == wanted or (wanted == "role" and e.endswith("@main"))), None)
             if at is not None and not excluded(x, at):
-                found.append(p)
-        if sum(slots[p][0] for p in found) > 0:
-            return sorted(found)
-    free = {p: x for p, x in paths.items() if not excluded(x, len(x)) and slots[p][0] > 2 * slots[p][1]}
-    mass: dict[str, float] = defaultdict(float)
-    for p, x in free.items():
-        container = x if tag_of(x[-1]) not in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "blockquote", "pre", "td") else x[:-1]
-        name = ">".join(container)
-        mass[name] += (slots[p][0] - 2 * slots[p][1]) * (1.5 if container and CONTENT.search(re.sub(r"[#.@_]+", " ", container[-1])) else 1.0)
+                found.append(k)
+        if found:
+            return found
+    free, mass = masses(blocks, names)
     if not mass:
         return []
-    best = max(sorted(mass), key=mass.get)
-    return sorted(p for p in free if (">".join(paths[p]) + ">").startswith(best + ">" if best else ""))
+    least = max(mass.values()) / 5  # a container of little text here isn't this page's, however much it has on others
+    best = max((x for x in sorted(mass) if mass[x] >= least), key=lambda x: (containers.get(x, 0.0), mass[x]))
+    return [k for k, x in free.items() if (">".join(x) + ">").startswith(best + ">" if best else "")]
 
 
 def clean(raw: str) -> str:
@@ -270,67 +347,119 @@ def host(pages: DataFrame):
     return F.coalesce(F.lower(F.regexp_extract("url", HOST, 1)), F.lit(""))
 
 
+def rows_of(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+
+
 def streams(pages: DataFrame) -> DataFrame:
-    """(host, kind, key, chars, links): folded token streams (kind s) and slot paths (kind p) of pages (host, html), summed by batch."""
+    """(host, key, pages): folded token streams of pages (host, html), counted by batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found: dict[tuple[str, str, str], list[int]] = defaultdict(lambda: [0, 0])
+            found: dict[tuple[str, str], int] = defaultdict(int)
             for name, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
                 if page:
-                    tokens, blocks = parse(page)
-                    found[name, "s", "\x01".join(fold(tokens))][0] += 1
-                    for path, raw, links in blocks:
-                        slot = found[name, "p", path]
-                        slot[0] += len(raw)
-                        slot[1] += links
-            rows = [(*k, *v) for k, v in found.items()]
-            if rows:
-                kinds = [pa.string()] * 3 + [pa.int64()] * 2
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["host", "kind", "key", "chars", "links"])
+                    found[name, " ".join(fold(parse(page)[0]))] += 1
+            if found:
+                yield rows_of([(*k, v) for k, v in found.items()], ["host", "key", "pages"], [pa.string(), pa.string(), pa.int64()])
 
-    return pages.mapInArrow(run, "host string, kind string, key string, chars long, links long").groupBy("host", "kind", "key").agg(F.sum("chars").alias("chars"), F.sum("links").alias("links"))
+    return pages.mapInArrow(run, "host string, key string, pages long").groupBy("host", "key").agg(F.sum("pages").alias("pages"))
 
 
 def aligned(keys: list[str]) -> str:
     """The wrapper of folded streams or wrappers, aligned from the longest on."""
-    ordered = sorted(set(keys), key=lambda x: (-x.count("\x01"), x))
-    return "\x01".join(functools.reduce(align, [x.split("\x01") for x in ordered]))
+    ordered = sorted(set(keys), key=lambda x: (-x.count(" "), x))
+    return " ".join(functools.reduce(align, [x.split(" ") for x in ordered]))
 
 
-def wrappers(pages: DataFrame) -> DataFrame:
-    """(host, wrapper: the expression, kept: paths of its main-text slots)."""
-    found = common.written(streams(pages.select(host(pages).alias("host"), "html")), "streams")
+def expressions(pages: DataFrame) -> DataFrame:
+    """(host, wrapper: the expression, names: what its pages call their elements)."""
+    found = common.written(streams(pages.select(host(pages).alias("host"), "html").filter("host <> ''")), "streams")
+    total = found.groupBy("host").agg(F.sum("pages").alias("total"))
+    seen = found.select("host", F.explode(F.array_distinct(F.split("key", " "))).alias("name"), "pages").groupBy("host", "name").agg(F.sum("pages").alias("pages"))
+    often = (F.col("total") == 1) | ((F.col("pages") >= 2) & (F.col("pages") >= F.col("total") * RARE))
+    names = common.written(seen.join(total, "host").filter(often).groupBy("host").agg(F.collect_set("name").alias("names")), "names")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = set()
+            for name, key, known in zip(batch.column("host").to_pylist(), batch.column("key").to_pylist(), batch.column("names").to_pylist(), strict=True):
+                known = {*known, "(", ")+", "#"} if known else {"(", ")+", "#"}
+                out.add((name, " ".join(fold([general(x, known) for x in key.split(" ")]))))
+            if out:
+                yield rows_of(sorted(out), ["host", "key"], [pa.string(), pa.string()])
 
     def merge(key, group: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"host": [key[0]], "key": [aligned(group["key"].tolist())]})
 
-    parts = found.filter("kind = 's'").select("host", "key", F.pmod(F.xxhash64("key"), F.lit(SALTS)).alias("salt"))
-    parts = parts.groupBy("host", "salt").applyInPandas(merge, "host string, key string")
+    parts = found.join(names, "host", "left").select("host", "key", "names").mapInArrow(run, "host string, key string").distinct()
+    parts = parts.groupBy("host", F.pmod(F.xxhash64("key"), F.lit(SALTS)).alias("salt")).applyInPandas(merge, "host string, key string")
     whole = parts.groupBy("host").applyInPandas(merge, "host string, key string").toDF("host", "wrapper")
+    return whole.join(names, "host", "left")
 
-    def judge(key, group: pd.DataFrame) -> pd.DataFrame:
-        slots = dict(zip(group["key"], zip(group["chars"].tolist(), group["links"].tolist(), strict=True), strict=True))
-        return pd.DataFrame({"slot_host": [key[0]], "kept": [kept_paths(slots)]})
 
-    kept = found.filter("kind = 'p'").select("host", "key", "chars", "links").groupBy("host").applyInPandas(judge, "slot_host string, kept array<string>")
-    whole = whole.join(kept, F.col("host") == F.col("slot_host"), "left")
-    return whole.select("host", F.translate("wrapper", "\x01", " ").alias("wrapper"), F.coalesce("kept", F.array().cast("array<string>")).alias("kept"))
+def with_hosts(pages: DataFrame, made: DataFrame) -> DataFrame:
+    """pages (page_id, url, html) with their hosts' columns of made; broadcast if these are small, as measured."""
+    rest = [c for c in made.columns if c != "host"]
+    size = made.select(F.sum(F.length(F.to_json(F.struct("*"))))).first()[0] or 0
+    made = made.withColumnRenamed("host", "__of")
+    made = F.broadcast(made) if size <= WRAPPER_BYTES else made
+    return pages.withColumn("__host", host(pages)).join(made, F.col("__host") == F.col("__of"), "left").select(*pages.columns, F.col("__host").alias("host"), *rest)
+
+
+def wrappers(pages: DataFrame) -> DataFrame:
+    """(host, wrapper, names, fixed: slots that hold a fixed block, containers: text by container)."""
+    made = common.written(expressions(pages), "expressions")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        match = Matcher()
+        for batch in batches:
+            out: set[tuple[str, str, int, int]] = set()
+            mass: dict[tuple[str, str], float] = defaultdict(float)
+            for name, page, same, wrapper, names in zip(*[batch.column(c).to_pylist() for c in ("host", "html", "same", "wrapper", "names")], strict=True):
+                if page and name:
+                    known = set(names or ())
+                    blocks, places = match(page, wrapper, known)
+                    texts: dict[str, list[str]] = defaultdict(list)
+                    for (_, raw, _), slot in zip(blocks, places, strict=True):
+                        if slot:
+                            texts[slot].append(clean(raw))
+                    out.add((name, "", 0, same))
+                    out.update((name, slot, int.from_bytes(hashlib.blake2b("\n".join(x).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True), same) for slot, x in texts.items())
+                    for container, chars in masses(blocks, known)[1].items():
+                        mass[name, container] += chars
+            rows = [(name, slot, content, same, None, 0.0) for name, slot, content, same in sorted(out)] + [(name, None, 0, 0, c, m) for (name, c), m in mass.items()]
+            if rows:
+                yield rows_of(rows, ["host", "slot", "content", "same", "container", "mass"], [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.float64()])
+
+    joined = with_hosts(pages.select("url", "html"), made).withColumn("same", F.xxhash64("html"))
+    found = common.written(joined.select("host", "html", "same", "wrapper", "names").mapInArrow(run, "host string, slot string, content long, same long, container string, mass double"), "slots")
+    by_slot = found.filter("slot is not null").groupBy("host", "slot", "same").agg(F.min("content").alias("least"), F.max("content").alias("most"))
+    by_slot = by_slot.groupBy("host", "slot").agg(F.count(F.lit(1)).alias("n"), F.min("least").alias("least"), F.max("most").alias("most"))
+    total = by_slot.filter("slot = ''").select("host", F.col("n").alias("total"))
+    fixed = by_slot.filter(f"slot <> '' and n >= {FIXED_PAGES} and least = most").join(total, "host").filter("n * 2 >= total").groupBy("host").agg(F.collect_list("slot").alias("fixed"))
+    weight = found.filter("slot is null").groupBy("host", "container").agg(F.sum("mass").alias("mass")).groupBy("host").agg(F.map_from_entries(F.collect_list(F.struct("container", "mass"))).alias("containers"))
+    return made.join(fixed, "host", "left").join(weight, "host", "left")
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """pages (page_id, url, html) without html, with text and n_chars."""
-    made = common.written(wrappers(pages), "wrappers").select(F.col("host").alias("__of"), "kept")
-    size = made.select(F.sum(F.length("__of") + F.aggregate("kept", F.lit(0), lambda s, x: s + F.length(x)))).first()[0] or 0
-    made = F.broadcast(made) if size <= WRAPPER_BYTES else made
-    joined = pages.select("page_id", "url", "html", host(pages).alias("__host")).join(made, F.col("__host") == F.col("__of"), "left").select("page_id", "url", "html", "kept")
+    joined = with_hosts(pages.select("page_id", "url", "html"), common.written(wrappers(pages), "wrappers"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        match = Matcher()
         for batch in batches:
             out = []
-            for page, kept in zip(batch.column("html").to_pylist(), batch.column("kept").to_pylist(), strict=True):
-                keep = set(kept or ())
-                out.append(clean(" ".join([raw for path, raw, _ in parse(page)[1] if path in keep])) if page and keep else "")
+            for page, wrapper, names, fixed, containers in zip(*[batch.column(c).to_pylist() for c in ("html", "wrapper", "names", "fixed", "containers")], strict=True):
+                if not page:
+                    out.append("")
+                    continue
+                known = None if wrapper is None else set(names or ())
+                blocks, places = match(page, wrapper, known)
+                chosen = main_blocks(blocks, known, dict(containers or ()))
+                gone = set(fixed or ())
+                chosen = [k for k in chosen if places[k] not in gone] or chosen
+                out.append(clean(" ".join([blocks[k][1] for k in chosen])))
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(out, pa.string()), pa.array(list(map(len, out)), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     return joined.mapInArrow(run, f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string, text string, n_chars long")

@@ -176,6 +176,20 @@ def test_html(spark):
     assert html_text.extract(df.limit(0)).count() == 0
 
 
+def test_html_fixed_slots_and_layouts(spark):
+    fixed = "<div><p>Fixed block of the site.</p></div>"
+    rows = [(i, "http://c.example/%d" % i, f"<body><article><h1>Title {i}</h1>{fixed}<p>Story number {i}.</p></article></body>") for i in range(4)]
+    rows += [(10, "http://c.example/m", "<body><main><p>Main layout.</p></main></body>"), (11, "http://c.example/d", "<body><div id=x><p>Plain layout.</p></div></body>")]
+    rows += [(20 + i, "http://d.example/%d" % i, f"<body><div id=post-{slug}><p>Text of {slug} here.</p></div></body>") for i, slug in enumerate(("ant", "bee", "cat"))]
+    rows += [(30, None, "<body><article><p>One site.</p></article></body>"), (31, "odd", "<body><div><p>Another site.</p></div></body>")]
+    rows += [(40 + i, "http://e.example/", "<body><article><p>Copy.</p></article></body>") for i in range(4)]
+    out = {r["page_id"]: r["text"] for r in html_text.extract(ready(spark).createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [out[i] for i in range(4)] == [f"Title {i} Story number {i}." for i in range(4)]
+    assert [out[10], out[11], out[30], out[31]] == ["Main layout.", "Plain layout.", "One site.", "Another site."]
+    assert [out[20 + i] for i in range(3)] == [f"Text of {x} here." for x in ("ant", "bee", "cat")]
+    assert all(out[40 + i] == "Copy." for i in range(4))
+
+
 def test_wrapper_alignment():
     a, b = html_text.fold(["ul", "li", "#", "li", "#", "li", "#", "/ul"]), html_text.fold(["ul", "li", "#", "/ul", "p", "#"])
     assert a == ["ul", "(", "li", "#", ")+", "/ul"]
