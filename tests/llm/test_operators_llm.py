@@ -133,6 +133,30 @@ def test_passages(spark):
     assert passages.dedup(docs(spark, rows).limit(0)).count() == 0
 
 
+def test_passages_keep_what_does_not_repeat(spark):
+    rng = random.Random(21)
+    form = [words(rng, 14) for _ in range(8)]
+    rows = [(i, " ".join(" ".join([*p, f"value{i}x{k}", f"more{i}x{k}", f"still{i}x{k}"]) for k, p in enumerate(form))) for i in range(3)]
+    parts = [words(rng, 30) for _ in range(4)]
+    rows += [(10 + i, " ".join(words(rng, 40) + p + words(rng, 40))) for i, p in enumerate(parts)]
+    rows.append((20, " ".join(sum(parts, []))))
+    near = words(rng, 200)
+    rows += [(i, "\n".join(" ".join(w[k : k + 10]) for k in range(0, 200, 10))) for i, w in ((30, near), (31, [*near[:100], "unlike", *near[101:]]))]  # no line is long
+    out = {r["doc_id"]: r for r in passages.dedup(docs(spark, rows)).collect()}
+    assert all(not out[i]["changed"] for i in (0, 1, 2, 10, 11, 12, 13, 20, 30))  # common phrases, no common passage
+    assert out[31]["text"].split() == ["unlike"] and out[31]["n_removed"] == 199
+
+
+def test_passages_edges_are_exact(spark):
+    rng = random.Random(22)
+    passage = words(rng, 80)
+    sides = [([f"a{i}x{k}" for k in range(30)], [f"b{i}x{k}" for k in range(30)]) for i in range(600)]
+    rows = [(i, " ".join([*a, *passage, *b])) for i, (a, b) in enumerate(sides)]
+    out = {r["doc_id"]: r["text"] for r in passages.dedup(docs(spark, rows)).collect()}
+    assert out[0] == rows[0][1]
+    assert all(out[i].split() == [*a, *b] for i, (a, b) in enumerate(sides) if i)
+
+
 def test_language(spark):
     rng = random.Random(3)
     syll = {"xx": ["ka", "lo", "mi", "tu"], "yy": ["sch", "ein", "ber", "ung"]}
