@@ -1,6 +1,7 @@
 """Operator 7, licence scans: a trained paragraph classifier. DataFrame and SQL functions only on the scanning path.
 
-Paragraphs are the lines of a text, long ones by sentence. Word n-grams (1 to 3) are hashed to DIM features; a multinomial logistic
+Paragraphs stand between blank lines. Of one with an anchor, its lines and its lines joined (wrapped notices) are compared; long ones
+by sentence and by windows of WINDOWS words, a quarter of that apart, so that each statement lies whole in one of its own size. Word n-grams (1 to 3) are hashed to DIM features; a multinomial logistic
 regression over them, fitted on the statements below, variants of them and a bounded sample of other paragraphs of the corpus, gives
 each family a probability. Its temperature and the threshold below which a paragraph is ``unknown`` are calibrated on variants and
 paragraphs that it was not fitted on. A prediction is confirmed by comparison: the paragraph must hold most word pairs of one of the
@@ -22,11 +23,13 @@ from pyspark.sql import functions as F
 from . import common
 
 DIM = 1 << 12
-LONG = 40  # words of a line beyond which its sentences are paragraphs
+LONG = 40  # words of a line beyond which its sentences and windows are compared
+WINDOWS = (8, 16, 32, 48)  # words
 NEGATIVES = 400  # other paragraphs that are collected to fit at most
 FALSE_SHARE = 0.01  # of other paragraphs that may pass the threshold
 HELD = 0.6  # of a statement's word pairs that a paragraph must hold
 ANCHORS = r"(?i)licen[cs]|copyright|warrant|rights reserved|public domain|redistribut|permission"
+ANCHOR_WORDS = r"(?i)licen[cs]|copyright|warrant|rights|public|redistribut|permission"  # a word of each of them
 
 #: Usual statements of each licence family.
 STATEMENTS: dict[str, list[str]] = {
@@ -181,11 +184,28 @@ class Classifier:
 
 
 def paragraphs(text: Column) -> Column:
-    """Lines with an anchor; of long ones their sentences with an anchor."""
+    """What is compared of the paragraphs with an anchor: lines and joined lines with one; of long ones sentences and windows with one."""
     anchored = lambda x: x.rlike(ANCHORS)
-    found = F.filter(F.split(text, "\n"), anchored)
-    parts = F.transform(found, lambda x: F.when(F.size(F.split(x, " ")) > LONG, F.filter(F.split(x, r"(?<=[.!?])\s+"), anchored)).otherwise(F.array(x)))
-    return F.flatten(parts)
+
+    def windows(x: Column) -> Column:
+        def of(words: Column) -> Column:
+            places = F.filter(F.transform(words, lambda w, i: F.when(w.rlike(ANCHOR_WORDS), i)), lambda i: i.isNotNull())
+
+            def sized(n: int) -> Column:
+                step = n // 4  # a place lies in four windows
+                first = F.array_distinct(F.flatten(F.transform(places, lambda i: F.array(*[F.greatest(F.lit(0), ((i / step).cast("int") - k) * step) for k in range(4)]))))
+                return F.transform(first, lambda i: F.array_join(F.slice(words, i + 1, F.lit(n)), " "))
+
+            return F.concat(*[sized(n) for n in WINDOWS])
+
+        return F.get(F.transform(F.array(F.split(x, r"\s+")), of), F.lit(0))
+
+    def parts(x: Column) -> Column:
+        return F.when(F.size(F.split(x, " ")) > LONG, F.filter(F.concat(F.split(x, r"(?<=[.!?])\s+"), windows(x)), anchored)).otherwise(F.array(x))
+
+    found = F.filter(F.split(text, r"\n[\x20\t\r]*\n"), anchored)
+    pieces = F.flatten(F.transform(found, lambda x: F.concat(F.filter(F.split(x, "\n"), anchored), F.when(x.contains("\n"), F.array(F.regexp_replace(x, r"[\x20\t\r]*\n[\x20\t\r#*/;%-]*", " "))).otherwise(F.array().cast("array<string>")))))
+    return F.array_distinct(F.flatten(F.transform(pieces, parts)))
 
 
 def train(spark: SparkSession, docs: DataFrame, negatives: int = NEGATIVES) -> Classifier:

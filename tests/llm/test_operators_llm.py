@@ -183,6 +183,28 @@ def test_licences(spark):
     assert sorted(out[7]["licences"]) == ["gpl", "proprietary"]
 
 
+def test_licences_wrapped(spark):
+    bsd = """Copyright (c) 2019, The authors
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+* Redistributions of source code must retain the above copyright notice, this
+  list of conditions and the following disclaimer."""
+    mit = """ * Permission is hereby
+ * granted, free of charge,
+ * to any person obtaining
+ * a copy of this software
+ * and associated
+ * documentation files (the Software), to deal in the Software without
+ * restriction, including without limitation the rights to use, copy, modify,
+ * merge, publish, distribute, sublicense, and sell copies of the Software"""
+    df = docs(spark, [(1, bsd), (2, mit), (3, bsd.split("\n\n")[1]), (4, " ".join(["word"] * 100) + " " + mit.replace("\n *", ""))])
+    out = {r["doc_id"]: r["licences"] for r in licences.scan(df, licences.train(spark, df.select("text"))).collect()}
+    assert "bsd" in out[1] and out[3] == ["bsd"] and out[2] == out[4] == ["mit"]
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a="</p>";</script></head><body><nav><ul><li><a href="/a">Menu</a></li></ul></nav>
 <div class="ad">Buy &amp; win</div><article class="post"><h1>Head</h1><p>One  <b>bo</b>ld &eacute;<p>Two<br>lines</p><aside>Side</aside>%s<div id="comments"><p>nice</p></div></article><footer>(c)</footer>"""
 
