@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
@@ -20,7 +22,6 @@ BLANK[32] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
-_BYTE = np.random.default_rng(20240607).integers(1, 1 << 63, 256, dtype=np.uint64) * U(2) + U(1)
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -56,12 +57,46 @@ def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[bounds[0] : bounds[-1]], bounds - bounds[0]
 
 
+#: Bytes of a span that are hashed and compared eight at a time; longer spans go as wholes.
+EIGHTS = 64
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on, as an integer (beyond the end: 0)."""
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    return np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+
+
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hashes of byte spans: equal spans have equal hashes wherever they are."""
-    n = len(data)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTE[data] * powers("up", n), out=total[1:])
-    return mixed((total[ends] - total[starts]) * powers("down", n + 1)[starts] + (ends - starts).astype(np.uint64))
+    """Hashes of byte spans: equal spans have equal hashes wherever they are. Eight bytes at a time are mixed in; beyond EIGHTS bytes
+    a span's hash is its BLAKE2 digest."""
+    size = ends - starts
+    out = mixed(size.astype(np.uint64) + MULTIPLIER)
+    view, at = eights(data), np.flatnonzero(size <= EIGHTS)
+    for k in range(0, EIGHTS, 8):
+        at = at[size[at] > k]
+        if not len(at):
+            break
+        out[at] = mixed((out[at] ^ (view[starts[at] + k] & _MASK[np.minimum(size[at] - k, 8)])) * MULTIPLIER + U(k))
+    for i in np.flatnonzero(size > EIGHTS).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].data, digest_size=8).digest(), "little")
+    return out
+
+
+def equal_spans(a: np.ndarray, a_first: np.ndarray, b: np.ndarray, b_first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether size bytes of a and b from these places on are the same."""
+    out = np.ones(len(size), bool)
+    va, vb, at = eights(a), eights(b), np.flatnonzero(size <= EIGHTS)
+    for k in range(0, EIGHTS, 8):
+        at = at[size[at] > k]
+        if not len(at):
+            break
+        out[at] &= ((va[a_first[at] + k] ^ vb[b_first[at] + k]) & _MASK[np.minimum(size[at] - k, 8)]) == 0
+    for i in np.flatnonzero(size > EIGHTS).tolist():
+        n = int(size[i])
+        out[i] = np.array_equal(a[a_first[i] : a_first[i] + n], b[b_first[i] : b_first[i] + n])
+    return out
 
 
 class Words:
@@ -85,6 +120,14 @@ class Words:
         if hashes:
             self.hashes = span_hashes(self.data, self.starts, self.ends)
 
+    def differ(self, some: np.ndarray, others: np.ndarray) -> np.ndarray:
+        """Whether the bytes of some words are not those of others."""
+        size = self.ends[some] - self.starts[some]
+        same = size == self.ends[others] - self.starts[others]
+        at = np.flatnonzero(same & (some != others))
+        same[at] = equal_spans(self.data, self.starts[some[at]], self.data, self.starts[others[at]], size[at])
+        return ~same
+
     def string(self, k: int) -> str:
         return self.data[self.starts[k] : self.ends[k]].tobytes().decode("utf-8", "surrogatepass")
 
@@ -116,7 +159,8 @@ def gather(flat: np.ndarray, sizes: np.ndarray, chosen: np.ndarray) -> tuple[np.
 
 
 class Store:
-    """Lists of integers by 64-bit key, in arrays: sorted keys, and for each where its list lies in one flat array."""
+    """Lists of integers by byte string, in arrays: sorted 64-bit hashes, for each where its list lies in one flat array and where its
+    bytes lie in another. A hash alone is no hit: the bytes are compared."""
 
     def __init__(self, kind: str, most: int):
         self.kind, self.most = kind, most
@@ -125,31 +169,48 @@ class Store:
     def clear(self) -> None:
         self.keys, self.first, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32)
         self.flat, self.used = np.zeros(1 << 16, self.kind), 0
+        self.place, self.length = np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.bytes, self.filled = np.zeros(1 << 16, np.uint8), 0
 
     def copy(self) -> Store:
         out = Store(self.kind, self.most)
         out.keys, out.first, out.size, out.flat, out.used = self.keys, self.first, self.size, self.flat.copy(), self.used
+        out.place, out.length, out.bytes, out.filled = self.place, self.length, self.bytes.copy(), self.filled
         return out
 
-    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(place of each key, whether it is there)."""
+    def find(self, keys: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place of each key, whether it is there with the bytes of the span, whether it is there with others)."""
         at = np.searchsorted(self.keys, keys)
-        there = np.zeros(len(keys), bool)
+        hit = np.zeros(len(keys), bool)
         inside = at < len(self.keys)
-        there[inside] = self.keys[at[inside]] == keys[inside]
-        return at, there
-
-    def add(self, keys: np.ndarray, flat: np.ndarray, size: np.ndarray) -> None:
-        """Add lists under new, ascending keys."""
+        hit[inside] = self.keys[at[inside]] == keys[inside]
+        there = hit.copy()
+        k, size = np.flatnonzero(hit), ends - starts
+        there[k] = self.length[at[k]] == size[k]
+        k = np.flatnonzero(there)
+        there[k] = equal_spans(self.bytes, self.place[at[k]], data, starts[k], size[k])
+        return at, there, hit & ~there
+
+    def add(self, keys: np.ndarray, flat: np.ndarray, size: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
+        """Add lists under new, ascending keys of the spans' bytes."""
         if len(self.keys) + len(keys) > self.most:
             self.clear()
         at = np.searchsorted(self.keys, keys)
         first = self.used + np.cumsum(size) - size
-        if self.used + len(flat) > len(self.flat):
-            self.flat = np.concatenate((self.flat[: self.used], np.zeros(self.used + 2 * len(flat), self.kind)))
-        self.flat[self.used : self.used + len(flat)] = flat
-        self.used += len(flat)
+        self.flat, self.used = extended(self.flat, self.used, flat)
+        length = ends - starts
+        place = self.filled + np.cumsum(length) - length
+        self.bytes, self.filled = extended(self.bytes, self.filled, take(data, starts, length))
         self.keys, self.first, self.size = np.insert(self.keys, at, keys), np.insert(self.first, at, first), np.insert(self.size, at, size)
+        self.place, self.length = np.insert(self.place, at, place), np.insert(self.length, at, length)
+
+
+def extended(values: np.ndarray, used: int, more: np.ndarray) -> tuple[np.ndarray, int]:
+    """values with more after the used ones (in a larger array if need be), and how many are used."""
+    if used + len(more) > len(values):
+        values = np.concatenate((values[:used], np.zeros(used + 2 * len(more), values.dtype)))
+    values[used : used + len(more)] = more
+    return values, used + len(more)
 
 
 def sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:

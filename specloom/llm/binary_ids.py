@@ -166,18 +166,24 @@ class Encoder:
         n = len(whole)
         text = np.repeat(np.arange(n), np.diff(w.bounds))
         first = w.starts == w.texts[text]
-        plain = np.flatnonzero(~first & ~whole[text])
-        one, number = arrays.distinct(w.hashes[plain])
-        one = plain[one]
-        keys = w.hashes[one]
-        _, there = self.known.find(keys)
+        while True:
+            plain = np.flatnonzero(~first & ~whole[text])
+            one, number = arrays.distinct(w.hashes[plain])
+            one = plain[one]
+            keys, a, b = w.hashes[one], w.starts[one], w.ends[one]
+            at, there, clash = self.known.find(keys, w.data, a, b)
+            # words that share a hash with others: their texts go to the library whole
+            bad = np.concatenate((plain[w.differ(plain, one[number])], plain[clash[number]]))
+            if not len(bad):
+                break
+            whole[text[bad]] = True
         if not there.all():
             if len(self.known.keys) + len(keys) > CACHED:
                 self.known.clear()
                 there[:] = False
             new = one[~there]
-            self.known.add(keys[~there], *self.words(w.data, w.starts[new], w.ends[new]))
-        at, there = self.known.find(keys)
+            self.known.add(keys[~there], *self.words(w.data, w.starts[new], w.ends[new]), w.data, w.starts[new], w.ends[new])
+            at, there, _ = self.known.find(keys, w.data, a, b)
         assert there.all()
         # what each text begins with: its first word, or all of it
         stops = w.texts[:-1].copy()

@@ -3,10 +3,12 @@
 Texts are cut into pieces by the tokenizer's pattern. Rows are taken in blocks; the distinct pieces of a block that are no tokens
 themselves go, as byte arrays, through Spark's higher-order functions: ``aggregate`` folds over the merge steps, each taking the
 adjacent pair of lowest rank from a literal rank map. The map is a row-displaced table: the merge of ids (a, b) stands at
-``base[a] + b`` and carries a, so one look tells the rank or that there is none. The ids of the pieces are then put together for
-each text; decoding concatenates the ids' byte strings. Texts are neither shuffled nor collected; blocks bound the memory, and a task folds a piece once while it remembers it. Of a
-larger table the pieces that are frequent in a bounded sample (FREQUENT of them at most, SAMPLE rows) are encoded once and
-broadcast; they save work alone, every other piece is encoded in its block.
+``base[a] + b`` and carries a, so one look tells the rank or that there is none. Its arrays come into the plan as a constant one-row
+subquery: as literals in the plan's text its megabytes would be in every description of the plan that the driver keeps. The ids of
+the pieces are then put together for each text; decoding concatenates the ids' byte strings. Texts are neither shuffled nor
+collected; blocks bound the memory, and a task folds a piece once while it remembers it. Of a larger table the pieces that are
+frequent in a bounded sample (FREQUENT of them at most, SAMPLE rows) are encoded once and broadcast; they save work alone, every
+other piece is encoded in its block. Pieces are found by hashes and told apart by their bytes.
 
 The fold is quadratic in a piece's length; pieces of over LONG bytes (a long run without a break) are merged by a heap instead.
 
@@ -50,12 +52,13 @@ def load_ranks(name: str) -> dict[bytes, int]:
     return ranks
 
 
-def merge(piece: bytes, ranks: dict[bytes, int]) -> list[bytes]:
-    """The parts that are left when no adjacent pair has a rank, the lowest (leftmost) merged first. Linear memory, n log n steps."""
+def merge(piece: bytes, ranks: dict[bytes, int], below: int = IDS) -> list[bytes]:
+    """The parts that are left when no adjacent pair has a rank below the given one, the lowest (leftmost) merged first. Linear memory,
+    n log n steps."""
     n = len(piece)
     part: list[bytes | None] = [piece[i : i + 1] for i in range(n)]
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-    heap = [(ranks[piece[i : i + 2]], i, piece[i : i + 2]) for i in range(n - 1) if piece[i : i + 2] in ranks]
+    heap = [(ranks[x], i, x) for i in range(n - 1) if ranks.get(x := piece[i : i + 2], below) < below]
     heapq.heapify(heap)
     while heap:
         _, i, both = heapq.heappop(heap)
@@ -67,7 +70,7 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[bytes]:
         if after[i] < n:
             before[after[i]] = i
         for a in (before[i], i):
-            if a >= 0 and after[a] < n and (x := part[a] + part[after[a]]) in ranks:
+            if a >= 0 and after[a] < n and ranks.get(x := part[a] + part[after[a]], below) < below:
                 heapq.heappush(heap, (ranks[x], a, x))
     return [x for x in part if x is not None]
 
@@ -79,7 +82,7 @@ def rank_table(name: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     rows: dict[int, list[tuple[int, int]]] = {}
     for token, rank in ranks.items():
         if len(token) > 1:
-            parts = merge(token, {k: r for k, r in ((token[i:j], ranks.get(token[i:j], rank)) for i in range(len(token)) for j in range(i + 2, len(token) + 1)) if r < rank})
+            parts = merge(token, ranks, rank)
             if len(parts) == 2:
                 rows.setdefault(ranks[parts[0]], []).append((ranks[parts[1]], rank))
     top = max(ranks.values()) + 2  # one more than all ids: what stands before and after a piece
@@ -87,71 +90,75 @@ def rank_table(name: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     rng = np.random.default_rng(0)
     for a, row in sorted(rows.items(), key=lambda x: (-len(x[1]), x[0])):
         b = np.array([x for x, _ in row])
-        while (used[b + (at := int(rng.integers(0, 2 * len(ranks) + 1)))] >= 0).any():
-            pass
+        at = -1
+        while at < 0:  # the first of many places where the row fits
+            tried = rng.integers(0, 2 * len(ranks) + 1, 512 if len(b) > 4 else 8)
+            for k in range(0, len(b), 16):
+                tried = tried[(used[b[k : k + 16] + tried[:, None]] < 0).all(1)]
+            at = int(tried[0]) if len(tried) else -1
         base[a], used[b + at] = at, a * IDS + np.array([r for _, r in row])
     single = np.array([ranks[bytes([i])] for i in range(256)])
     return single, base, used[: int(base.max()) + top + 1]
 
 
-def literal(values: np.ndarray, kind: str) -> Column:
-    """A literal array: folded once, when the plan is optimized."""
-    return F.split(F.lit(",".join(map(str, values.tolist()))), ",").cast(f"array<{kind}>")
+def constant_tables(spark: SparkSession, name: str) -> Column:
+    """The rank map as a constant of the plan: struct of start, bases, merges. It has one row."""
+    single, base, table = rank_table(name)
+    rows = [pa.array([x.tolist()], pa.list_(k)) for x, k in ((np.roll(single, 128), pa.int32()), (base, pa.int32()), (table, pa.int64()))]
+    one = spark.createDataFrame(pa.Table.from_arrays(rows, names=["start", "bases", "merges"]))
+    return one.select(F.struct("start", "bases", "merges")).scalar()
 
 
 def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def fold(piece: Column, name: str) -> Column:
-    """Ids of a piece (array of signed bytes): the merges as a fold over the array, one for each step.
+def fold(piece: Column, start: Column, bases: Column, merges: Column, edge: int) -> Column:
+    """Ids of a piece (array of signed bytes): the merges as a fold over the array, one for each step; edge: an id that merges with
+    nothing.
 
     The state is an array with one integer for each part, its pair's rank above its id: the least one is the pair to merge."""
-    single, base, table = rank_table(name)
-    edge = F.lit(len(base) - 1)  # an id that merges with nothing
+    edge = F.lit(edge)
     half, low, none = F.lit(IDS // 2), F.lit(IDS - 1), F.lit((NONE - IDS // 2) << 16)
 
-    def with_tables(tables: Column) -> Column:
-        start, bases, merges = tables["start"], tables["bases"], tables["merges"]
-
-        def pair(a: Column, b: Column) -> Column:
-            rank = (F.get(merges, F.get(bases, a) + b) - F.shiftleft(a.cast("bigint"), 16)).bitwiseAND(F.lit((1 << 63) - 1))
-            return F.shiftleft(F.least(rank, F.lit(NONE)).cast("int") - half, 16).bitwiseOR(a)
+    def pair(a: Column, b: Column) -> Column:
+        rank = (F.get(merges, F.get(bases, a) + b) - F.shiftleft(a.cast("bigint"), 16)).bitwiseAND(F.lit((1 << 63) - 1))
+        return F.shiftleft(F.least(rank, F.lit(NONE)).cast("int") - half, 16).bitwiseOR(a)
 
-        def step(state: Column, _: Column) -> Column:
-            def merged(least: Column) -> Column:
-                def at(p: Column) -> Column:
-                    both = F.shiftright(least, 16) + half
-                    left, right = F.get(state, p - 2).bitwiseAND(low), F.get(state, p + 1).bitwiseAND(low)
-                    return F.concat(F.slice(state, F.lit(1), p - 2), F.array(pair(left, both), pair(both, right)), F.slice(state, p + 2, F.lit(1 << 20)))
+    def step(state: Column, _: Column) -> Column:
+        def merged(least: Column) -> Column:
+            def at(p: Column) -> Column:
+                both = F.shiftright(least, 16) + half
+                left, right = F.get(state, p - 2).bitwiseAND(low), F.get(state, p + 1).bitwiseAND(low)
+                return F.concat(F.slice(state, F.lit(1), p - 2), F.array(pair(left, both), pair(both, right)), F.slice(state, p + 2, F.lit(1 << 20)))
 
-                return F.when(least >= none, state).otherwise(let(F.array_position(state, least).cast("int"), at))
+            return F.when(least >= none, state).otherwise(let(F.array_position(state, least).cast("int"), at))
 
-            return let(F.array_min(state), merged)
+        return let(F.array_min(state), merged)
 
-        def run(ids: Column) -> Column:
-            first = F.transform(F.slice(ids, F.lit(1), F.size(ids) - 1), lambda a, i: pair(a, F.get(ids, i + 1)))
-            return F.aggregate(piece, first, step, lambda e: F.transform(F.slice(e, F.lit(2), F.size(e) - 2), lambda x: x.bitwiseAND(low)))
+    def run(ids: Column) -> Column:
+        first = F.transform(F.slice(ids, F.lit(1), F.size(ids) - 1), lambda a, i: pair(a, F.get(ids, i + 1)))
+        return F.aggregate(piece, first, step, lambda e: F.transform(F.slice(e, F.lit(2), F.size(e) - 2), lambda x: x.bitwiseAND(low)))
 
-        return let(F.concat(F.array(edge), F.transform(piece, lambda b: F.get(start, b.cast("int") + 128)), F.array(edge, edge)), run)
-
-    # one copy of the tables in the plan, bound to a variable
-    return let(F.struct(literal(np.roll(single, 128), "int").alias("start"), literal(base, "int").alias("bases"), literal(table, "bigint").alias("merges")), with_tables)
+    return let(F.concat(F.array(edge), F.transform(piece, lambda b: F.get(start, b.cast("int") + 128)), F.array(edge, edge)), run)
 
 
 class Pieces:
     """Piece codes of texts: an id itself, IDS + number of a frequent piece, or beyond these the number of a piece met before.
 
-    fresh: the pieces that got a number since it was last emptied. Pieces are known by 64-bit hashes."""
+    fresh: the pieces that got a number since it was last emptied."""
 
-    def __init__(self, name: str, pattern: str, frequent: np.ndarray):
+    def __init__(self, name: str, pattern: str, frequent: tuple[np.ndarray, np.ndarray] = (np.zeros(0, np.uint8), np.zeros(1, np.int64))):
         import regex
 
         self.name, self.find = name, regex.compile(pattern).findall
         self.base = base_codes(name).copy()
-        order = np.argsort(frequent)
-        self.base.add(frequent[order], IDS + order.astype(np.int32), np.ones(len(order), np.int64))
-        self.first = IDS + len(frequent)
+        data, bounds = frequent
+        keys = arrays.span_hashes(data, bounds[:-1], bounds[1:])
+        order, _ = arrays.distinct(keys)  # of pieces that share a hash one is known
+        order = order[~self.base.find(keys[order], data, bounds[order], bounds[order + 1])[2]]
+        self.base.add(keys[order], IDS + order.astype(np.int32), np.ones(len(order), np.int64), data, bounds[order], bounds[order + 1])
+        self.first = IDS + len(keys)
         self.start_over()
 
     def start_over(self) -> None:
@@ -166,19 +173,33 @@ class Pieces:
         starts, ends = chars[ends - size], chars[ends]
         hashes = arrays.span_hashes(data, starts, ends)
         one, inverse = arrays.distinct(hashes)
+        # pieces that share the hash of another are no hits: each gets a number of its own
+        twice = np.flatnonzero(one[inverse] != np.arange(len(hashes)))
+        other = one[inverse[twice]]
+        same = np.flatnonzero((ends - starts)[twice] == (ends - starts)[other])
+        odd = np.ones(len(twice), bool)
+        odd[same] = ~arrays.equal_spans(data, starts[twice[same]], data, starts[other[same]], (ends - starts)[twice[same]])
+        odd = twice[odd]
         keys = hashes[one]
         codes = np.full(len(keys), -1, np.int64)
+        clash = np.zeros(len(keys), bool)
         for store in (self.base, self.own):
-            at, there = store.find(keys)
+            at, there, others = store.find(keys, data, starts[one], ends[one])
             codes[there] = store.flat[store.first[at[there]]]
+            clash |= others
         new = np.flatnonzero(codes < 0)
-        if len(new):
+        out = codes[inverse]
+        if len(new) or len(odd):
             codes[new] = self.first + self.met + np.arange(len(new))
-            self.met += len(new)
+            out = codes[inverse]
+            out[odd] = self.first + self.met + len(new) + np.arange(len(odd))
+            self.met += len(new) + len(odd)
             raw = data.tobytes()
-            self.fresh += [raw[a:b] for a, b in zip(starts[one[new]].tolist(), ends[one[new]].tolist(), strict=True)]
-            self.own.add(keys[new], codes[new].astype(np.int32), np.ones(len(new), np.int64))
-        return codes[inverse].astype("<i4")
+            made = np.concatenate((one[new], odd))
+            self.fresh += [raw[a:b] for a, b in zip(starts[made].tolist(), ends[made].tolist(), strict=True)]
+            new = new[~clash[new]]
+            self.own.add(keys[new], codes[new].astype(np.int32), np.ones(len(new), np.int64), data, starts[one[new]], ends[one[new]])
+        return out.astype("<i4")
 
     def codes(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(codes of all texts, number of each)."""
@@ -213,15 +234,21 @@ class Pieces:
         n = len(whole)
         text = np.repeat(np.arange(n), np.diff(w.bounds))
         first = w.starts == w.texts[text]
-        plain = np.flatnonzero(~first & ~whole[text])
-        one, number = arrays.distinct(w.hashes[plain])
-        one = plain[one]
-        keys = w.hashes[one]
-        _, there = self.known.find(keys)
+        while True:
+            plain = np.flatnonzero(~first & ~whole[text])
+            one, number = arrays.distinct(w.hashes[plain])
+            one = plain[one]
+            keys, a, b = w.hashes[one], w.starts[one], w.ends[one]
+            _, there, clash = self.known.find(keys, w.data, a, b)
+            # words that share a hash with others: their texts are cut by the pattern alone
+            bad = np.concatenate((plain[w.differ(plain, one[number])], plain[clash[number]]))
+            if not len(bad):
+                break
+            whole[text[bad]] = True
         if not there.all():
             new = one[~there]
-            self.known.add(keys[~there], *self.words(w.data, w.starts[new], w.ends[new]))
-        at, _ = self.known.find(keys)
+            self.known.add(keys[~there], *self.words(w.data, w.starts[new], w.ends[new]), w.data, w.starts[new], w.ends[new])
+        at, _, _ = self.known.find(keys, w.data, a, b)
         stops = w.texts[:-1].copy()
         at_first = np.flatnonzero(first)
         stops[text[at_first]] = w.ends[at_first]
@@ -246,67 +273,79 @@ class Pieces:
         return pa.StructArray.from_arrays([lists, large], names=["bytes", "ids"])
 
 
-def hashes_of(pieces: list[bytes]) -> np.ndarray:
-    if not pieces:
-        return np.zeros(0, np.uint64)
-    size = np.fromiter(map(len, pieces), np.int64, len(pieces))
-    ends = np.cumsum(size)
-    return arrays.span_hashes(np.frombuffer(b"".join(pieces), np.uint8), ends - size, ends)
-
-
 @functools.cache
 def base_codes(name: str) -> arrays.Store:
-    """The ids of all tokens by their hashes."""
+    """The ids of all tokens."""
     ranks = load_ranks(name)
-    keys, ids = hashes_of(list(ranks)), np.array(list(ranks.values()), np.int32)
+    size = np.fromiter(map(len, ranks), np.int64, len(ranks))
+    data, ends = np.frombuffer(b"".join(ranks), np.uint8), np.cumsum(size)
+    keys, ids = arrays.span_hashes(data, ends - size, ends), np.array(list(ranks.values()), np.int32)
     order = np.argsort(keys)
+    if (keys[order][1:] == keys[order][:-1]).any():
+        raise ValueError("two tokens share a hash")
     out = arrays.Store("<i4", 1 << 40)
-    out.add(keys[order], ids[order], np.ones(len(ids), np.int64))
+    out.add(keys[order], ids[order], np.ones(len(ids), np.int64), data, (ends - size)[order], ends[order])
     return out
 
 
 PIECE = "struct<bytes: array<tinyint>, ids: array<int>>"
 
 
-def piece_ids(piece: Column, name: str) -> Column:
-    return F.when(piece["ids"].isNotNull(), piece["ids"]).otherwise(fold(piece["bytes"], name))
+def with_ids(df: DataFrame, name: str) -> DataFrame:
+    """df (with a column pieces, arrays of pieces) with the ids of each instead."""
+    edge = len(rank_table(name)[1]) - 1
+    rest = [F.col(c) for c in df.columns if c != "pieces"]
 
+    def of(start: Column, bases: Column, merges: Column) -> Column:
+        return F.transform("pieces", lambda x: F.when(x["ids"].isNotNull(), x["ids"]).otherwise(fold(x["bytes"], start, bases, merges, edge)))
 
-def frequent_pieces(df: DataFrame, name: str, sample: int = SAMPLE, most: int = FREQUENT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of the pieces that come most often in a bounded sample of the texts, their ids one after the other, and the number of each."""
+    # each array is bound to a variable once a row
+    ids = let(F.col("map.start"), lambda start: let(F.col("map.bases"), lambda bases: let(F.col("map.merges"), lambda merges: of(start, bases, merges))))
+    return df.withColumn("map", constant_tables(df.sparkSession, name)).select(*rest, ids.alias("ids"))
+
+
+def frequent_pieces(df: DataFrame, name: str, sample: int = SAMPLE, most: int = FREQUENT):
+    """The pieces that come most often in a bounded sample of the rows, one after the other, with their bounds, their ids one after the
+    other, and the number of each's."""
     import public_tokenizers
 
     pattern, n = public_tokenizers.PATTERN, df.count()
     if n <= sample:
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64), np.zeros(0, np.uint32), np.zeros(0, np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches, "text", SLICE_BYTES):
-            p = Pieces(name, pattern, np.zeros(0, np.uint64))
+            p = Pieces(name, pattern)
             codes, _ = p.of(batch.column("text"))
             count = np.bincount(codes, minlength=IDS + len(p.fresh))[IDS:]
             yield pa.RecordBatch.from_arrays([pa.array(p.fresh, pa.binary()), p.column(), pa.array(count, pa.int64())], names=["piece", "made", "n"])
 
-    some = df.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 24)) < int(sample / n * (1 << 24))).select("text")
+    some = df.select("text").sample(sample / n, 3)  # of rows, not texts: copies are drawn one by one
     counts = some.mapInArrow(run, f"piece binary, made {PIECE}, n long").groupBy("piece").agg(F.sum("n").alias("n"), F.any_value("made").alias("made"))
-    top = counts.orderBy(F.desc("n"), "piece").limit(most).repartition(max(8, df.sparkSession.sparkContext.defaultParallelism))
-    found = top.select("piece", piece_ids(F.col("made"), name).alias("ids")).toArrow()
-    ids = found.column("ids").combine_chunks()
-    return hashes_of(found.column("piece").to_pylist()), np.asarray(ids.flatten(), np.uint32), np.asarray(ids.value_lengths(), np.int64)
+    top = counts.orderBy(F.desc("n"), "piece").limit(most).select("piece", "made").repartition(max(8, df.sparkSession.sparkContext.defaultParallelism))
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, batch.num_rows], pa.int32()), x) for x in batch.columns], names=["piece", "pieces"])
+
+    found = with_ids(top.mapInArrow(packed, f"piece array<binary>, pieces array<{PIECE}>"), name).toArrow()
+    data, bounds = arrays.raw(found.column("piece").combine_chunks().flatten())
+    ids = found.column("ids").combine_chunks().flatten()
+    return data, bounds, np.asarray(ids.flatten(), np.uint32), np.asarray(ids.value_lengths(), np.int64)
 
 
-def blocks(df: DataFrame, name: str, frequent) -> DataFrame:
+def blocks(df: DataFrame, name: str, frequent, block_bytes: int = BLOCK_BYTES, most_met: int = MET) -> DataFrame:
     """One row a block: its rows (Arrow IPC) with each text's piece codes, and the pieces first met in it.
 
-    Numbers of pieces go on from block to block of a partition, until more than MET are met; before tells how many there were."""
+    Numbers of pieces go on from block to block of a partition, until more than most_met are met; before tells how many there were."""
     import public_tokenizers
 
     pattern = public_tokenizers.PATTERN
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p = Pieces(name, pattern, frequent.value[0])
-        for batch in common.slices(batches, "text", BLOCK_BYTES):
-            if p.met > MET:
+        p = Pieces(name, pattern, frequent.value[:2])
+        for batch in common.slices(batches, "text", block_bytes):
+            if p.met > most_met:
                 p.start_over()
             before, p.fresh = p.met, []
             sink = pa.BufferOutputStream()
@@ -315,7 +354,8 @@ def blocks(df: DataFrame, name: str, frequent) -> DataFrame:
                 codes, n = p.of(part.column("text"))
                 stops = np.concatenate(([0], np.cumsum(n))).astype(np.int32)
                 rest = part.drop_columns(["text"])
-                rest = pa.RecordBatch.from_arrays([*rest.columns, pa.ListArray.from_arrays(pa.array(stops), pa.array(codes))], names=[*rest.schema.names, "__codes"])
+                # the codes come last, whatever the names of other columns
+                rest = pa.RecordBatch.from_arrays([*rest.columns, pa.ListArray.from_arrays(pa.array(stops), pa.array(codes))], names=[*rest.schema.names, "codes of pieces"])
                 writer = writer or pa.ipc.new_stream(sink, rest.schema)
                 writer.write_batch(rest)
             writer.close()
@@ -324,7 +364,7 @@ def blocks(df: DataFrame, name: str, frequent) -> DataFrame:
     return df.mapInArrow(run, f"rest binary, before long, pieces array<{PIECE}>")
 
 
-def encode(df: DataFrame, name: str = "byte_bpe_50k.tiktoken", finish: tuple | None = None) -> DataFrame:
+def encode(df: DataFrame, name: str = "byte_bpe_50k.tiktoken", finish: tuple | None = None, sample: int = SAMPLE, block_bytes: int = BLOCK_BYTES, most_met: int = MET) -> DataFrame:
     """df (with a column text) without text, with ids binary: each text's ids as little-endian unsigned 32-bit integers.
 
     finish: instead, (columns' schema, function of the ids of many texts and their numbers to lists of values), for what needs no
@@ -334,11 +374,11 @@ def encode(df: DataFrame, name: str = "byte_bpe_50k.tiktoken", finish: tuple | N
     df = df.drop(*[f.name for f in added])
     schema = T.StructType([*df.drop("text").schema.fields, *added.fields])
     kinds = [{"bigint": pa.int64(), "string": pa.string(), "binary": pa.binary()}[f.dataType.simpleString()] for f in added]
-    frequent = df.sparkSession.sparkContext.broadcast(frequent_pieces(df, name))  # FREQUENT pieces at most
-    coded = blocks(df, name, frequent).select("rest", "before", F.transform("pieces", lambda x: piece_ids(x, name)).alias("ids"))
+    frequent = df.sparkSession.sparkContext.broadcast(frequent_pieces(df, name, sample))  # FREQUENT pieces at most
+    coded = with_ids(blocks(df, name, frequent, block_bytes, most_met), name)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, made, made_sizes = frequent.value
+        made, made_sizes = frequent.value[2:]
         head, head_sizes = np.concatenate((np.arange(IDS, dtype=np.uint32), made)), np.concatenate((np.ones(IDS, np.int64), made_sizes))
         flat, sizes = head, head_sizes
         for batch in batches:
@@ -350,11 +390,11 @@ def encode(df: DataFrame, name: str = "byte_bpe_50k.tiktoken", finish: tuple | N
                 flat = np.concatenate((flat, np.asarray(lists.flatten(), np.uint32)))
                 sizes = np.concatenate((sizes, np.asarray(lists.value_lengths(), np.int64)))
                 for rest in pa.ipc.open_stream(batch.column("rest")[k].as_py()):
-                    codes = rest.column("__codes")
+                    codes = rest.column(rest.num_columns - 1)
                     ids, each = arrays.gather(flat, sizes, np.asarray(codes.flatten(), np.int64))
                     n = arrays.sums(each, np.concatenate(([0], np.cumsum(np.asarray(codes.value_lengths(), np.int64)))))
                     found = make(ids, n)
-                    yield pa.RecordBatch.from_arrays([*rest.drop_columns(["__codes"]).columns, *[pa.array(x, kind) for x, kind in zip(found, kinds, strict=True)]], names=[f.name for f in schema])
+                    yield pa.RecordBatch.from_arrays([*rest.columns[:-1], *[pa.array(x, kind) for x, kind in zip(found, kinds, strict=True)]], names=[f.name for f in schema])
 
     return coded.mapInArrow(run, schema)
 

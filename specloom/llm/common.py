@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -24,8 +25,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or DEFAULT_SHARED).rstrip("/")
+    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session. Only a session in one process may leave it
+    unset; on a cluster a folder of one machine would lose tables."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return (named or DEFAULT_SHARED).rstrip("/")
 
 
 def new_path(spark: SparkSession, label: str) -> str:
@@ -37,17 +42,46 @@ def written(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_table(df: DataFrame) -> None:
-    """Delete a table made by written() that nothing reads any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for f in df.inputFiles()[:1]:
-        path = jvm.org.apache.hadoop.fs.Path(f).getParent()
-        if path.getName().startswith("specloom-"):
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def drop_table(*tables: DataFrame) -> None:
+    """Delete tables made by written() that nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df._written_at)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+SALTS = 32  # parts of a key that holds far more rows than others
+
+
+def spread_join(many: DataFrame, one: DataFrame, left: list[str], right: list[str], n: str | None = None) -> DataFrame:
+    """many joined with one (few rows a key) where columns left equal columns right, however many rows of many a key has.
+
+    Keys of more than a quarter of an even partition are spread over SALTS parts, one's rows copied to each. Such keys are at most four
+    times as many as partitions, which bounds what is broadcast. Both are written tables; n: the column of one with the key's rows in
+    many, if it is known."""
+    spark = many.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    counts = one.select(*[F.col(c).alias(f"hot{k}") for k, c in enumerate(right)], F.col(n).alias("rows")) if n else many.groupBy(*[F.col(c).alias(f"hot{k}") for k, c in enumerate(left)]).agg(F.count(F.lit(1)).alias("rows"))
+    total = counts.agg(F.sum("rows")).first()[0] if n else many.count()
+    hot = written(counts.filter((F.col("rows") > 1000) & (F.col("rows") * (4 * parts) > (total or 0))).drop("rows").distinct(), "hot")
+    if hot.isEmpty():
+        drop_table(hot)
+        return many.join(one, [F.col(a) == F.col(b) for a, b in zip(left, right, strict=True)])
+    hot = F.broadcast(hot.withColumn("is_hot", F.lit(True)))
+
+    def marked(df: DataFrame, keys: list[str]) -> DataFrame:
+        return df.join(hot, [F.col(c) == F.col(f"hot{k}") for k, c in enumerate(keys)], "left").drop(*[f"hot{k}" for k in range(len(keys))])
+
+    salt = F.when(F.col("is_hot"), F.pmod(F.xxhash64(*[F.col(c) for c in many.columns]), F.lit(SALTS)).cast("int")).otherwise(0)
+    copies = F.when(F.col("is_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    many = marked(many, left).withColumn("salt", salt).drop("is_hot")
+    one = marked(one, right).withColumn("other_salt", F.explode(copies)).drop("is_hot")
+    return many.join(one, [F.col(a) == F.col(b) for a, b in zip([*left, "salt"], [*right, "other_salt"], strict=True)]).drop("salt", "other_salt")
 
 
 def only(df: DataFrame, *names: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Operator 5, MinHash near-dedup with odd sketches.
 
-A text's set holds the hashes of its distinct word shingles. Equal sets form classes; one document stands for each. BANDS bands of
+A text's set holds the 64-bit hashes of its distinct word shingles. Equal sets, known by a cryptographic digest of the whole sorted set,
+form classes; one document stands for each. BANDS bands of
 ROWS MinHash values propose pairs. In STARS rounds the documents outside a bucket's largest group each meet one document of it; then
 whatever pair of a bucket is not yet connected is proposed. An odd sketch, the parity bitmap of all MinHash samples, tells from the population count of an exclusive or how
 similar a proposed pair is; a second bitmap, of the whole set, has at most as many differing bits as the sets have differing shingles
@@ -17,6 +18,7 @@ groups of all their texts; rows with null doc_id are linked with nothing. Other
 from __future__ import annotations
 
 import functools
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -121,7 +123,7 @@ SIGNED = "id long, n_shingles long, low long, high long, bands array<long>, sket
 
 
 def signed(docs: DataFrame, width: int) -> DataFrame:
-    """(id, n_shingles, low and high: the set's digest, bands, sketch) of docs (id, text); no bands for an empty set."""
+    """(id, n_shingles, low and high: the whole set's BLAKE2 digest, bands, sketch) of docs (id, text); no bands for an empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches, "text"):
@@ -134,9 +136,9 @@ def signed(docs: DataFrame, width: int) -> DataFrame:
                 edges = np.append(bounds[:-1][full], bounds[-1])
                 mins = signatures(h, edges)
                 flat = [band_keys(mins).ravel(), odd_sketches(mins).ravel(), whole_sketches(h, edges).ravel()]
-            total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(arrays.mixed(h))))
-            other = np.concatenate((np.zeros(1, np.uint64), np.cumsum(arrays.mixed(h ^ U(0x5851F42D4C957F2D)))))
-            low, high = total[bounds[1:]] - total[bounds[:-1]], other[bounds[1:]] - other[bounds[:-1]]
+            digests = b"".join([hashlib.blake2b(h[a:b].data, digest_size=16).digest() for a, b in zip(bounds.tolist(), bounds[1:].tolist(), strict=False)])
+            low, high = np.frombuffer(digests, "<u8").reshape(-1, 2).T
+            low, high = np.ascontiguousarray(low), np.ascontiguousarray(high)
             lists = [pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(s))).astype(np.int32)), pa.array(f)) for s, f in zip((sizes, sketches, sketches), flat, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n.astype(np.int64)), pa.array(low.view(np.int64)), pa.array(high.view(np.int64)), *lists], names=["id", "n_shingles", "low", "high", "bands", "sketch", "whole"])
 
@@ -172,11 +174,14 @@ def near_groups(docs: DataFrame, width: int = 2, percent: int = PERCENT) -> Data
     named = docs.select(F.col("doc_id").alias("id"), "text")
     sigs = common.written(signed(named, width), "sigs")
     real = sigs.filter("id is not null and n_shingles > 0")
-    classes = real.groupBy("low", "high", "n_shingles").agg(F.min("id").alias("rep"))
+    keys = ["low", "high", "n_shingles"]
+    classes = common.written(real.groupBy(*keys).agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")), "classes")
     # rows of an id stand for each other, classes for their members
-    first = real.select("id", "n_shingles", "low", "high").join(classes.toDF("low2", "high2", "n2", "rep"), (F.col("low") == F.col("low2")) & (F.col("high") == F.col("high2")) & (F.col("n_shingles") == F.col("n2")))
+    first = common.spread_join(real.select("id", *keys), classes.toDF("low2", "high2", "n2", "rep", "n"), keys, ["low2", "high2", "n2"], "n")
     members = common.written(first.select("id", "rep", "low", "high").distinct(), "members")
-    heads = common.written(real.join(members.filter("id = rep").select(F.col("id").alias("head"), F.col("low").alias("low2"), F.col("high").alias("high2")), (F.col("id") == F.col("head")) & (F.col("low") == F.col("low2")) & (F.col("high") == F.col("high2"))).dropDuplicates(["id", "low", "high"]).select("id", "n_shingles", "bands", F.struct("sketch", "whole").alias("sketch")), "heads")
+    own = classes.select(F.col("rep").alias("head"), F.col("low").alias("low2"), F.col("high").alias("high2"))
+    heads = real.join(own, (F.col("id") == F.col("head")) & (F.col("low") == F.col("low2")) & (F.col("high") == F.col("high2"))).dropDuplicates(["id", "low", "high"])
+    heads = common.written(heads.select("id", "n_shingles", "bands", F.struct("sketch", "whole").alias("sketch")), "heads")
     rows = heads.select("id", F.explode("bands").alias("band"))
     buckets = rows.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("band").alias("bucket"))
     inside = rows.join(buckets, F.col("band") == F.col("bucket")).select("band", "id")
@@ -224,11 +229,15 @@ def near_groups(docs: DataFrame, width: int = 2, percent: int = PERCENT) -> Data
     pairs = minor.join(mixed, (F.col("band1") == F.col("band")) & fresh & allowed("n1", "n", "sketch1", "sketch") & (F.get(shared, F.lit(0)) == F.col("band")))
     pairs = pairs.select(F.least("id1", "id").alias("a"), F.greatest("id1", "id").alias("b")).distinct()
     links.append(common.written(confirmed(common.written(pairs, "pairs"), text_of, width, percent), "links"))
+    common.drop_table(inside, mixed, heads)
     same = members.filter("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
-    groups = components(functools.reduce(DataFrame.union, links).union(_bridges(same)))
-    groups = members.select("id", "rep").join(groups.toDF("gid", "group"), F.col("rep") == F.col("gid"), "left").groupBy("id").agg(F.min(F.coalesce("group", "rep")).alias("component"))
+    groups = common.written(components(functools.reduce(DataFrame.union, links).union(_bridges(same))).toDF("gid", "group"), "groups")
+    joined = common.spread_join(members.select("id", "rep"), groups, ["rep"], ["gid"])
+    groups = joined.select("id", "group").union(members.join(groups, F.col("rep") == F.col("gid"), "left_anti").select("id", "rep")).groupBy("id").agg(F.min("group").alias("component"))
     found = sigs.select("id", "n_shingles").join(groups.withColumnRenamed("id", "mid"), F.col("id") == F.col("mid"), "left")
-    return found.select(F.col("id").alias("doc_id"), "n_shingles", F.coalesce("component", "id").alias("component_id"))
+    out = common.written(found.select(F.col("id").alias("doc_id"), "n_shingles", F.coalesce("component", "id").alias("component_id")), "groups")
+    common.drop_table(sigs, classes, members, *links)
+    return out
 
 
 def _bridges(same: DataFrame) -> DataFrame:
@@ -244,7 +253,10 @@ def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each group of near duplicates (5-word shingles, similarity 0.8 or more) the least doc_id stays."""
+    """Pipeline stage: of each group of near duplicates (5-word shingles, similarity 0.8 or more) the least doc_id stays.
+
+    Rows of null doc_id and rows without words stay; rows that share a doc_id stay or go together; other columns stay, whatever their
+    names; an empty table gives an empty one."""
     groups = near_groups(common.only(docs, "doc_id", "text"), width=5)
-    gone = groups.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    gone = groups.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

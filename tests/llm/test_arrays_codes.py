@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from specloom.llm import arrays, binary_ids, bpe, quality
 
@@ -61,7 +62,7 @@ def test_encode_decode(spark):
     ranks = bpe.load_ranks("byte_bpe_50k.tiktoken")
     lib = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     texts = [*TRICKY, "x" * 700, "Ünïcödé wörds " * 20]
-    df = spark.createDataFrame([(i, t, "clash") for i, t in enumerate(texts)], "doc_id long, text string, ids string").repartition(3)
+    df = spark.createDataFrame([(i, t, "clash") for i, t in enumerate(texts)], "doc_id long, text string, ids string").withColumn("__codes", F.lit(1)).repartition(3)
     out = {r["doc_id"]: (bytes(r["ids"]), bytes(r["decoded"])) for r in bpe.decode(bpe.encode(df)).collect()}
     for i, t in enumerate(texts):
         ids = np.array(lib.encode_ordinary(t or ""), "<u4").tobytes()
@@ -69,6 +70,72 @@ def test_encode_decode(spark):
     assert bpe.encode(df.limit(0)).count() == 0
 
 
+def morse(n, letters):
+    """The Thue-Morse sequence: with its complement it collides under polynomial hashes modulo powers of two."""
+    return "".join(letters[k.bit_count() & 1] for k in range(n))
+
+
+def test_equal_hashes_are_no_hits():
+    """Words that share a hash are told apart by their bytes, in the encoders of both tokenizers."""
+    import public_tokenizers
+    import tiktoken
+
+    ranks = bpe.load_ranks("byte_bpe_50k.tiktoken")
+    lib = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    texts = ["x alpha beta gamma delta", "y beta beta zeta alpha qqqq", "alpha gamma", "z qqqq zeta wort"]
+    e = binary_ids.Encoder(binary_ids.tokenizer_path("byte_bpe_50k.json"))
+    real = arrays.span_hashes
+    try:
+        arrays.span_hashes = lambda data, starts, ends: real(data, starts, ends) % np.uint64(3)  # nearly all collide
+        for _ in range(2):
+            ids, n = e.encode(pa.array(texts))
+            stops = np.cumsum([0, *n])
+            assert [ids[a:b].astype("<u4").tobytes() for a, b in zip(stops, stops[1:])] == e.ids(texts)
+    finally:
+        arrays.span_hashes = real
+    base = bpe.base_codes("byte_bpe_50k.tiktoken")
+    p = bpe.Pieces("byte_bpe_50k.tiktoken", public_tokenizers.PATTERN)
+    try:
+        arrays.span_hashes = lambda data, starts, ends: real(data, starts, ends) % np.uint64(3)
+        for _ in range(2):
+            codes, n = p.of(pa.array(texts))
+            named = {v: k for k, v in ranks.items()} | {p.first + k: x for k, x in enumerate(p.fresh)}
+            stops = np.cumsum([0, *n])
+            assert [b"".join(named[c] for c in codes[a:b].tolist()).decode() for a, b in zip(stops, stops[1:])] == texts
+    finally:
+        arrays.span_hashes = real
+    assert len(base.keys) == len(ranks) and lib.decode(lib.encode_ordinary(texts[0])) == texts[0]
+
+
+@pytest.mark.parametrize("n", [1024, 4096, 8192])
+def test_thue_morse_words(n):
+    a, b = morse(n, "ab"), morse(n, "ba")
+    w = arrays.Words(pa.array([a, b, a]))
+    assert w.hashes[0] == w.hashes[2] != w.hashes[1]
+    e = binary_ids.Encoder(binary_ids.tokenizer_path("byte_bpe_50k.json"))
+    texts = [f"q {a}", f"q {b}"]
+    ids, k = e.encode(pa.array(texts))
+    assert [ids[: k[0]].astype("<u4").tobytes(), ids[k[0] :].astype("<u4").tobytes()] == e.ids(texts)
+
+
+def test_encode_blocks_and_frequent_pieces(spark):
+    """Frequent pieces from a sample, several blocks in a task, and a task that starts over, against the library."""
+    import public_tokenizers
+    import tiktoken
+
+    from specloom.session import ready
+
+    ready(spark)
+    lib = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.load_ranks("byte_bpe_50k.tiktoken"), special_tokens={})
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abdeghilmnorstuwzéß") for _ in range(rng.randrange(1, 14))) for _ in range(900)]
+    texts = [" ".join(rng.choices(words, k=rng.randrange(0, 120))) for _ in range(300)] + [morse(2048, "ab"), morse(2048, "ba")] + ["same words here qzxj " * 3] * 150
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    for sample in (100, 1 << 20):
+        out = {r["doc_id"]: bytes(r["ids"]) for r in bpe.encode(df, sample=sample, block_bytes=8000, most_met=400).collect()}
+        assert all(out[i] == np.array(lib.encode_ordinary(t), "<u4").tobytes() for i, t in enumerate(texts))
+
+
 def brute(words):
     n, out = len(words), [0] * len(words)
     for i in range(n):

@@ -115,6 +115,14 @@ def test_near_groups_equal_brute_force(spark):
                 w[rng.randrange(len(w))] = rng.choice(VOCAB)
             rows.append((10 + 10 * k + v, " ".join(w)))
     rows.append((99, rows[8][1]))
+    for k in range(40):  # pairs about the limit
+        base = words(rng, 201)
+        w = list(base)
+        for at in rng.sample(range(0, 200, 4), 9 + k % 6):
+            w[at] = f"other{k}"
+        rows += [(200 + 2 * k, " ".join(base)), (201 + 2 * k, " ".join(w))]
+    morse = "".join("ab"[k.bit_count() & 1] for k in range(2048))  # with its complement it collides under polynomial hashes
+    rows += [(400, morse), (401, morse.translate(str.maketrans("ab", "ba"))), (402, morse.upper())]
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.near_groups(docs(spark, rows)).collect()}
     assert got == brute_groups(rows, 2)
 
