@@ -9,8 +9,10 @@ A text gets the language of the lowest cross-entropy a character. The score is a
 temperature fitted on labelled rows that the models have not seen; ``rejected`` tells that the best cross-entropy is above nearly
 all of those rows'.
 
-Training takes a bounded sample: about SAMPLE rows a language, chosen by a hash of the row's text and doc_id, and of each at most
-the words that make WORDS_EACH distinct ones a language go to the driver, most frequent first; the model is a table of bounded size.
+Training takes a bounded sample: about SAMPLE rows a language, drawn at random, written once, and of each at most the words that make
+WORDS_EACH distinct ones a language go to the driver, most frequent first; the model is a table of bounded size. Runs of over LONGEST
+characters (languages without spaces) are learned in windows of as many, which overlap by the order of the model. What calibrates is
+computed where the texts are, from whole texts: a few numbers a row go to the driver.
 
 Defined results: null, empty and letterless texts are ``und`` with score 0; without training rows every text is ``und``; rows with
 null lang are never learned from; equal texts are treated alike.
@@ -23,14 +25,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import arrays, common
 
 ORDER = 5
 SAMPLE = 2000  # rows a language to train on
-WORDS_EACH = 60_000  # distinct words a language
+WORDS_EACH = 50_000  # distinct words a language
+LONGEST = 64  # characters of a window of a longer run
 HELD_BACK = 8  # one of so many training rows calibrates instead
 REJECT_QUANTILE = 0.999
 LETTER = re.compile(r"[^\W\d_]")
@@ -74,11 +77,14 @@ class Model:
         codes, place, word = lay_out([w for part in tokens for w, _ in part])
         weight = np.array([c for part in tokens for _, c in part], np.float64)[word]
         lang = np.repeat(np.arange(number), [len(x) for x in tokens])[word]
-        hashes = [np.zeros(len(codes), np.uint64), *[gram_hashes(codes, n) for n in range(1, self.order + 1)]]
+        hashes = {0: np.zeros(len(codes), np.uint64), 1: gram_hashes(codes, 1)}
         symbols = len(np.unique(codes)) + 1  # and an unseen one
         below = np.full((1, number), 1 / symbols)  # interpolated probabilities of the order below, by gram
         below_keys = np.zeros(0, np.uint64)
         for n in range(1, self.order + 1):
+            if n < self.order:
+                hashes[n + 1] = gram_hashes(codes, n + 1)
+            hashes.pop(n - 2, None)
             # grams that end at a character which isn't a word's first space, with their whole context in the word or cut by its start
             at = np.flatnonzero(place >= n - 1 if n > 1 else place >= 1)
             keys, inverse = np.unique(hashes[n][at], return_inverse=True)
@@ -87,7 +93,7 @@ class Model:
                 np.add.at(count, (inverse, lang[at]), weight[at])
             else:  # continuation counts: distinct characters before; a word's start is one
                 wide = np.where(place[at] > n - 1, hashes[n + 1][at], hashes[n][at] ^ U(1))
-                _, first = np.unique(np.stack((wide, lang[at].astype(np.uint64))), axis=1, return_index=True)
+                _, first = np.unique(arrays.mixed(wide + lang[at].astype(np.uint64) * arrays.MULTIPLIER), return_index=True)
                 starts = place[at] == n - 1  # nothing can stand before: as in training, raw counts
                 once = np.zeros(len(at), bool)
                 once[first] = True
@@ -120,6 +126,15 @@ class Model:
     def word_scores(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(log probability of each word by language, its characters)."""
         codes, place, word = lay_out(words)
+        out = self.char_scores(codes, place)
+        sums = np.zeros((len(words), len(self.langs)))
+        bounds = np.concatenate(([0], np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 2)))
+        for j in range(len(self.langs)):
+            sums[:, j] = arrays.sums(out[:, j].astype(np.float64), bounds)
+        return sums, np.diff(bounds) - 1
+
+    def char_scores(self, codes: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """Log probability of each character in its word by language; 0 for the space before a word."""
         scored = np.flatnonzero(place >= 1)
         out = np.zeros((len(codes), len(self.langs)), np.float32)
         open_ = scored
@@ -142,11 +157,7 @@ class Model:
             left[now[hit]] = False
             open_ = open_[left[open_]]
         out[open_] += self.unseen
-        sums = np.zeros((len(words), len(self.langs)))
-        bounds = np.concatenate(([0], np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 2)))
-        for j in range(len(self.langs)):
-            sums[:, j] = arrays.sums(out[:, j].astype(np.float64), bounds)
-        return sums, np.diff(bounds) - 1
+        return out
 
     def entropies(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(cross-entropy a character of each text by language, whether it has a letter)."""
@@ -164,14 +175,9 @@ class Model:
         found = np.stack([-arrays.sums(scores[:, j][number], w.bounds) / total for j in range(len(self.langs))], axis=1)
         return found, arrays.sums(has[number].astype(np.int64), w.bounds) > 0
 
-    def calibrate(self, texts: list[str], langs: list[str]) -> None:
-        """Fit the temperature by likelihood over a grid, and the limit of rejection as a quantile."""
-        known = [i for i, x in enumerate(langs) if x in self.langs]
-        if not known:
-            return
-        h, letters = self.entropies(pa.array([texts[i] for i in known], pa.string()))
-        y = np.array([self.langs.index(langs[i]) for i in known])
-        h, y = h[letters], y[letters]
+    def calibrate(self, h: np.ndarray, y: np.ndarray) -> None:
+        """Fit the temperature by likelihood over a grid, and the limit of rejection as a quantile, by rows' cross-entropies by language
+        and the numbers of their languages."""
         if not len(h):
             return
         grid = np.geomspace(0.5, 64, 29)
@@ -186,8 +192,8 @@ def softmax(x: np.ndarray) -> np.ndarray:
 
 
 def train(rows: DataFrame, sample: int = SAMPLE, words_each: int = WORDS_EACH, order: int = ORDER) -> Model:
-    """A model of the labelled rows (doc_id, text, lang), from a bounded sample of them."""
-    rows = rows.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
+    """A model of the labelled rows (text, lang), from a bounded sample of them."""
+    rows = rows.select("text", "lang").filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     langs = sorted(x for x in sizes if x != "und")
     if not langs:
@@ -195,20 +201,39 @@ def train(rows: DataFrame, sample: int = SAMPLE, words_each: int = WORDS_EACH, o
     share = F.lit(0.0)
     for x in langs:
         share = F.when(F.col("lang") == x, F.lit(min(1.0, sample / sizes[x]))).otherwise(share)
-    place = F.pmod(F.xxhash64("text", "doc_id"), F.lit(1 << 20))
-    chosen = rows.withColumn("place", place).filter(F.col("place") < share * (1 << 20))
-    back = F.pmod(F.xxhash64(F.lit(1), "text", "doc_id"), F.lit(HELD_BACK)) == 0
-    counts = chosen.filter(~back).select("lang", F.explode(F.split(F.lower("text"), r"[\x20\x09-\x0D]+")).alias("word")).filter((F.col("word") != "") & (F.length("word") <= 64)).groupBy("lang", "word").count()
+    # drawn row by row, so that copies of a text are not in or out together
+    chosen = common.written(rows.filter(F.rand(17) < share).withColumn("back", F.rand(18) < 1 / HELD_BACK), "sample")
+    step = LONGEST - order
+    windows = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.length("run") - order - 1), F.lit(step)), lambda i: F.substring(F.col("run"), i + 1, F.lit(LONGEST)))
+    runs = chosen.filter("not back").select("lang", F.explode(F.split(F.lower("text"), r"[\x20\x09-\x0D]+")).alias("run")).filter("run <> ''")
+    counts = runs.select("lang", F.explode(windows).alias("word")).groupBy("lang", "word").count()
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("count"), "word"))  # of a bounded sample's words
+    top = counts.withColumn("rank", rank).filter(F.col("rank") <= words_each).select("lang", "word", "count").toArrow()
     words: dict[str, list[tuple[str, int]]] = {x: [] for x in langs}
-    for x in langs:
-        top = counts.filter(F.col("lang") == x).orderBy(F.desc("count"), "word").limit(words_each).toArrow()
-        words[x] = [(w, c) for w, c in zip(top.column("word").to_pylist(), top.column("count").to_pylist(), strict=True) if LETTER.search(w)]
-    model = Model([x for x in langs if words[x]], {x: v for x, v in words.items() if v}, order)
-    held = chosen.filter(back).select(F.substring("text", 1, 2000).alias("text"), "lang").toArrow()  # for two numbers; predictions take whole texts
-    model.calibrate(held.column("text").to_pylist(), held.column("lang").to_pylist())
+    for lang, word, n in zip(*[top.column(c).to_pylist() for c in ("lang", "word", "count")], strict=True):
+        if LETTER.search(word):
+            words[lang].append((word, n))
+    model = Model([x for x in langs if words[x]], {x: sorted(v) for x, v in words.items() if v}, order)
+    if model.langs:
+        held = entropies(chosen.filter("back").select("text", "lang"), model).toArrow()
+        pairs = [(h, model.langs.index(x)) for h, x, ok in zip(*[held.column(c).to_pylist() for c in ("entropies", "lang", "letters")], strict=True) if ok and x in model.langs]
+        model.calibrate(np.array([h for h, _ in pairs]), np.array([k for _, k in pairs], np.int64))
+    common.drop_table(chosen)
     return model
 
 
+def entropies(df: DataFrame, model: Model) -> DataFrame:
+    """(lang, entropies by language, letters) of df (text, lang)."""
+    shared = df.sparkSession.sparkContext.broadcast(model)  # of bounded size: see train
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in common.slices(batches, "text", 2 << 20):
+            h, letters = shared.value.entropies(batch.column("text"))
+            yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array(h.tolist(), pa.list_(pa.float64())), pa.array(letters)], names=["lang", "entropies", "letters"])
+
+    return df.mapInArrow(run, "lang string, entropies array<double>, letters boolean")
+
+
 def predict(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """df without text, with lang_pred, score, cross_entropy (nats a character) and rejected."""
     from pyspark.sql import types as T

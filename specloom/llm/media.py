@@ -8,6 +8,7 @@ Nulls count as empty payloads; an unreadable container gives a null description.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import struct
 import zlib
 from collections.abc import Iterator
@@ -28,6 +29,9 @@ SYNC_EVERY = 256  # every so many samples one is a sync sample
 CONTAINERS = {b"moov": 0, b"trak": 0, b"mdia": 0, b"minf": 0, b"stbl": 0, b"dinf": 0, b"edts": 0, b"udta": 0}
 
 
+DEEPEST = 16  # box types of a path that are told
+
+
 def box(kind: bytes, *parts: bytes) -> bytes:
     n = 8 + sum(map(len, parts))
     if n < 1 << 32:
@@ -86,10 +90,14 @@ def build(payload: bytes) -> bytes:
     return b"".join((ftyp, real, box(b"mdat", payload)))
 
 
-def walk(data: bytes, start: int = 0, end: int | None = None, path: tuple = ()) -> Iterator[tuple[tuple, int, int]]:
-    """(path of box types, first byte of the content, end) of every box, parents first."""
-    end = len(data) if end is None else end
-    while start + 8 <= end:
+def walk(data: bytes, start: int = 0, end: int | None = None) -> Iterator[tuple[tuple, int, int]]:
+    """(path of box types, first byte of the content, end) of every box, parents first. The path of boxes nested deeper than DEEPEST
+    is cut to the outermost ones; a stack holds the open ones, so depth costs no recursion."""
+    open_: list[tuple[int, int, tuple]] = [(start, len(data) if end is None else end, ())]
+    while open_:
+        start, end, path = open_.pop()
+        if start + 8 > end:
+            continue
         n, kind = struct.unpack_from(">I4s", data, start)
         head = 8
         if n == 1:
@@ -98,10 +106,11 @@ def walk(data: bytes, start: int = 0, end: int | None = None, path: tuple = ())
             n = end - start
         if n < head or start + n > end:
             raise ValueError(f"box {kind!r} at {start} passes its parent's end")
-        yield (*path, kind), start + head, start + n
+        inner = (*path, kind)
+        yield inner, start + head, start + n
+        open_.append((start + n, end, path))
         if kind in CONTAINERS:
-            yield from walk(data, start + head + CONTAINERS[kind], start + n, (*path, kind))
-        start += n
+            open_.append((start + head + CONTAINERS[kind], start + n, inner[:DEEPEST]))
 
 
 def tracks(data: bytes) -> list[dict]:
@@ -123,7 +132,7 @@ def tracks(data: bytes) -> list[dict]:
             t["codec"] = data[a + 12 : a + 16].decode("latin-1")
         elif kind == b"stsz":
             fixed, n = struct.unpack_from(">II", data, a + 4)
-            t["sizes"] = (fixed, n, () if fixed else struct.unpack_from(f">{n}I", data, a + 12))
+            t["sizes"] = (fixed, n, (0,) if fixed else (0, *itertools.accumulate(struct.unpack_from(f">{n}I", data, a + 12))))
         elif kind in (b"stco", b"co64"):
             n = struct.unpack_from(">I", data, a + 4)[0]
             t["chunks"] = struct.unpack_from(f">{n}{'I' if kind == b'stco' else 'Q'}", data, a + 8)
@@ -148,8 +157,8 @@ def chunk_ranges(track: dict) -> list[tuple[int, int, int]]:
 
 
 def sample_bytes(track: dict, first: int, count: int) -> int:
-    fixed, _, sizes = track["sizes"]
-    return fixed * count if fixed else sum(sizes[first : first + count])
+    fixed, n, before = track["sizes"]
+    return fixed * count if fixed else before[min(n, first + count)] - before[min(n, first)]
 
 
 def read_payload(data: bytes) -> bytes:

@@ -2,8 +2,11 @@
 
 import random
 import re
+import struct
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from specloom.llm import binary_ids, common, components, html_text, langid, licences, media, mixing, near_dedup, passages
 from specloom.session import ready
@@ -183,6 +186,68 @@ def test_language(spark):
     assert {r["lang_pred"] for r in langid.predict(df.select("doc_id", "text"), none).collect()} == {"und"}
 
 
+def test_language_model_sums_to_one():
+    rng = random.Random(5)
+    made = {x: [("".join(rng.choice(letters) for _ in range(rng.randrange(1, 7))), rng.randrange(1, 9)) for _ in range(200)] for x, letters in (("xx", "abcde"), ("yy", "defgh"))}
+    model = langid.Model(["xx", "yy"], {x: sorted(dict(v).items()) for x, v in made.items()})
+    for context in ("", "a", "de", "abc", "dede", "hgfed", "zz"):
+        found = [context + c for c in "abcdefgh"] + [context, context + "\u4e00"]  # a letter, the end, and the unseen symbol
+        codes, place, _ = langid.lay_out(found)
+        p = np.exp(model.char_scores(codes, place)[place == len(context) + 1].astype(float))
+        p = p[: len(found)] if len(p) == len(found) else p  # words that are longer have one character there each
+        assert np.allclose(p.sum(0), 1, atol=1e-4), context
+
+
+def test_language_without_spaces(spark):
+    rng = random.Random(6)
+    text = {"zh": lambda: "".join(rng.choice("\u4e2d\u6587\u5b57\u7684\u662f\u4e0d\u4e86\u4eba") for _ in range(300)), "en": lambda: " ".join(rng.choice(["the", "of", "and", "word"]) for _ in range(50))}
+    rows = [(i, text["zh" if i % 2 else "en"](), "zh" if i % 2 else "en") for i in range(80)]
+    df = ready(spark).createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(df.filter("doc_id < 60"))
+    assert model.langs == ["en", "zh"]
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.predict(df.select("doc_id", "text"), model).collect()}
+    assert got == {i: lang for i, _, lang in rows}
+
+
+def test_media_deep_and_odd_boxes():
+    deep = b""
+    for _ in range(3000):
+        deep = media.box(b"moov", deep)
+    assert media.tracks(deep) == []
+    sizes = [5, 0, 7, 11]
+    stbl = media.box(b"stbl", media.full(b"stsd", 0, b"\0\0\0\1" + media.box(b"avc1")), media.full(b"stsz", 0, struct.pack(">6I", 0, 4, *sizes)), media.full(b"stsc", 0, struct.pack(">7I", 2, 1, 1, 1, 2, 3, 1)), media.full(b"co64", 0, struct.pack(">IQQ", 2, 1000, 5000)), media.full(b"stss", 0, struct.pack(">3I", 2, 1, 4)))
+    trak = media.box(b"trak", media.box(b"edts", media.full(b"elst", 0, bytes(4))), media.box(b"mdia", media.full(b"mdhd", 0, struct.pack(">4I", 0, 0, 600, 1200), bytes(4)), media.full(b"hdlr", 0, bytes(4), b"vide"), media.box(b"minf", stbl)))
+    found = media.tracks(media.box(b"moov", trak, trak))
+    assert len(found) == 2 and found[0]["codec"] == "avc1" and found[0]["handler"] == "vide"
+    assert media.chunk_ranges(found[0]) == [(0, 1, 1000), (1, 3, 5000)]
+    assert media.key_ranges(found[1]) == [(1000, 5), (5007, 11)]
+
+
+def test_stages_with_odd_tables(spark):
+    """Every stage on an empty table and on one with nulls, repeated ids and rows, and columns named like its own."""
+    import corpus_pipeline
+
+    rng = random.Random(8)
+    names = ["__gone", "__cut", "__codes", "__spans", "id", "key", "rest", "spans", "band", "codes", "n", "before", "pieces", "hot0", "size", "row", "at", "copy"]
+    text = " ".join(words(rng, 80))
+    rows = [(d, t, "en", s, 1) for d, t, s in ((1, text, "a"), (1, text, "a"), (1, " ".join(words(rng, 90)), None), (None, text, "b"), (4, None, "a"), (5, "", "a"), (6, text + " more", "b"), (7, " ".join(words(rng, 60)), "b"))]
+    df = ready(spark).createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").select("*", *[F.lit("x").alias(x) for x in names])
+    for name, stage in corpus_pipeline.STAGES:
+        for some in (df, df.limit(0)):
+            out = stage(spark, some, "")
+            found = out.collect()
+            if some is not df:
+                assert not found, name
+            elif name == "byte_bpe":
+                assert len(found) == len(rows) and set(names) <= set(out.columns)
+            else:
+                assert out.columns == df.columns, name
+                kept = [r["doc_id"] for r in found]
+                assert 7 in kept if name != "mixing" else True
+                if name == "near_dedup":
+                    assert sorted(kept, key=str) == sorted([1, 1, 1, None, 4, 5, 7], key=str)
+
+
 def test_licences(spark):
     rows = [(1, "foo bar.\nReleased under the MIT License."), (2, "Licensed under CC BY-NC 4.0."), (3, "A fishing license costs ten dollars"), (4, None), (5, ""), (6, "nothing"), (7, "This work is licensed under the GNU General Public License, version 3.\nAll rights reserved.")]
     df = docs(spark, rows)
