@@ -28,8 +28,21 @@ WINDOWS = (8, 16, 32, 48)  # words
 NEGATIVES = 400  # other paragraphs that are collected to fit at most
 FALSE_SHARE = 0.01  # of other paragraphs that may pass the threshold
 HELD = 0.6  # of a statement's word pairs that a paragraph must hold
-ANCHORS = r"(?i)licen[cs]|copyright|warrant|rights reserved|public domain|redistribut|permission"
-ANCHOR_WORDS = r"(?i)licen[cs]|copyright|warrant|rights|public|redistribut|permission"  # a word of each of them
+ANCHORS = r"(?i)licen[cs]|copyright|warrant|rights reserved|public domain|redistribut|permission|\b[al]?gpl(?:v?-?[0-9]|\b)|\bcc[ -]by\b"
+ANCHOR_WORDS = r"(?i)licen[cs]|copyright|warrant|rights|public|redistribut|permission|gpl|^cc"  # a word of each of them
+#: Short names of licences by family, as in SPDX tags and package files.
+SHORT = {
+    "apache-2.0": ["Apache-2.0"],
+    "bsd": ["BSD-2-Clause", "BSD-3-Clause"],
+    "cc-by": ["CC-BY-4.0", "CC-BY-3.0"],
+    "cc-by-nc": ["CC-BY-NC-4.0"],
+    "cc-by-sa": ["CC-BY-SA-4.0", "CC-BY-SA-3.0"],
+    "gpl": ["GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "GPL-2.0", "GPL-3.0", "GPLv2", "GPLv3"],
+    "lgpl": ["LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-or-later", "LGPL-2.1", "LGPL-3.0", "LGPLv3"],
+    "mit": ["MIT"],
+    "mpl": ["MPL-2.0"],
+    "public-domain": ["CC0-1.0", "Unlicense"],
+}
 
 #: Usual statements of each licence family.
 STATEMENTS: dict[str, list[str]] = {
@@ -65,10 +78,12 @@ STATEMENTS: dict[str, list[str]] = {
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
         "Released under the GNU General Public License version 2 or later",
         "You should have received a copy of the GNU General Public License along with this program",
+        "Distributed under the terms of the GNU General Public License version 3",
     ],
     "lgpl": [
         "This library is licensed under the GNU Lesser General Public License, version 2.1",
         "You should have received a copy of the GNU Lesser General Public License along with this library",
+        "Distributed under the terms of the GNU Lesser General Public License version 3",
     ],
     "mit": [
         "Released under the MIT License",
@@ -92,6 +107,9 @@ STATEMENTS: dict[str, list[str]] = {
     ],
 }
 
+for _family, _names in SHORT.items():
+    STATEMENTS[_family] += [f"{before} {x}" for x in _names for before in ("SPDX-License-Identifier:", "license =", "Licensed under", "Released under the")]
+
 #: Statements with an anchor that name no licence.
 OTHERS = [
     "The driver lost a licence after the accident",
@@ -209,14 +227,28 @@ def paragraphs(text: Column) -> Column:
 
 
 def train(spark: SparkSession, docs: DataFrame, negatives: int = NEGATIVES) -> Classifier:
-    """A classifier of the statements above and a bounded sample of the paragraphs of docs (text) without an anchor."""
+    """A classifier of the statements above and bounded samples of other paragraphs of docs (text): without an anchor, and with one but
+    little of any statement."""
     positive = variants()
     rows = spark.createDataFrame([(i, t, k) for i, (t, k) in enumerate([*positive, *[(x, NONE) for x in OTHERS]])], "i int, text string, family string")
     n = docs.count()
-    share = min(1.0, 4.0 * negatives / max(1, n))
-    some = docs.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int(share * (1 << 20)))
-    lines = some.select(F.explode(F.split("text", "\n")).alias("text")).filter((F.length("text") > 20) & (F.length("text") < 2000) & ~F.col("text").rlike(ANCHORS)).distinct()
-    lines = lines.orderBy(F.xxhash64("text"), "text").limit(negatives).select((F.lit(10_000) + F.pmod(F.xxhash64("text"), F.lit(10_000))).cast("int").alias("i"), "text", F.lit(NONE).alias("family"))
+    # drawn row by row, so that copies of a text are not in or out together
+    some = common.written(docs.select("text").sample(min(1.0, 4.0 * negatives / max(1, n)), 5), "sample")
+    long = (F.length("text") > 20) & (F.length("text") < 2000)
+    plain = some.select(F.explode(F.split("text", "\n")).alias("text")).filter(long & ~F.col("text").rlike(ANCHORS))
+    # and what the scan meets: paragraphs with an anchor that hold little of any statement
+    every = F.array(*[F.array(*[F.lit(g) for g in pairs(s)]) for family in STATEMENTS for s in STATEMENTS[family]])
+    like = F.exists(every, lambda s: F.size(F.array_intersect(s, grams(words_of(F.col("text")), 2))) * 2 >= F.size(s) * HELD)
+    odd = docs.select("text").filter(F.col("text").rlike(ANCHORS)).sample(min(1.0, 20.0 * negatives / max(1, n)), 6)
+    odd = odd.select(F.explode(paragraphs(F.col("text"))).alias("text")).filter(long).distinct().filter(~like)
+
+    def few(x: DataFrame, number) -> DataFrame:
+        x = x.distinct().orderBy(F.xxhash64("text"), "text").limit(negatives)
+        return x.select((10_000 + number).cast("int").alias("i"), "text", F.lit(NONE).alias("family"))
+
+    # these may be parts of licences that no statement has, so they calibrate (i % 4 = 3) and are not fitted
+    hashed = F.pmod(F.xxhash64("text"), F.lit(10_000))
+    lines = few(plain, hashed).union(few(odd, 4 * hashed + 3))
     found = rows.union(lines).select("i", "family", features(words_of(F.col("text"))).alias("f")).orderBy("i", "f").collect()
     held = [(r["f"], r["family"]) for r in found if r["i"] % 4 == 3]
     return Classifier([*STATEMENTS, NONE], [(r["f"], r["family"]) for r in found if r["i"] % 4 != 3], held)

@@ -278,6 +278,22 @@ modification, are permitted provided that the following conditions are met:
     assert "bsd" in out[1] and out[3] == ["bsd"] and out[2] == out[4] == ["mit"]
 
 
+def test_licences_short_names(spark):
+    said = {
+        "mit": ["SPDX-License-Identifier: MIT", "# SPDX-License-Identifier: MIT\nimport os"],
+        "apache-2.0": ["// SPDX-License-Identifier: Apache-2.0", 'license = "Apache-2.0"'],
+        "bsd": ['license = "BSD-3-Clause"'],
+        "gpl": ["License: GPL-2.0-or-later", "Released under the GPLv3", "Distributed under the terms of the GNU General\nPublic License version 3"],
+        "lgpl": ["Distributed under the terms of the GNU Lesser General Public License version 3"],
+    }
+    none = ["The license of the dog was lost", "a fishing permission was given to the officer", "plain words only"]
+    rows = [(x, k) for k, v in said.items() for x in v] + [(x, None) for x in none]
+    df = docs(spark, [(i, x) for i, (x, _) in enumerate(rows)])
+    out = {r["doc_id"]: r["licences"] for r in licences.scan(df, licences.train(spark, df.select("text"))).collect()}
+    assert [out[i] for i in range(len(rows))] == [[k] if k else [] for _, k in rows]
+    assert licences.scan(df.limit(0), licences.train(spark, df.limit(0).select("text"))).count() == 0
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a="</p>";</script></head><body><nav><ul><li><a href="/a">Menu</a></li></ul></nav>
 <div class="ad">Buy &amp; win</div><article class="post"><h1>Head</h1><p>One  <b>bo</b>ld &eacute;<p>Two<br>lines</p><aside>Side</aside>%s<div id="comments"><p>nice</p></div></article><footer>(c)</footer>"""
 
