@@ -395,8 +395,9 @@ def _sections(spark: SparkSession, d: str, v: int) -> DataFrame:
     return facade.version_tables(side(spark, d, v))["section"]
 
 
-@query("section_diff", HEADINGS + r""", keyed AS (SELECT *, row_number() OVER (PARTITION BY spec, version, section_id ORDER BY page_number, pos) AS n FROM headings),
-keys AS (SELECT spec, version, CASE WHEN n > 1 THEN section_id || ':' || n ELSE section_id END AS key, title FROM keyed),
+@query("section_diff", HEADINGS + r""", placed AS (SELECT *, row_number() OVER (PARTITION BY spec, version ORDER BY page_number, pos) AS place FROM headings),
+keyed AS (SELECT *, row_number() OVER (PARTITION BY spec, version, section_id ORDER BY place) AS n FROM placed),
+keys AS (SELECT spec, version, CASE WHEN n > 1 THEN section_id || ':' || place ELSE section_id END AS key, title FROM keyed),
 a AS (SELECT * FROM keys WHERE version = 1), b AS (SELECT * FROM keys WHERE version = 2)
 SELECT coalesce(a.spec, b.spec) AS spec, coalesce(a.key, b.key) AS key, a.title AS old_title, b.title AS new_title, CASE WHEN a.key IS NULL THEN 'added' WHEN b.key IS NULL THEN 'removed' ELSE 'modified' END AS change_type
 FROM a FULL JOIN b ON a.spec = b.spec AND a.key = b.key WHERE a.key IS NULL OR b.key IS NULL OR lower(a.title) <> lower(b.title)""")
@@ -449,10 +450,14 @@ def _(spark, d):
     return reports.summary(exact_changes(spark, d), ("spec",))
 
 
-BUCKETS = [b for _, bs in reports.LAYOUT for b in bs]
-
-
-@query("report_buckets", EXACT_CHANGES + ", layout AS (SELECT unnest(" + str(BUCKETS) + ") AS bucket, CAST(unnest(range(" + str(len(BUCKETS)) + ")) AS INT) AS ord, unnest(" + str([s for s, bs in reports.LAYOUT for _ in bs]) + ") AS report_section), named AS (SELECT spec, CASE WHEN area = 'page' AND change_type = 'added' THEN 'pages_added' WHEN area = 'page' AND change_type = 'removed' THEN 'pages_removed' ELSE 'moved_notes' END AS bucket FROM changes) SELECT s.spec, l.ord, l.report_section, l.bucket, count(n.bucket) AS n FROM layout l CROSS JOIN (SELECT DISTINCT spec FROM named) s LEFT JOIN named n ON n.spec = s.spec AND n.bucket = l.bucket GROUP BY ALL")
+@query("report_buckets", EXACT_CHANGES + """, layout(ord, report_section, bucket) AS (VALUES
+  (0, 'Critical Changes', 'requirement_changes'), (1, 'Critical Changes', 'numeric_changes'), (2, 'Critical Changes', 'requirement_strength_changes'),
+  (3, 'Content Changes', 'modified_tables'), (4, 'Content Changes', 'modified_figures'), (5, 'Content Changes', 'modified_notes'),
+  (6, 'Structural Changes', 'sections_added'), (7, 'Structural Changes', 'sections_removed'), (8, 'Structural Changes', 'pages_added'), (9, 'Structural Changes', 'pages_removed'),
+  (10, 'Relocations', 'moved_tables'), (11, 'Relocations', 'moved_notes'), (12, 'Relocations', 'moved_figures'), (13, 'Relocations', 'page_shifts'),
+  (14, 'Metadata', 'metadata_title'), (15, 'Metadata', 'metadata_version'), (16, 'Metadata', 'metadata_revision')),
+named AS (SELECT spec, CASE WHEN area = 'page' AND change_type = 'added' THEN 'pages_added' WHEN area = 'page' AND change_type = 'removed' THEN 'pages_removed' ELSE 'moved_notes' END AS bucket FROM changes)
+SELECT s.spec, CAST(l.ord AS INT) AS ord, l.report_section, l.bucket, count(n.bucket) AS n FROM layout l CROSS JOIN (SELECT DISTINCT spec FROM named) s LEFT JOIN named n ON n.spec = s.spec AND n.bucket = l.bucket GROUP BY ALL""")
 def _(spark, d):
     return reports.bucket_counts(exact_changes(spark, d), ("spec",))
 
@@ -611,8 +616,7 @@ def _(spark, d):
 
 @query("top_issues", ORACLES["completeness"].replace("SELECT spec, 'completeness' AS score, component, round(value, 6) AS value FROM v", "SELECT spec, component, round(value, 6) AS value, CASE WHEN round(value, 6) < 60 THEN 'red' ELSE 'orange' END AS colour FROM v WHERE round(value, 6) < 95 ORDER BY round(value, 6), component, spec LIMIT 6"))
 def _(spark, d):
-    details = QUERIES["completeness"](spark, d)
-    return details.filter("value < 95").withColumn("colour", F.when(F.col("value") < 60, "red").otherwise("orange")).orderBy("value", "component", "spec").limit(6).drop("score")
+    return reports.top_issues(QUERIES["completeness"](spark, d).drop("score"))
 
 
 @query("page_fidelity")
@@ -620,13 +624,63 @@ def _(spark, d):
     return quality.page_fidelity(side(spark, d, 1), side(spark, d, 2))
 
 
+def view_document(spark: SparkSession, d: str) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """(source pages, a document): version 1 of the view as the source, what is extracted from version 2 as the document."""
+    by = ("spec",)
+    source, pages = side(spark, d, 1), side(spark, d, 2)
+    made = facade.extract_pages(pages, by)
+    captions = made["table_captions"]
+    every = F.array(*[F.lit(x) for x in lx.REQUIRED_FIELDS])
+    return source, {
+        "pages": pages,
+        "requirements": made["requirements"],
+        "page_requirements": extract.requirements(pages, by),
+        "figures": made["figures"],
+        "page_figures": made["figures"],
+        "tables": captions.select("spec", F.col("page_number").alias("page"), F.concat(F.lit("table_p"), "page_number", F.lit("_1.csv")).alias("csv_file"), "caption"),
+        "table_captions": captions,
+        "cross_references": made["cross_references"],
+        "images": captions.select("spec", F.col("page_number").alias("page")).limit(0),
+        "chunks": made["semantic_chunks"],
+        "keys": pages.select("spec").distinct().withColumn("keys", every),
+    }
+
+
+def view_scores(spark: SparkSession, d: str, extended: bool) -> DataFrame:
+    source, document = view_document(spark, d)
+    tables = quality.counter(extract.table_captions(source, ("spec",)), F.col("page_number").cast("string"))
+    none = spark.createDataFrame([], "spec string, key string, n long")
+    parts = quality.score_completeness(source, document, extended=extended).unionByName(quality.score_accuracy(source, document, extended=extended))
+    return parts.unionByName(quality.score_capture(source, document, tables, none))
+
+
+@query("accuracy")
+def _(spark, d):
+    source, document = view_document(spark, d)
+    return quality.score_accuracy(source, document, extended=True).withColumn("value", F.round("value", 6))
+
+
+def _counter_f1(name: str, keys: str) -> str:
+    """F1 of counters by spec as a part of the capture score; keys: SELECT spec, version, key."""
+    return f"""SELECT s.spec, 'table_figure_capture' AS score, '{name}' AS component, round(CASE WHEN coalesce(a, 0) = 0 AND coalesce(b, 0) = 0 THEN 100.0::DOUBLE WHEN coalesce(a, 0) = 0 OR coalesce(b, 0) = 0 THEN 0.0::DOUBLE ELSE 200.0::DOUBLE * tp / (a + b) END, 6) AS value
+FROM specs s LEFT JOIN (SELECT spec, sum(least(x, y)) AS tp, sum(x) AS a, sum(y) AS b FROM (SELECT spec, key, count(*) FILTER (version = 1) AS x, count(*) FILTER (version = 2) AS y FROM ({keys}) GROUP BY ALL) GROUP BY spec) f USING (spec)"""
+
+
+@query("table_capture", CAPTIONS + ", specs AS (SELECT DISTINCT spec FROM corpus WHERE version = 2) " + _counter_f1("table_detection_f1_score", "SELECT spec, version, CAST(page_number AS VARCHAR) AS key FROM captions")
+       + " UNION ALL " + _counter_f1("table_caption_f1_score", "SELECT spec, version, concat(page_number, ':', lower(trim(regexp_replace(caption, '\\s+', ' ', 'g')))) AS key FROM captions")
+       + " UNION ALL " + _counter_f1("figure_caption_f1_score", r"SELECT spec, version, concat(page_number, ':', lower(line)) AS key FROM lines WHERE regexp_matches(line, '(?i)^Figure\s+[A-Za-z]?\d+(?:[.\-]\d+)*\s*[:.]\s')")
+       + " UNION ALL SELECT s.spec, 'table_figure_capture', 'table_file_existence_score', CASE WHEN count(c.spec) = 0 THEN 100.0::DOUBLE ELSE 0.0::DOUBLE END FROM specs s LEFT JOIN captions c ON c.spec = s.spec GROUP BY s.spec"
+       + " UNION ALL SELECT spec, 'table_figure_capture', 'image_capture_f1_score', 100.0::DOUBLE FROM specs")
+def _(spark, d):
+    source, document = view_document(spark, d)
+    tables = quality.counter(extract.table_captions(source, ("spec",)), F.col("page_number").cast("string"))
+    none = spark.createDataFrame([], "spec string, key string, n long")
+    return quality.score_capture(source, document, tables, none)
+
+
 @query("quality_report")
 def _(spark, d):
-    parts = QUERIES["completeness"](spark, d)
-    fid = QUERIES["page_fidelity"](spark, d).select("spec", F.lit("accuracy").alias("score"), F.lit("page_text_fidelity").alias("component"), F.col("fidelity").alias("value"))
-    req = QUERIES["f1_requirements"](spark, d).select("spec", F.lit("accuracy").alias("score"), F.lit("requirement_f1").alias("component"), F.col("f1").alias("value"))
-    cap = QUERIES["f1_captions"](spark, d).select("spec", F.lit("table_figure_capture").alias("score"), F.lit("table_caption_f1").alias("component"), F.col("f1").alias("value"))
-    return quality.report(quality.score(parts.unionByName(fid).unionByName(req).unionByName(cap)))
+    return quality.report(quality.score(view_scores(spark, d, False)))
 
 
 # Consensus ------------------------------------------------------------------------------------------------------------

@@ -30,6 +30,19 @@ TECHNICAL_TOKEN = (
     r"|[a-z][a-z0-9]{2,}(?:status|cause|tval|tvec|epc|scratch|ie|ip|atp|cfg\d*|addr\d*))\b"
 )
 
+#: Fixed value: a row of an encoding table in running text (code, operation, meaning).
+ENCODING_RULE = (
+    r"(?s)(0b[01]+)\s+"
+    r"([A-Za-z][A-Za-z0-9_-]*)\s+"
+    r"(.*?)"
+    r"(?=\s+0b[01]+\s+[A-Za-z][A-Za-z0-9_-]*\s+"
+    r"|\s+(?:\d+(?:\.\d+)*|[A-C]\d+(?:\.\d+)*)\s+"
+    r"|\s+[A-C]\d+(?:\.\d+)+\s+[A-Za-z]"
+    r"|\s+Table\s+[A-Za-z]?\d+(?:\.\d+)*"
+    r"|\s+ARM IHI"
+    r"|\n?\z)"
+)
+
 FIGURE_MENTION = r"(?i)\b(?:Figure|Fig\.?)\s+[A-Za-z]?\d+(?:\.\d+)*"
 LEAD_IN = r"(?iU)^(?:In Figure|As shown in Figure|The figure shows|This assertion indicates|In this case|For example)\b"
 

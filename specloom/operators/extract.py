@@ -188,8 +188,9 @@ def specification_sentences(pages: DataFrame, by: tuple = BY) -> DataFrame:
 
 
 def encoding_rules(pages: DataFrame, by: tuple = BY) -> DataFrame:
-    """Rows ``code | operation | meaning`` of encoding tables in running text; a meaning ends at the next code or heading row."""
-    pattern = r"(?sU)(0b[01xX]+)\s+([A-Za-z][A-Za-z0-9_]*)\s+(.*?)(?=\s0b[01xX]+\s|\bTable\s|\bFigure\s|\z)"
+    """Rows ``code | operation | meaning`` of encoding tables in running text; a meaning ends at the next row, at a section number, a
+    table or a page's foot."""
+    pattern = "(?U)" + lx.ENCODING_RULE
     found = F.arrays_zip(F.regexp_extract_all("text", F.lit(pattern), F.lit(1)).alias("code"), F.regexp_extract_all("text", F.lit(pattern), F.lit(2)).alias("op"), F.regexp_extract_all("text", F.lit(pattern), F.lit(3)).alias("meaning"))
     rows = _explode(pages, by, found, "x").select(*by, "page_number", "pos", "x.code", "x.op", tx.squash(F.regexp_replace("x.meaning", r"([a-z])([A-Z])", "$1 $2")).alias("meaning"))
     rows = rows.filter(tx.is_specification("meaning") | tx.is_feature("meaning"))

@@ -106,10 +106,9 @@ def covered_pages(chunks: DataFrame, by: tuple = BY) -> DataFrame:
 
 
 def category_consistency(found: DataFrame, by: tuple = BY, scored: bool = False) -> DataFrame:
-    """(by, checks, matches, share): categories against the text's; rows with text and a valid category count."""
-    valid = F.col("category").isin([*lx.CATEGORIES, lx.DEFAULT_CATEGORY])
+    """(by, checks, matches, share): categories against the text's; rows with text and a category count."""
     own = tx.scored_category("text") if scored else tx.category("text")
-    rows = found.filter(valid & (F.coalesce("text", F.lit("")) != "")).groupBy(*by).agg(F.count(F.lit(1)).alias("checks"), F.count_if(F.col("category") == own).alias("matches"))
+    rows = found.filter((F.coalesce("category", F.lit("")) != "") & (F.coalesce("text", F.lit("")) != "")).groupBy(*by).agg(F.count(F.lit(1)).alias("checks"), F.count_if(F.col("category") == own).alias("matches"))
     return rows.withColumn("share", F.round(tx.percent(F.col("matches"), F.col("checks")), 6))
 
 
@@ -147,9 +146,8 @@ def score(components: DataFrame, by: tuple = BY) -> DataFrame:
 def report(scores: DataFrame, by: tuple = BY, threshold: float = 95.0) -> DataFrame:
     """(by, overall, status, scores): the mean of the unrounded scores; rounded for the report."""
     each = F.array_sort(F.collect_list(F.struct("score", F.round("percentage", 2).alias("percentage"), tx.status("percentage", threshold).alias("status"))))
-    whole = scores.groupBy(*by).agg(F.avg("percentage").alias("p"), F.min("percentage").alias("low"), each.alias("scores"))
-    passed = (F.col("p") >= threshold) & (F.col("low") >= threshold)
-    return whole.select(*by, F.round("p", 2).alias("overall"), F.when(passed, "PASS").otherwise("FAIL").alias("status"), "scores")
+    whole = scores.groupBy(*by).agg(F.avg("percentage").alias("p"), each.alias("scores"))
+    return whole.select(*by, F.round("p", 2).alias("overall"), tx.status("p", threshold).alias("status"), "scores")
 
 
 def completeness(source: DataFrame, output: DataFrame, found: DataFrame, chunks: DataFrame, by: tuple = BY) -> DataFrame:
@@ -166,3 +164,133 @@ def completeness(source: DataFrame, output: DataFrame, found: DataFrame, chunks:
         "record_field_completeness": F.col("record_field_completeness"),
     }
     return wide.select(*by, F.explode(F.map_from_arrays(F.array(*[F.lit(k) for k in values]), F.array(*values.values()))).alias("component", "value")).select(*by, F.lit("completeness").alias("score"), "component", F.round("value", 6).alias("value"))
+
+
+# The three scores of a document. A document is a dict of tables, each with the columns ``by``: pages (page_number, text), requirements
+# and page_requirements (text, category, section), figures and page_figures (caption, page_figures with page_number), tables (page,
+# csv_file, caption), table_captions (page_number, caption), cross_references (ref), chunks (pages, …), images (page), keys (keys: the
+# JSON's top-level names).
+
+
+def components(base: DataFrame, name: str, values: dict[str, tuple[DataFrame, str, float]], by: tuple = BY) -> DataFrame:
+    """(by, score, component, value) for every document of base (by): of each table a column, or a default where it has no row."""
+    wide = base.select(*by).distinct()
+    for component, (df, column, default) in values.items():
+        wide = wide.join(df.select(*by, F.col(column).cast("double").alias(component)), list(by), "left").na.fill(default, [component])
+    parts = F.map_from_arrays(F.array(*[F.lit(k) for k in values]), F.array(*[F.col(k) for k in values]))
+    return wide.select(*by, F.explode(parts).alias("component", "value")).select(*by, F.lit(name).alias("score"), "component", "value")
+
+
+def record_completeness(document: dict[str, DataFrame], by: tuple = BY) -> DataFrame:
+    """(by, share): mean of the filled shares of requirements, figures and tables, of those that a document has."""
+    fields = {"requirements": ["text", "category"], "figures": ["caption"], "tables": ["page", "csv_file"]}
+    each = [field_completeness(document[k], f, by).select(*by, "share") for k, f in fields.items() if k in document]
+    return functools.reduce(DataFrame.unionByName, each).groupBy(*by).agg(F.avg("share").alias("share"))
+
+
+def expected_references(source: DataFrame, by: tuple = BY) -> DataFrame:
+    """(by, ref): distinct section and table references of the source's pages."""
+    every = F.concat(tx.matches("text", lx.SECTION_REF), tx.matches("text", lx.TABLE_REF))
+    return source.select(*by, F.explode(every).alias("m")).select(*by, tx.quality_text("m").alias("ref")).distinct()
+
+
+def score_completeness(source: DataFrame, document: dict[str, DataFrame], by: tuple = BY, extended: bool = False) -> DataFrame:
+    """The five parts of completeness, extended by two recalls."""
+    n = source.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"))
+    m = document["pages"].groupBy(*by).agg(F.count(F.lit(1)).alias("pages"), F.sum(F.length("text")).alias("got"))
+    wide = n.join(m, list(by), "left").join(covered_pages(document["chunks"], by), list(by), "left").na.fill(0, ["pages", "got", "covered"])
+    wide = wide.select(*by, tx.percent(F.col("pages"), F.col("n")).alias("page"), tx.percent(F.least("got", "chars"), F.col("chars")).alias("text"), tx.percent(F.col("covered"), F.col("n")).alias("chunk"))
+    values = {
+        "required_json_field_score": (required_fields(document["keys"]), "required_json_field", 0.0),
+        "page_coverage_score": (wide, "page", 100.0),
+        "text_coverage_score": (wide, "text", 100.0),
+        "semantic_chunk_coverage_score": (wide, "chunk", 100.0),
+        "record_field_completeness_score": (record_completeness(document, by), "share", 100.0),
+    }
+    if extended:
+        captured = document["cross_references"].select(*by, tx.quality_text("ref").alias("ref"))
+        values["cross_reference_recall_score"] = (reference_recall(expected_references(source, by), captured, by), "recall", 100.0)
+        values["requirement_recall_score"] = (requirement_recall(source, document["requirements"], by), "recall", 100.0)
+    return components(document["keys"], "completeness", values, by)
+
+
+def internal_checks(document: dict[str, DataFrame], by: tuple = BY) -> DataFrame:
+    """(by, five checks, share): whether a document agrees with itself."""
+    caption = tx.quality_text("caption")
+    named = lambda df: counter(df.filter(F.coalesce("caption", F.lit("")) != ""), caption, by)
+    numbers = document["pages"].select(*by, F.col("page_number").alias("page")).distinct().withColumn("there", F.lit(True))
+    valid = document["tables"].select(*by, "page").join(numbers, [*by, "page"], "left").groupBy(*by).agg(F.bool_and(F.coalesce("there", F.lit(False))).alias("ok"))
+    refs = references_resolve(document["cross_references"], document["requirements"], document["tables"], by)
+    checks = {
+        "requirements_match_page_aggregation": counters_equal(requirement_counter(document["requirements"], by), requirement_counter(document["page_requirements"], by), by).withColumnRenamed("equal", "ok"),
+        "section_format_valid": section_formats(document["requirements"], by),
+        "cross_references_resolve": refs.select(*by, "ok"),
+        "figures_match_page_aggregation": counters_equal(named(document["figures"]), named(document["page_figures"]), by).withColumnRenamed("equal", "ok"),
+        "tables_have_valid_pages": valid,
+    }
+    wide = document["keys"].select(*by).distinct()
+    for name, df in checks.items():
+        wide = wide.join(df.select(*by, F.col("ok").alias(name)), list(by), "left").na.fill(True, [name])
+    passed = functools.reduce(lambda a, b: a + b, [F.col(c).cast("int") for c in checks])
+    return wide.withColumn("share", passed * (100.0 / len(checks)))
+
+
+def token_fidelity(source: DataFrame, found: DataFrame, pattern: str, by: tuple = BY) -> DataFrame:
+    """(by, f1) of a pattern's tokens in the source and in the requirements; documents whose source has none are left out."""
+    from . import extract
+
+    expected = extract.token_counts(source, pattern, by)
+    return f1(expected, extract.token_counts(found, pattern, by), by).join(expected.select(*by).distinct(), list(by), "left_semi")
+
+
+def score_accuracy(source: DataFrame, document: dict[str, DataFrame], gold: dict[str, DataFrame] | None = None, by: tuple = BY, extended: bool = False) -> DataFrame:
+    """The five parts of accuracy, extended by three; against a gold document its five."""
+    found = document["requirements"]
+    fidelity = (page_fidelity(source, document["pages"], by), "fidelity", 100.0)
+    consistency = (internal_checks(document, by), "share", 100.0)
+    if gold is not None:
+        caption = tx.quality_text("caption")
+        named = lambda df: counter(df.filter(F.coalesce("caption", F.lit("")) != ""), caption, by)
+        values = {
+            "requirement_f1_score": (f1(requirement_counter(gold["requirements"], by), requirement_counter(found, by), by), "f1", 100.0),
+            "figure_caption_f1_score": (f1(named(gold["figures"]), named(document["figures"]), by), "f1", 100.0),
+            "table_caption_f1_score": (f1(named(gold["tables"]), named(document["tables"]), by), "f1", 100.0),
+            "page_text_fidelity_score": fidelity,
+            "json_internal_consistency_score": consistency,
+        }
+        return components(document["keys"], "accuracy", values, by)
+    total = source.groupBy(*by).agg(F.count(F.lit(1)).cast("int").alias("n"))
+    values = {
+        "page_text_fidelity_score": fidelity,
+        "requirement_traceability_score": (traceability(source, found, by), "share", 100.0),
+        "category_consistency_score": (category_consistency(found, by), "share", 100.0),
+        "page_number_accuracy_score": (page_accuracy(total, document["pages"], by), "share", 100.0),
+        "json_internal_consistency_score": consistency,
+    }
+    if extended:
+        values["category_consistency_priority_score"] = (category_consistency(found, by, scored=True), "share", 100.0)
+        values["axi_signal_fidelity_score"] = (token_fidelity(source, found, lx.AXI_SIGNAL, by), "f1", 100.0)
+        values["riscv_csr_fidelity_score"] = (token_fidelity(source, found, lx.RISCV_CSR, by), "f1", 100.0)
+    return components(document["keys"], "accuracy", values, by)
+
+
+def score_capture(source: DataFrame, document: dict[str, DataFrame], expected_tables: DataFrame, expected_images: DataFrame, by: tuple = BY) -> DataFrame:
+    """The five parts of the table and figure capture. expected_tables, expected_images: (by, key: page as text, n) of the source;
+    tables of the document may have a column exists (whether their file is there; without it none is)."""
+    from . import extract
+
+    tables = document["tables"] if "exists" in document["tables"].columns else document["tables"].withColumn("exists", F.lit(False))
+    per_page = lambda df: counter(df.filter("page is not null"), F.col("page").cast("string"), by)
+    shown = lambda df: counter(df.filter(F.coalesce("caption", F.lit("")) != ""), F.concat_ws(":", F.col("page_number").cast("string"), tx.quality_text("caption")), by)
+    asked = expected_tables.groupBy(*by).agg(F.sum("n").alias("expected"))
+    files = tables.groupBy(*by).agg(F.count(F.lit(1)).alias("records"), F.count_if(F.col("exists") & (F.coalesce("csv_file", F.lit("")) != "")).alias("there"))
+    files = document["keys"].select(*by).distinct().join(files, list(by), "left").join(asked, list(by), "left").na.fill(0, ["records", "there", "expected"])
+    share = F.when(F.col("records") == 0, F.when(F.col("expected") == 0, 100.0).otherwise(0.0)).otherwise(tx.percent(F.col("there"), F.col("records")))
+    values = {
+        "table_detection_f1_score": (f1(expected_tables, per_page(document["tables"]), by), "f1", 100.0),
+        "table_caption_f1_score": (f1(extract.expected_captions(source, lx.TABLE_CAPTION, by), shown(document["table_captions"]), by), "f1", 100.0),
+        "table_file_existence_score": (files.withColumn("share", share), "share", 100.0),
+        "figure_caption_f1_score": (f1(extract.expected_captions(source, lx.FIGURE_CAPTION, by), shown(document["page_figures"]), by), "f1", 100.0),
+        "image_capture_f1_score": (f1(expected_images, per_page(document["images"]), by), "f1", 100.0),
+    }
+    return components(document["keys"], "table_figure_capture", values, by)

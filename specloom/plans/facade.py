@@ -35,16 +35,24 @@ def items(rows: DataFrame, content: str, by: tuple = ("spec",), label: str | Non
     return rows.select(*by, (F.row_number().over(w) - 1).alias("idx"), F.col(content).alias("content"), shown.alias("preview"), F.col("page_number").alias("page"), section.alias("section"))
 
 
+def section_keys(sections: DataFrame, by: tuple = ("spec",)) -> DataFrame:
+    """Sections (by, index from 1, id, title) with key: the id, or one made of title and index; a key that came before gets the index."""
+    made = F.concat_ws(":", F.lit("title"), tx.stable_hash("title"), F.col("index").cast("string"))
+    w = Window.partitionBy(*by, "key").orderBy("index")
+    keyed = sections.withColumn("key", F.coalesce(F.nullif(tx.clean("id"), F.lit("")), made)).withColumn("n", F.row_number().over(w))
+    return keyed.withColumn("key", F.when(F.col("n") > 1, F.concat_ws(":", "key", F.col("index").cast("string"))).otherwise(F.col("key"))).drop("n")
+
+
 def version_tables(pages: DataFrame, by: tuple = ("spec",)) -> dict[str, DataFrame]:
     """What a comparison needs of one version's pages (by, page_number, text)."""
     made = extract_pages(pages, by)
-    w = Window.partitionBy(*by, "key").orderBy("page_number", "pos")
-    sections = made["sections"].withColumn("key", tx.clean("id")).withColumn("n", F.row_number().over(w))
-    sections = sections.withColumn("key", F.when(F.col("n") > 1, F.concat_ws(":", "key", F.col("n").cast("string"))).otherwise(F.col("key")))
+    w = Window.partitionBy(*by).orderBy("page_number", "pos")
+    sections = section_keys(made["sections"].withColumn("index", F.row_number().over(w)), by)
     return {
         "section": sections.select(*by, "key", "title"),
         "requirement": items(made["requirements"], "text", by),
         "note": items(made["notes"], "text", by),
+        "figure": items(made["figures"], "caption", by, "Figure"),
         "table": items(made["table_captions"], "caption", by, "Table"),
         "page": pages.select(*by, (F.row_number().over(Window.partitionBy(*by).orderBy("page_number")) - 1).alias("idx"), F.col("page_number").alias("page"), F.col("text").alias("content")),
     }
@@ -57,10 +65,15 @@ def compare_pages(old: DataFrame, new: DataFrame, by: tuple = ("spec",)) -> Data
 
 def compare_and_write(old: DataFrame, new: DataFrame, folder: str, by: tuple = ("spec",)) -> DataFrame:
     changes = compare_pages(old, new, by).cache()
+    write_reports(changes, folder)
+    return changes
+
+
+def write_reports(changes: DataFrame, folder: str, header: dict[str, str | None] | None = None) -> None:
+    """The three reports in folders of their own."""
     reports.write_csv(changes, f"{folder}/version_differences.csv")
-    reports.write_json(changes, f"{folder}/version_differences.json")
+    reports.write_json(changes, f"{folder}/version_differences.json", header)
     reports.write_markdown(changes, f"{folder}/version_differences.md")
-    return changes
 
 
 def plan_filter(sections: DataFrame, by: tuple = extract.BY, hook: Callable[[DataFrame], DataFrame] | None = None, most: int = 5, fallback: int = 3) -> DataFrame:

@@ -7,26 +7,43 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 
-#: A source as a specification, its documents as pages, version 2 as a fixed edit of version 1. The same in Spark and DuckDB.
-CORPUS_SQL = """
+#: A source's documents numbered in order of doc_id: in parts of 4,096 ids, and over the parts' sizes, so that no task orders a source.
+NUMBERED = """
+WITH parts AS (
+  SELECT source, doc_id - doc_id % 4096 AS part, count(*) AS n FROM {documents} GROUP BY source, doc_id - doc_id % 4096),
+ahead AS (
+  SELECT source, part, coalesce(sum(n) OVER (PARTITION BY source ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM parts),
+inside AS (
+  SELECT source, doc_id, text, doc_id - doc_id % 4096 AS part,
+         row_number() OVER (PARTITION BY source, doc_id - doc_id % 4096 ORDER BY doc_id) AS place FROM {documents}),
+base AS (
+  SELECT i.source AS spec, i.doc_id, coalesce(i.text, '') AS text, CAST(a.before + i.place AS INT) AS pn
+  FROM inside i JOIN ahead a ON i.source = a.source AND i.part = a.part),
+"""
+#: The same numbers in one step, for the oracle.
+NUMBERED_PLAINLY = """
 WITH base AS (
-  SELECT source AS spec, doc_id, text,
+  SELECT source AS spec, doc_id, coalesce(text, '') AS text,
          CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) AS INT) AS pn
-  FROM {documents}),
+  FROM documents),
+"""
+#: A source as a specification, its documents as whole pages, version 2 as a fixed edit of version 1. The same in Spark and DuckDB. A
+#: document is missing from one version at most.
+CORPUS_SQL = """
 v AS (SELECT 1 AS version UNION ALL SELECT 2 AS version),
 p AS (
   SELECT b.spec, v.version, b.doc_id,
          CASE WHEN v.version = 2 THEN b.pn + 1 ELSE b.pn END AS page_number,
          CONCAT(
            CASE WHEN b.pn % 3 = 1 THEN CONCAT('A', CAST(1 + b.pn % 9 AS STRING), '.', CAST(b.pn % 5 AS STRING), ' Channel signals', chr(10)) ELSE '' END,
-           substring(b.text, 1, 400), '.', chr(10),
+           b.text, '.', chr(10),
            'The manager ', CASE WHEN v.version = 2 AND b.doc_id % 11 = 0 THEN 'should' ELSE 'must' END,
            ' hold AWVALID for ', CAST(b.doc_id % 17 + CASE WHEN v.version = 2 AND b.doc_id % 7 = 0 THEN 1 ELSE 0 END AS STRING),
            ' cycles. See Section 2.', CAST(b.doc_id % 4 AS STRING), ' and Table A', CAST(1 + b.pn % 9 AS STRING), '-1.', chr(10),
            CASE WHEN b.doc_id % 5 = 0 THEN CONCAT('NOTE: page ', CAST(b.doc_id AS STRING), ' is informative.', chr(10)) ELSE '' END,
            CASE WHEN b.doc_id % 4 = 0 THEN CONCAT('Table A', CAST(1 + b.pn % 9 AS STRING), '-1: Signal list', chr(10)) ELSE '' END) AS text
   FROM base b CROSS JOIN v
-  WHERE NOT (v.version = 2 AND b.doc_id % 13 = 0) AND NOT (v.version = 1 AND b.doc_id % 19 = 0))
+  WHERE NOT (v.version = 2 AND b.doc_id % 13 = 0) AND NOT (v.version = 1 AND b.doc_id % 19 = 0 AND b.doc_id % 13 <> 0))
 SELECT spec, version, page_number, text FROM p
 """
 
@@ -46,11 +63,11 @@ pages array<struct<page_number: int, text: string, headings: array<struct<sectio
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """pages(spec, version, page_number, text) of the two versions."""
-    return spark.sql(CORPUS_SQL, documents=spark.read.parquet(f"{sf_dir}/documents.parquet").select("source", "doc_id", "text"))
+    return spark.sql(NUMBERED + CORPUS_SQL, documents=spark.read.parquet(f"{sf_dir}/documents.parquet").select("source", "doc_id", "text"))
 
 
 def corpus_sql() -> str:
-    return CORPUS_SQL.format(documents="documents")
+    return NUMBERED_PLAINLY + CORPUS_SQL
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
@@ -65,17 +82,23 @@ def read_document_keys(spark: SparkSession, path: str) -> DataFrame:
     return df.select(F.col("_metadata.file_path").alias("source_path"), F.json_object_keys("value").alias("keys"))
 
 
+#: A record of a CSV file: line breaks inside quotes belong to it.
+RECORD = r'((?:[^"\r\n]++|"(?:[^"]++|"")*+(?:"|\z))++)'
+CELL = r',("(?:[^"]++|"")*+"[^,]*|[^,]*)'
+
+
 def read_tables(spark: SparkSession, path: str) -> DataFrame:
     """(source_path, row_idx, cells): rows of CSV files in order, cells cleaned, rows without a filled cell left out."""
     df = spark.read.text(path, wholetext=True)
-    rows = df.select(F.col("_metadata.file_path").alias("source_path"), F.posexplode(tx.lines(F.regexp_replace("value", "\\A\ufeff", ""))).alias("row_idx", "line"))
+    records = F.regexp_extract_all(F.regexp_replace("value", "\\A\ufeff", ""), F.lit(RECORD), F.lit(1))
+    rows = df.select(F.col("_metadata.file_path").alias("source_path"), F.posexplode(records).alias("row_idx", "line"))
     cells = F.transform(split_csv(F.col("line")), tx.clean)
     return rows.select("source_path", "row_idx", cells.alias("cells")).filter(F.exists("cells", lambda x: x != ""))
 
 
 def split_csv(line: Column) -> Column:
-    """Cells of a CSV line with quotes; doubled quotes inside quotes stand for one."""
-    raw = F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(r',("(?:[^"]|"")*"|[^,]*)'), F.lit(1))
+    """Cells of a CSV record with quotes; doubled quotes inside quotes stand for one."""
+    raw = F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(CELL), F.lit(1))
     return F.transform(raw, lambda x: F.when(x.startswith('"') & x.endswith('"') & (F.length(x) >= 2), F.regexp_replace(F.substring(x, F.lit(2), F.length(x) - 2), '""', '"')).otherwise(x))
 
 

@@ -36,7 +36,7 @@ def test_numeric_change_and_bucket(spark):
     assert row["change_type"] == "modified"
     assert row["difference_category"] == "numeric_value_change"
     assert row["detail"] == "Changed '5' to '6'"
-    assert (row["report_section"], row["report_category"]) == ("Critical", "Numeric changes")
+    assert (row["report_section"], row["report_category"]) == ("Critical Changes", "Numeric changes")
 
 
 def test_empty_items_match_nothing(spark):
@@ -85,7 +85,7 @@ def test_writers(spark, tmp_path):
     facade.compare_and_write(old, new, str(tmp_path))
     lines = spark.read.option("header", True).csv(str(tmp_path / "version_differences.csv"))
     assert lines.columns == reports.CSV_COLUMNS and lines.count() > 0
-    assert any("# Version differences" in r["value"] for r in spark.read.text(str(tmp_path / "version_differences.md")).collect())
+    assert any("# Specification Version Comparison Report" in r["value"] for r in spark.read.text(str(tmp_path / "version_differences.md")).collect())
 
 
 def test_page_streams(spark, tmp_path):
@@ -107,3 +107,89 @@ def test_cover_and_overlap(spark):
     cover = "Chapter A1\nIntroduction\nA1.1 x\nA1.2 y\nA1.3 z"
     df = spark.createDataFrame([(cover,), ("text",)], "text string")
     assert [r["x"] for r in df.select(extract.is_cover("text").alias("x")).collect()] == [True, False]
+
+
+DOC = {
+    "document_name": "spec", "total_pages": 2, "metadata": {"title": "T", "version": "1"},
+    "sections": [{"id": "A1", "title": "One"}, {"id": "", "title": "Loose"}, {"id": "A1", "title": "Again"}],
+    "requirements": [{"page": 1, "section": "A1", "category": "Functional", "text": "The widget must spin."}],
+    "figures": [{"page": 2, "caption": "Figure 1: the old wheel turns"}], "tables": [{"page": 1, "csv_file": "t.csv", "caption": "Table 1: sizes"}],
+    "notes": [], "acronyms": [], "cross_references": ["Table 1"], "semantic_chunks": [{"section": "A1", "pages": [1, 2], "text": "x"}],
+    "pages": [
+        {"page_number": 1, "text": "The widget must spin. See Table 1.", "requirements": [{"page": 1, "section": "A1", "category": "Functional", "text": "The widget must spin."}], "table_captions": [{"caption": "Table 1: sizes"}]},
+        {"page_number": 2, "text": "Figure 1: the old wheel turns", "figures": [{"page": 2, "caption": "Figure 1: the old wheel turns"}]},
+    ],
+}
+
+
+def test_documents_to_changes_and_reports(spark, tmp_path):
+    from specloom.plans import documents as plans
+
+    new = json.loads(json.dumps(DOC))
+    new["metadata"]["version"] = "2"
+    new["figures"][0]["caption"] = "Figure 1: the new wheel turns"
+    new["sections"][2]["title"] = "Other"
+    for name, doc, cell in (("old", DOC, "5"), ("new", new, "6")):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "document.json").write_text(json.dumps(doc))
+        (tmp_path / name / "t.csv").write_text(f'Name,Size\n"a ""b""\nc",{cell}\n,\nlast one,seven\n')
+
+    def load(name):
+        docs = plans.with_spec(src.read_documents(spark, str(tmp_path / name / "document.json")))
+        return docs, src.read_tables(spark, str(tmp_path / name / "t.csv")).select(F.regexp_extract("source_path", "[^/]*$", 0).alias("csv_file"), "row_idx", "cells")
+
+    (a, x), (b, y) = load("old"), load("new")
+    assert [r["cells"] for r in x.orderBy("row_idx").collect()] == [["Name", "Size"], ['a "b" c', "5"], ["last one", "seven"]]
+    keys = sorted(r["key"] for r in plans.version_tables(a, x)["section"].collect())
+    assert keys[:2] == ["A1", "A1:3"] and keys[2].startswith("title:") and keys[2].endswith(":2") and len(keys) == 3
+    changes = plans.compare_documents(a, b, x, y).cache()
+    found = {(r["area"], r["change_type"], r["difference_category"]): r for r in changes.collect()}
+    assert set(found) == {("metadata", "modified", "metadata_change"), ("section", "modified", "content_change"), ("figure", "modified", found_category(found, "figure")), ("table", "modified", "numeric_value_change")}
+    assert found["metadata", "modified", "metadata_change"]["identifier"] == "version"
+    assert found["table", "modified", "numeric_value_change"]["preview"] == "Name | Size"
+    facade.write_reports(changes, str(tmp_path / "out"), {"old_document": "old", "new_document": "new"})
+
+    def joined(name):
+        return "\n".join(p.read_text().rstrip("\n") for p in sorted((tmp_path / "out" / name).glob("part-*")))
+
+    report = json.loads(joined("version_differences.json"))
+    assert report["summary"]["total_changes"] == 4 == len(report["changes"]) and report["summary"]["by_area"]["table"] == 1
+    assert [list(v) for v in report["organized_changes"].values()] == [[n for n, _ in bs] for _, bs in reports.LAYOUT]
+    assert report["organized_changes"]["Content Changes"]["Modified tables"][0]["area"] == "table"
+    text = joined("version_differences.md")
+    assert text.startswith("# Specification Version Comparison Report") and "**Total changes:** 4" in text and "| table | 1 |" in text and "### Modified tables (1)" in text
+    assert joined("version_differences.csv").split("\n")[0] == ",".join(reports.CSV_COLUMNS)
+
+
+def found_category(found, area):
+    return next(k[2] for k in found if k[0] == area)
+
+
+def test_quality_scores_by_hand(spark, tmp_path):
+    from specloom.plans import documents as plans
+
+    (tmp_path / "document.json").write_text(json.dumps(DOC))
+    docs = plans.with_spec(src.read_documents(spark, str(tmp_path / "document.json")))
+    keys = src.read_document_keys(spark, str(tmp_path / "document.json")).select(F.lit("spec").alias("spec"), "keys")
+    source = pages(spark, [("spec", 1, "The widget must spin. See Table 1."), ("spec", 2, "Figure 1: the old wheel turns")])
+    document = plans.tables(docs) | {"keys": keys}
+    full = {r["component"]: r["value"] for r in quality.score_completeness(source, document, extended=True).collect()}
+    assert len(full) == 7 and full["record_field_completeness_score"] == 100 and full["page_coverage_score"] == 100
+    assert full["cross_reference_recall_score"] == 100 and full["requirement_recall_score"] == 100
+    exact = {r["component"]: r["value"] for r in quality.score_accuracy(source, document, extended=True).collect()}
+    assert len(exact) == 8 and exact["page_text_fidelity_score"] == 100 and exact["json_internal_consistency_score"] == 100
+    assert exact["axi_signal_fidelity_score"] == exact["riscv_csr_fidelity_score"] == 100
+    gold = {r["component"]: r["value"] for r in quality.score_accuracy(source, document, document).collect()}
+    assert len(gold) == 5 and set(gold.values()) == {100.0}
+    seen = spark.createDataFrame([("spec", "1", 1), ("spec", "2", 1)], "spec string, key string, n long")
+    got = {r["component"]: r["value"] for r in quality.score_capture(source, document, seen, seen.limit(0)).collect()}
+    assert got["table_detection_f1_score"] == round(200 / 3, 6) and got["figure_caption_f1_score"] == 100 and got["table_file_existence_score"] == 0
+    parts = spark.createDataFrame([("s", "one", "x", 100.0), ("s", "two", "y", 92.0)], "spec string, score string, component string, value double")
+    row = quality.report(quality.score(parts)).first()
+    assert (row["overall"], row["status"].upper()) == (96.0, "PASS")  # the mean alone decides
+
+
+def test_encoding_rules(spark):
+    text = "0b000 WRITE-NOSNOOP The line must be written 0b001 READ It must hold A2.3 Signals and more"
+    got = [r["text"] for r in extract.encoding_rules(pages(spark, [("a", 1, text)]), ("spec",)).orderBy("pos").collect()]
+    assert got == ["0b000 | WRITE-NOSNOOP | The line must be written", "0b001 | READ | It must hold"]
