@@ -288,13 +288,15 @@ def _(spark, d):
 TOKEN_STOP = "[" + ", ".join(f"'{w}'" for w in lx.COMMON_TOKENS) + "]"
 
 
-def sql_tokens(x: str) -> str:
-    """Tokens in the order of first occurrence."""
-    every = f"regexp_extract_all(lower({x}), '[a-z0-9_]+')"
-    return f"list_filter(list_filter({every}, lambda v, i: list_position({every}, v) = i), lambda v: length(v) >= 3 AND NOT list_contains({TOKEN_STOP}, v))"
+def sql_tokens(source: str, keys: str, text: str) -> str:
+    """Tables of source's tokens: tok (keys, tokens in the order of first occurrence)."""
+    return f""", each_token AS (SELECT {keys}, unnest(m) AS token, unnest(range(len(m))) AS place FROM (SELECT {keys}, regexp_extract_all(lower({text}), '[a-z0-9_]+') AS m FROM {source})),
+firsts AS (SELECT {keys}, token, min(place) AS place FROM each_token WHERE length(token) >= 3 AND NOT list_contains({TOKEN_STOP}, token) GROUP BY ALL),
+lists AS (SELECT {keys}, list(token ORDER BY place) AS tokens FROM firsts GROUP BY ALL),
+tok AS (SELECT s.*, coalesce(l.tokens, []) AS tokens FROM {source} s LEFT JOIN lists l USING ({keys}))"""
 
 
-@query("significant_tokens", CORPUS + f" SELECT spec, version, page_number, {sql_tokens('text')} AS tokens FROM corpus")
+@query("significant_tokens", CORPUS + sql_tokens("corpus", "spec, version, page_number", "text") + " SELECT spec, version, page_number, tokens FROM tok")
 def _(spark, d):
     return corpus(spark, d).select(*PAGE, "page_number", tx.tokens("text").alias("tokens"))
 
@@ -370,7 +372,7 @@ def _(spark, d):
     return compare.page_shifts(m.withColumn("seq", F.col("old_idx")))
 
 
-CANDIDATES = PAGES + f""", tok AS (SELECT spec, version, idx, {sql_tokens('norm')} AS tokens, length(text) AS len FROM items WHERE norm <> ''),
+CANDIDATES = PAGES + ", filled AS (SELECT spec, version, idx, norm, length(text) AS len FROM items WHERE norm <> '')" + sql_tokens("filled", "spec, version, idx", "norm") + """,
 ex AS (SELECT spec, version, idx, unnest(tokens[1:40]) AS token, unnest(range(len(tokens[1:40]))) AS pos FROM tok),
 pairs AS (SELECT a.spec, a.idx AS old_idx, b.idx AS new_idx, count(*) AS shared, min(a.pos) AS first FROM ex a JOIN ex b ON a.spec = b.spec AND a.token = b.token AND a.version = 1 AND b.version = 2 GROUP BY ALL),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY spec, old_idx ORDER BY shared DESC, first, new_idx) AS rank FROM pairs)"""
