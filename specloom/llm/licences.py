@@ -239,7 +239,7 @@ def train(spark: SparkSession, docs: DataFrame, negatives: int = NEGATIVES) -> C
     # and what the scan meets: paragraphs with an anchor that hold little of any statement
     every = F.array(*[F.array(*[F.lit(g) for g in pairs(s)]) for family in STATEMENTS for s in STATEMENTS[family]])
     like = F.exists(every, lambda s: F.size(F.array_intersect(s, grams(words_of(F.col("text")), 2))) * 2 >= F.size(s) * HELD)
-    odd = docs.select("text").filter(F.col("text").rlike(ANCHORS)).sample(min(1.0, 20.0 * negatives / max(1, n)), 6)
+    odd = some.filter(F.col("text").rlike(ANCHORS))
     odd = odd.select(F.explode(paragraphs(F.col("text"))).alias("text")).filter(long).distinct().filter(~like)
 
     def few(x: DataFrame, number) -> DataFrame:
