@@ -206,6 +206,7 @@ def train(rows: DataFrame, sample: int = SAMPLE, words_each: int = WORDS_EACH, o
     step = LONGEST - order
     windows = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.length("run") - order - 1), F.lit(step)), lambda i: F.substring(F.col("run"), i + 1, F.lit(LONGEST)))
     runs = chosen.filter("not back").select("lang", F.explode(F.split(F.lower("text"), r"[\x20\x09-\x0D]+")).alias("run")).filter("run <> ''")
+    windows = F.when(F.length("run") > LONGEST, windows).otherwise(F.array("run"))
     counts = runs.select("lang", F.explode(windows).alias("word")).groupBy("lang", "word").count()
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("count"), "word"))  # of a bounded sample's words
     top = counts.withColumn("rank", rank).filter(F.col("rank") <= words_each).select("lang", "word", "count").toArrow()
