@@ -119,13 +119,14 @@ class Words:
         self.bounds = np.searchsorted(self.starts, self.texts)
         if hashes:
             self.hashes = span_hashes(self.data, self.starts, self.ends)
+            self.heads = eights(self.data)[self.starts] & _MASK[np.minimum(self.ends - self.starts, 8)]
 
     def differ(self, some: np.ndarray, others: np.ndarray) -> np.ndarray:
         """Whether the bytes of some words are not those of others."""
-        size = self.ends[some] - self.starts[some]
-        same = size == self.ends[others] - self.starts[others]
-        at = np.flatnonzero(same & (some != others))
-        same[at] = equal_spans(self.data, self.starts[some[at]], self.data, self.starts[others[at]], size[at])
+        size = self.ends - self.starts
+        same = (size[some] == size[others]) & (self.heads[some] == self.heads[others])
+        at = np.flatnonzero(same & (size[some] > 8) & (some != others))
+        same[at] = equal_spans(self.data, self.starts[some[at]], self.data, self.starts[others[at]], size[some[at]])
         return ~same
 
     def string(self, k: int) -> str:
