@@ -262,7 +262,7 @@ def _(spark, d):
     return extract.token_counts(corpus(spark, d), lx.AXI_SIGNAL)
 
 
-@query("score_labels", "SELECT doc_id, CASE WHEN v >= 90 THEN 'Excellent' WHEN v >= 75 THEN 'Good' WHEN v >= 60 THEN 'Fair' ELSE 'Poor' END AS label, CASE WHEN v >= 95 THEN 'PASS' ELSE 'FAIL' END AS status, printf('%.0f%%', round_even(v / 800 * 100, 0)) AS share FROM (SELECT doc_id, CAST(doc_id % 101 AS DOUBLE) AS v FROM documents)")
+@query("score_labels", "SELECT doc_id, CASE WHEN v >= 90 THEN 'Excellent' WHEN v >= 75 THEN 'Good' WHEN v >= 60 THEN 'Fair' ELSE 'Poor' END AS label, CASE WHEN v >= 95 THEN 'pass' ELSE 'fail' END AS status, printf('%.0f%%', round_even(v / 800 * 100, 0)) AS share FROM (SELECT doc_id, CAST(doc_id % 101 AS DOUBLE) AS v FROM documents)")
 def _(spark, d):
     labels = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", (F.col("doc_id") % 101).cast("double").alias("v"))
     return labels.select("doc_id", tx.score_label("v").alias("label"), tx.status("v").alias("status"), tx.percent_text(F.col("v") / 800).alias("share"))

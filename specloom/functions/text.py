@@ -219,7 +219,23 @@ def score_label(x: Column | str) -> Column:
 
 
 def status(x: Column | str, threshold: float = 95.0) -> Column:
-    return F.when(col(x) >= threshold, "PASS").otherwise("FAIL")
+    return F.when(col(x) >= threshold, "pass").otherwise("fail")
+
+
+def requirement_id_key(index: Column | str, *fields: Column | str) -> Column:
+    """REQ: and the first field that isn't empty, else the index. A record's fields in their order: requirement_id, id, identifier,
+    name, req_id, requirement."""
+    named = [F.nullif(clean(x), F.lit("")) for x in fields]
+    return F.concat(F.lit("REQ:"), F.coalesce(*named, col(index).cast("string")))
+
+
+def page_key(number: Column | str, index: Column | str) -> Column:
+    return F.coalesce(col(number).cast("string"), col(index).cast("string"))
+
+
+def timestamp(x: Column | None = None) -> Column:
+    """A time, now if none is given, in ISO form to the second."""
+    return F.date_format(F.current_timestamp() if x is None else x, "yyyy-MM-dd'T'HH:mm:ss")
 
 
 def score_name(x: Column | str) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 AGENTS = 6
@@ -25,4 +25,19 @@ def majority(findings: DataFrame, agents: int = AGENTS, description: str = "reas
 
 def merged(found: DataFrame) -> DataFrame:
     """Each majority finding with its first description: what stands where no model merges them."""
-    return found.withColumn("description", F.get("descriptions", F.lit(0)))
+    return found.withColumn("description", F.coalesce(F.get("descriptions", F.lit(0)), F.lit("")))
+
+
+def result_json(found: DataFrame) -> DataFrame:
+    """merged() findings as rows (ord, line) that together are one JSON text, {"inconsistencies": [...]}; a line holds one finding."""
+    fields = [*KEY, "description"]
+    rows = found.withColumn("ord", F.row_number().over(Window.orderBy(*KEY)))  # what most agents agree on: few
+    body = F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})
+    listed = rows.select("ord", F.concat(F.when(F.col("ord") == 1, "").otherwise(","), body).alias("line"))
+    ends = found.sparkSession.createDataFrame([(0, '{"inconsistencies": ['), ((1 << 31) - 1, "]}")], "ord int, line string")
+    return ends.union(listed)
+
+
+def write_result(found: DataFrame, path: str) -> None:
+    """The consensus as JSON; files in the order of their names are one text."""
+    result_json(found).orderBy("ord").select("line").write.mode("overwrite").text(path)

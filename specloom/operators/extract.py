@@ -197,6 +197,12 @@ def encoding_rules(pages: DataFrame, by: tuple = BY) -> DataFrame:
     return rows.select(*by, "page_number", "pos", F.concat_ws(" | ", "code", "op", "meaning").alias("text"), F.lit("encoding_rule").alias("type"))
 
 
+def with_record(found: DataFrame, kind: str | None = None) -> DataFrame:
+    """Requirements (…, text, section) with the rest of a record: source_section, signals and type (kind where there is none)."""
+    out = found.withColumn("source_section", F.col("section")).withColumn("signals", tx.signals("text"))
+    return out if "type" in found.columns else out.withColumn("type", F.lit(kind))
+
+
 def table_row_requirements(cells: DataFrame) -> DataFrame:
     """Rows of tables (…, cells array<string>) with two filled cells or more and a requirement or feature, joined."""
     filled = F.filter(F.transform("cells", tx.clean), lambda x: x != "")

@@ -150,6 +150,47 @@ def report(scores: DataFrame, by: tuple = BY, threshold: float = 95.0) -> DataFr
     return whole.select(*by, F.round("p", 2).alias("overall"), tx.status("p", threshold).alias("status"), "scores")
 
 
+#: What a report says of how its scores are made.
+FORMULAS = {
+    "completeness": "mean(required_json_field, page_coverage, text_coverage, semantic_chunk_coverage, record_field_completeness)",
+    "completeness_extended": "mean(required_json_field, page_coverage, text_coverage, semantic_chunk_coverage, record_field_completeness, cross_reference_recall, requirement_recall)",
+    "accuracy": "mean(page_text_fidelity, requirement_traceability, category_consistency, page_number_accuracy, json_internal_consistency)",
+    "accuracy_extended": "mean(page_text_fidelity, requirement_traceability, category_consistency, page_number_accuracy, json_internal_consistency, category_consistency_priority, axi_signal_fidelity, riscv_csr_fidelity)",
+    "accuracy_gold": "mean(requirement_f1, figure_caption_f1, table_caption_f1, page_text_fidelity, json_internal_consistency)",
+    "table_figure_capture": "mean(table_detection_f1, table_caption_f1, table_file_existence, figure_caption_f1, image_capture_f1)",
+}
+
+
+def formula() -> Column:
+    """The formula of a score (score, details), by its parts."""
+    said = lambda k: F.lit(FORMULAS[k])
+    many = F.size("details") > 5
+    gold = F.map_contains_key("details", "requirement_f1_score")
+    made = F.when(F.col("score") == "completeness", F.when(many, said("completeness_extended")).otherwise(said("completeness")))
+    made = made.when(F.col("score") == "accuracy", F.when(gold, said("accuracy_gold")).when(many, said("accuracy_extended")).otherwise(said("accuracy")))
+    return made.when(F.col("score") == "table_figure_capture", said("table_figure_capture"))
+
+
+def report_json(scores: DataFrame, inputs: Column, by: tuple = BY, threshold: float = 95.0) -> DataFrame:
+    """(by, value): the report of each document as JSON, its scores by name with percentage, status, formula and details. inputs: a struct
+    of columns that scores has by document."""
+    one = F.struct(F.round("percentage", 2).alias("percentage"), tx.status("percentage", threshold).alias("status"), formula().alias("formula"), "details")
+    by_name = lambda x, y: F.when(x["score"] < y["score"], -1).when(x["score"] > y["score"], 1).otherwise(0)  # noqa: E731  # maps in the values have no order
+    rows = scores.withColumn("inputs", inputs).groupBy(*by).agg(F.first("inputs").alias("inputs"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("score", one.alias("value"))), by_name)).alias("scores"), F.avg("percentage").alias("p"))
+    whole = F.struct("inputs", "scores", F.round("p", 2).alias("overall_percentage"), tx.status("p", threshold).alias("overall_status"))
+    return rows.select(*by, F.to_json(whole, {"ignoreNullFields": "false", "pretty": "true"}).alias("value"))
+
+
+def report_text(scores: DataFrame, inputs: DataFrame, by: tuple = BY, threshold: float = 95.0) -> DataFrame:
+    """(by, value): the report of each document in lines; inputs: (by, json, pdf, gold_json)."""
+    details = F.array_join(F.transform(F.array_sort(F.map_entries("details")), lambda x: F.format_string("  %s: %.2f%%\n", x["key"], x["value"])), "")
+    one = F.concat(F.format_string("%s: %.2f%% - %s\n  formula: ", "score", "percentage", tx.status("percentage", threshold)), F.coalesce(formula(), F.lit("")), F.lit("\n"), details)
+    rows = scores.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("score", one.alias("text")))).alias("each"), F.avg("percentage").alias("p")).join(inputs, list(by))
+    head = F.concat(F.lit("Extractor Quality Check\n=======================\nJSON: "), F.coalesce("json", F.lit("")), F.lit("\nPDF:  "), F.coalesce("pdf", F.lit("not supplied/found")), F.coalesce(F.concat(F.lit("\nGold: "), "gold_json"), F.lit("")), F.lit("\n\n"))
+    last = F.format_string("overall: %.2f%% - %s", F.col("p"), tx.status("p", threshold))
+    return rows.select(*by, F.concat(head, F.array_join(F.transform("each", lambda x: x["text"]), "\n"), F.lit("\n"), last).alias("value"))
+
+
 def completeness(source: DataFrame, output: DataFrame, found: DataFrame, chunks: DataFrame, by: tuple = BY) -> DataFrame:
     """Components of completeness (by, score, component, value) for the core variant, without the required fields (they need the JSON)."""
     n = source.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"))

@@ -27,6 +27,32 @@ def extract_pages(pages: DataFrame, by: tuple = extract.BY) -> dict[str, DataFra
     }
 
 
+def extract_specification(pages: DataFrame, layout: DataFrame | None = None, by: tuple = extract.BY) -> dict[str, DataFrame]:
+    """The third generation's run over pages (by, page_number, text), with layout blocks (by, page_number, pos, type, spans) if there are
+    any: headings by precedence, sections carried forward, requirements (by, page_number, pos, section, text, type, source_section,
+    signals, id) of pages that are no chapter's cover, without heading lines; sentences that rules of encoding tables cover give way to
+    these, texts count once in a document, ids run by section."""
+    found = extract.page_headings(pages, layout, by)
+    body = extract.without_headings(pages.filter(~extract.is_cover("text")), found, by)
+    rules = extract.encoding_rules(body, by)
+    said = extract.uncovered(extract.specification_sentences(body, by), rules, by)
+    rows = said.select(*by, "page_number", F.struct(F.lit(0).alias("k"), "pos").alias("pos"), "text", F.lit("protocol_rule").alias("type"))
+    rows = rows.union(rules.select(*by, "page_number", F.struct(F.lit(1).alias("k"), "pos").alias("pos"), "text", "type"))
+    rows = extract.first_occurrences(rows, by).join(extract.page_sections(pages, found, by), [*by, "page_number"])
+    rows = extract.with_record(extract.with_ids(rows, by))
+    place = F.row_number().over(Window.partitionBy(*by, "page_number").orderBy("pos")) - 1
+    return {
+        "headings": found,
+        "sections": extract.section_tree(found, by),
+        "requirements": rows.withColumn("pos", place),
+        "notes": extract.notes(pages, by),
+        "acronyms": extract.acronyms(pages, by),
+        "cross_references": extract.cross_references(pages, by),
+        "table_captions": extract.table_captions(pages, by),
+        "semantic_chunks": extract.semantic_chunks(pages, found, by),
+    }
+
+
 def items(rows: DataFrame, content: str, by: tuple = ("spec",), label: str | None = None) -> DataFrame:
     """Rows (by, page_number, pos, …) as items of a comparison, numbered by page and place."""
     w = Window.partitionBy(*by).orderBy("page_number", "pos")
@@ -76,6 +102,12 @@ def write_reports(changes: DataFrame, folder: str, header: dict[str, str | None]
     reports.write_markdown(changes, f"{folder}/version_differences.md")
 
 
+def write_results(results: dict[str, DataFrame], folder: str) -> None:
+    """Results (the two extractions, the plan's material, the changes, the quality report) as JSON lines, each in a folder of its name."""
+    for name, df in results.items():
+        df.write.mode("overwrite").option("ignoreNullFields", False).json(f"{folder}/{name}.json")
+
+
 def plan_filter(sections: DataFrame, by: tuple = extract.BY, hook: Callable[[DataFrame], DataFrame] | None = None, most: int = 5, fallback: int = 3) -> DataFrame:
     """(by, section, content): the first sections of a valid form, else the first ones; hook replaces the choice.
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..session import ready
+from .corpus import read_documents
 
 METADATA = {"title": "title", "author": "author", "subject": "subject", "keywords": "keywords", "creator": "creator", "producer": "producer", "creation_date": "creationDate", "modification_date": "modDate"}
 
@@ -128,6 +129,20 @@ def chunk_pages(chunks: DataFrame, by: tuple = ("spec", "version")) -> DataFrame
     return chunks.select(*by, F.explode("pages").alias("page")).distinct().orderBy(*by, "page")
 
 
+def encoded(images: DataFrame) -> DataFrame:
+    """Images (…, content binary) with base64, as text without line breaks."""
+    return images.withColumn("base64", F.regexp_replace(F.base64("content"), r"[\r\n]+", ""))
+
+
+def read_any(spark: SparkSession, path: str, pdf: Callable[[SparkSession, str], DataFrame] | None = None) -> DataFrame:
+    """Documents of a path by its ending: of a PDF by the caller's reader, of anything else as document JSON."""
+    if path.lower().endswith(".pdf"):
+        if pdf is None:
+            raise ValueError("a reader of PDF files must be given")
+        return pdf(spark, path)
+    return read_documents(spark, path)
+
+
 def exit_code(report: DataFrame) -> int:
     """0 if every document of a quality report passes, else 1."""
-    return int(report.filter("status <> 'PASS'").limit(1).count() > 0)
+    return int(report.filter("status <> 'pass'").limit(1).count() > 0)

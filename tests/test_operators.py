@@ -186,10 +186,60 @@ def test_quality_scores_by_hand(spark, tmp_path):
     assert got["table_detection_f1_score"] == round(200 / 3, 6) and got["figure_caption_f1_score"] == 100 and got["table_file_existence_score"] == 0
     parts = spark.createDataFrame([("s", "one", "x", 100.0), ("s", "two", "y", 92.0)], "spec string, score string, component string, value double")
     row = quality.report(quality.score(parts)).first()
-    assert (row["overall"], row["status"].upper()) == (96.0, "PASS")  # the mean alone decides
+    assert (row["overall"], row["status"]) == (96.0, "pass")  # the mean alone decides
 
 
 def test_encoding_rules(spark):
     text = "0b000 WRITE-NOSNOOP The line must be written 0b001 READ It must hold A2.3 Signals and more"
     got = [r["text"] for r in extract.encoding_rules(pages(spark, [("a", 1, text)]), ("spec",)).orderBy("pos").collect()]
     assert got == ["0b000 | WRITE-NOSNOOP | The line must be written", "0b001 | READ | It must hold"]
+
+
+def test_specification_run(spark):
+    cover = "Chapter A2\nOverview\n• A2.1 One\n• A2.2 Two\n• A2.3 Three\nThe cover must not count."
+    first = "A2.1 Signal rules\nThe manager must hold AWVALID until ready.\n0b000 WRITE-NOSNOOP The line must be written 0b001 READ It must hold A2.3 more"
+    rows = pages(spark, [("a", 1, cover), ("a", 2, first), ("a", 3, "The manager must hold  AWVALID until ready. The subordinate must wait."), ("b", 1, "")])
+    blocks = spark.createDataFrame([("a", 3, 0, 0, [("A2.2 ", 9.0), ("Layout part", 11.0)])], "spec string, page_number int, pos int, type int, spans array<struct<text: string, size: double>>")
+    made = facade.extract_specification(rows, blocks, ("spec",))
+    got = made["requirements"].orderBy("page_number", "pos").collect()
+    assert [(r["page_number"], r["section"], r["type"]) for r in got] == [(2, "A2.1", "protocol_rule"), (2, "A2.1", "encoding_rule"), (2, "A2.1", "encoding_rule"), (3, "A2.2", "protocol_rule")]
+    assert [r["id"] for r in got] == ["REQ_A2_1_001", "REQ_A2_1_002", "REQ_A2_1_003", "REQ_A2_2_001"]
+    assert "AWVALID" in got[0]["signals"] and got[0]["source_section"] == "A2.1" and "cover" not in " ".join(r["text"] for r in got)
+    third = [(r["section_id"], r["font_size"]) for r in made["headings"].filter("page_number = 3").collect()]
+    assert third == [("A2.2", 11.0)]
+
+
+def test_results_as_json_and_text(spark, tmp_path):
+    from specloom.functions import text as tx
+    from specloom.sources import files
+
+    votes = spark.createDataFrame([(a, 1, 2, "A1", "B1", "numeric", t) for a, t in [(1, "one"), (2, None), (3, "three"), (4, "four")]] + [(a, 3, None, None, None, "other", None) for a in (1, 2, 3, 4)], "agent int, page_a int, page_b int, section_a string, section_b string, category string, reason string")
+    consensus.write_result(consensus.merged(consensus.majority(votes)), str(tmp_path / "majority"))
+    text = "\n".join(p.read_text().rstrip("\n") for p in sorted((tmp_path / "majority").glob("part-*")))
+    assert [(x["page_a"], x["description"]) for x in json.loads(text)["inconsistencies"]] == [(1, "one"), (3, "")]
+    parts = spark.createDataFrame([("s", "completeness", "x", 100.0), ("s", "accuracy", "requirement_f1_score", 92.0)], "spec string, score string, component string, value double")
+    scores = quality.score(parts)
+    inputs = F.struct(F.lit("d.json").alias("json"), F.lit(None).cast("string").alias("pdf"))
+    report = json.loads(quality.report_json(scores, inputs).first()["value"])
+    assert report["inputs"] == {"json": "d.json", "pdf": None} and (report["overall_percentage"], report["overall_status"]) == (96.0, "pass")
+    assert report["scores"]["accuracy"] == {"percentage": 92.0, "status": "fail", "formula": quality.FORMULAS["accuracy_gold"], "details": {"requirement_f1_score": 92.0}}
+    lines = quality.report_text(scores, spark.createDataFrame([("s", "d.json", None, None)], "spec string, json string, pdf string, gold_json string")).first()["value"].split("\n")
+    assert lines[2:5] == ["JSON: d.json", "PDF:  not supplied/found", ""] and lines[5] == "accuracy: 92.00% - fail" and lines[-1] == "overall: 96.00% - pass"
+    assert files.exit_code(quality.report(scores)) == 0 and files.exit_code(quality.report(scores, threshold=97.0)) == 1
+    one = spark.createDataFrame([(None, " ", "R7", 3, bytearray(b"\x00\x01"))], "requirement_id string, id string, name string, idx int, content binary")
+    row = files.encoded(one).select("base64", tx.requirement_id_key("idx", "requirement_id", "id", "name").alias("a"), tx.requirement_id_key("idx", "id").alias("b"), tx.page_key(F.lit(None), "idx").alias("c"), tx.timestamp(F.lit("2024-01-02 03:04:05.678").cast("timestamp")).alias("t")).first()
+    assert tuple(row) == ("AAE=", "REQ:R7", "REQ:3", "3", "2024-01-02T03:04:05")
+    facade.write_results({"quality_report": scores}, str(tmp_path / "out"))
+    assert sorted(r["score"] for r in spark.read.json(str(tmp_path / "out" / "quality_report.json")).collect()) == ["accuracy", "completeness"]
+
+
+def test_documents_by_ending(spark, tmp_path):
+    import pytest
+
+    from specloom.sources import files
+
+    (tmp_path / "document.json").write_text(json.dumps(DOC))
+    assert files.read_any(spark, str(tmp_path / "document.json")).first()["total_pages"] == 2
+    assert files.read_any(spark, "x.PDF", lambda s, p: s.range(1)).count() == 1
+    with pytest.raises(ValueError):
+        files.read_any(spark, "x.pdf")
