@@ -374,6 +374,7 @@ def encode(df: DataFrame, name: str = "byte_bpe_50k.tiktoken", finish: tuple | N
     df = df.drop(*[f.name for f in added])
     schema = T.StructType([*df.drop("text").schema.fields, *added.fields])
     kinds = [{"bigint": pa.int64(), "string": pa.string(), "binary": pa.binary()}[f.dataType.simpleString()] for f in added]
+    common.tidy(df.sparkSession)
     frequent = df.sparkSession.sparkContext.broadcast(frequent_pieces(df, name, sample))  # FREQUENT pieces at most
     coded = with_ids(blocks(df, name, frequent, block_bytes, most_met), name)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import uuid
 from collections.abc import Iterable, Iterator
@@ -55,6 +56,15 @@ def drop_table(*tables: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop the driver's broadcasts and the shuffle files that nothing refers to any more.
+
+    The cleaner learns of them when the driver collects garbage; operators of many small joins would otherwise keep their broadcasts
+    until the heap has grown, since Spark itself asks for a collection only every 30 minutes (spark.cleaner.periodicGC.interval)."""
+    gc.collect()  # Python objects that hold Java ones
+    spark.sparkContext._jvm.System.gc()
+
+
 SALTS = 32  # parts of a key that holds far more rows than others
 
 

@@ -171,6 +171,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Da
 
 def near_groups(docs: DataFrame, width: int = 2, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of docs (doc_id, text)."""
+    common.tidy(docs.sparkSession)
     named = docs.select(F.col("doc_id").alias("id"), "text")
     sigs = common.written(signed(named, width), "sigs")
     real = sigs.filter("id is not null and n_shingles > 0")
@@ -219,6 +220,7 @@ def near_groups(docs: DataFrame, width: int = 2, percent: int = PERCENT) -> Data
         best = stars.withColumn("rank", rank).filter(F.col("rank") <= TRIED).select("a", "b")
         links.append(common.written(confirmed(common.written(best, "pairs"), text_of, width, percent), "links"))
         groups = components(functools.reduce(DataFrame.union, links))
+        common.tidy(docs.sparkSession)
     # what shares a bucket and is not connected, each pair in the first bucket that it shares
     now = placed(groups)
     mixed = now.join(mains(now, 0).select("bucket", "main"), F.col("band") == F.col("bucket")).drop("bucket")
@@ -230,6 +232,7 @@ def near_groups(docs: DataFrame, width: int = 2, percent: int = PERCENT) -> Data
     pairs = pairs.select(F.least("id1", "id").alias("a"), F.greatest("id1", "id").alias("b")).distinct()
     links.append(common.written(confirmed(common.written(pairs, "pairs"), text_of, width, percent), "links"))
     common.drop_table(inside, mixed, heads)
+    common.tidy(docs.sparkSession)
     same = members.filter("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
     groups = common.written(components(functools.reduce(DataFrame.union, links).union(_bridges(same))).toDF("gid", "group"), "groups")
     joined = common.spread_join(members.select("id", "rep"), groups, ["rep"], ["gid"])
