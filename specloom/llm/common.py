@@ -48,14 +48,6 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
-def drop_table(*tables: DataFrame) -> None:
-    """Delete tables made by written() that nothing reads any more."""
-    for df in tables:
-        spark = df.sparkSession
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df._written_at)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def tidy(spark: SparkSession) -> None:
     """Let Spark's cleaner drop the driver's broadcasts and the shuffle files that nothing refers to any more.
 
@@ -65,6 +57,16 @@ def tidy(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def drop_table(*tables: DataFrame) -> None:
+    """Delete tables made by written() that nothing reads any more, and what was broadcast to make what replaces them."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df._written_at)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    if tables:
+        tidy(tables[0].sparkSession)
+
+
 SALTS = 32  # parts of a key that holds far more rows than others
 
 
