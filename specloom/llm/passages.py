@@ -5,8 +5,9 @@ Paragraphs are of two kinds. Lines of at least LINE_WORDS words have BANDS bands
 the least hash of KEY words on end in it: neighbouring runs mostly share it, so it is kept once, and two
 texts that share any SPAN equal words in a row collide for certain, wherever in a line these stand. In each bucket paragraphs meet the
 first one. Pairs of lines are verified by exact Jaccard similarity of their shingles; those that the first one leaves unlinked meet the
-first of them once more (equal runs of such lines are found as runs); components of the links are clusters, and what is in a cluster repeats its first paragraph
-(least doc_id, then place). A run repeats its bucket's first one.
+first of them once more. Then, in buckets whose lines are not all connected, all lines with different shingles that are not connected
+meet each other, so no link inside a bucket is lost; components of the links are clusters, and what is in a cluster repeats its first
+paragraph (least doc_id, then place). A run repeats its bucket's first one.
 
 Repeats of the same document that follow one another in both texts, at most GAP words apart, form a chain. Every chain's words are then
 compared with those of its source: shared shingles and the words beside them, EDGE at most, must be equal word by word; of a line those
@@ -44,7 +45,7 @@ SPAN = WINDOW + KEY - 1
 PERCENT = 80
 LINE_WORDS = 45
 BANDS, ROWS = 6, 2
-TURNS = 2  # first paragraphs of a bucket that its lines meet
+TURNS = 2  # first paragraphs of a bucket that its lines meet before all that are left meet each other
 GAP = 24
 EDGE = 48  # words beside a chain that are compared; more than MIN_WORDS
 MIN_WORDS = 45  # passages of 50 and more words, less what the edges can hide
@@ -163,12 +164,19 @@ def line_bands(w: arrays.Words, first: np.ndarray, end: np.ndarray) -> np.ndarra
     return keys
 
 
+def line_sums(w: arrays.Words, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Two 32-bit numbers for each line, equal where the shingles are."""
+    h, begin = line_sets(w, first, end)
+    return np.add.reduceat(arrays.mixed(h), begin).view(np.int32).reshape(-1, 2)
+
+
 def kind_of(docs: DataFrame) -> str:
     return docs.schema["id"].dataType.simpleString()
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(id, first, size, key, line, before, after): a row for each band of each paragraph of docs (id, text); size of lines only."""
+    """(id, first, size, key, line, before, after): a row for each band of each paragraph of docs (id, text); size of lines only, whose
+    before and after are their line_sums."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches, "text", 2 << 20):
@@ -180,9 +188,9 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             if not len(own):
                 continue
             first, size = np.concatenate((f, np.repeat(g, BANDS))), np.concatenate((np.zeros(len(f), np.int64), np.repeat(e - g, BANDS)))
-            none = np.zeros(BANDS * len(g), np.int32)
+            sums = np.repeat(line_sums(w, g, e), BANDS, axis=0) if len(g) else np.zeros((0, 2), np.int32)
             key = np.concatenate((key, line_bands(w, g, e).ravel() if len(g) else np.zeros(0, np.uint64)))
-            values = [first - w.bounds[own], size, key.view(np.int64), size > 0, np.concatenate((x, none)), np.concatenate((y, none))]
+            values = [first - w.bounds[own], size, key.view(np.int64), size > 0, np.concatenate((x, sums[:, 0])), np.concatenate((y, sums[:, 1]))]
             kinds = [pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.int32(), pa.int32()]
             yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(own)), *[pa.array(v).cast(k) for v, k in zip(values, kinds, strict=True)]], names=["id", "first", "size", "key", "line", "before", "after"])
 
@@ -219,29 +227,47 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def line_clusters(rows: DataFrame, docs: DataFrame) -> DataFrame | None:
-    """(id, component) of lines, structs (id, first, size), in clusters of several, from their bands rows (key, at)."""
-    links, spent = [], []
+    """(id, component) of lines, structs (id, first, size), in clusters of several, from their bands rows (key, at, sums)."""
+    links, met_pairs, spent, members = [], [], [], None
     for _ in range(TURNS):
-        buckets = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("pivot")).filter("n > 1").toDF("bucket", "n", "pivot")
+        buckets = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("at", "sums")).alias("least")).filter("n > 1").select(F.col("key").alias("bucket"), "n", F.col("least.at").alias("pivot"), F.col("least.sums").alias("pivot_sums"))
         buckets = common.written(buckets, "buckets")
-        met = common.written(common.spread_join(rows, buckets, ["key"], ["bucket"], "n").filter("at <> pivot").select("key", "at", "pivot"), "met")
+        met = common.written(common.spread_join(rows, buckets, ["key"], ["bucket"], "n").filter("at <> pivot").select("key", "at", "sums", "pivot"), "met")
         spent += [buckets, met]
         if met.isEmpty():
             break
+        if members is None:
+            members = met.select("key", "at", "sums").union(buckets.select("bucket", "pivot", "pivot_sums"))
         pairs = common.written(met.select(F.col("pivot").alias("a"), F.col("at").alias("b")).distinct(), "pairs")
         found = common.written(verified(pairs, docs), "links")
-        spent.append(pairs)
+        met_pairs.append(pairs)
         links.append(found)
         # what its bucket's first paragraph leaves unlinked meets the first of these
-        rows = met.join(found, (F.col("pivot") == F.col("a")) & (F.col("at") == F.col("b")), "left_anti").select("key", "at")
+        rows = met.join(found, (F.col("pivot") == F.col("a")) & (F.col("at") == F.col("b")), "left_anti").select("key", "at", "sums")
     if not links:
         common.drop_table(*spent)
         return None
     out = common.written(components(functools.reduce(DataFrame.union, links)), "clusters")
-    common.drop_table(*links, *spent)
+    pairs = common.written(unmet(members, out).join(functools.reduce(DataFrame.union, met_pairs), ["a", "b"], "left_anti"), "pairs")
+    met_pairs.append(pairs)
+    if not pairs.isEmpty():
+        links.append(common.written(verified(pairs, docs), "links"))
+        spent.append(out)
+        out = common.written(components(functools.reduce(DataFrame.union, links)), "clusters")
+    common.drop_table(*links, *met_pairs, *spent)
     return out
 
 
+def unmet(members: DataFrame, clusters: DataFrame) -> DataFrame:
+    """Pairs (a, b), a < b, of lines of a bucket that clusters (id, component) leave apart; of equal lines of a cluster the first stands for
+    all. members: (key, at, sums)."""
+    known = members.join(clusters, F.col("at") == F.col("id"), "left").select("key", "at", "sums", F.coalesce("component", "at").alias("part"))
+    several = known.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low <> high").select("key")
+    rest = known.join(several, "key", "left_semi").groupBy("key", "part", "sums").agg(F.min("at").alias("at"))
+    one, other = rest.select("key", F.col("at").alias("a"), F.col("part").alias("a_part")), rest.select("key", F.col("at").alias("b"), F.col("part").alias("b_part"))
+    return one.join(other, "key").filter("a < b and a_part <> b_part").select("a", "b").distinct()
+
+
 SEED = "struct<first: int, size: int, of: int, words: int, before: int, after: int, line: boolean>"
 
 
@@ -379,7 +405,7 @@ def removals(docs: DataFrame, gap: int = GAP, least: int = MIN_WORDS) -> DataFra
         return found.cast("int")
 
     same = met.select("id", F.col("pivot.id").alias("pid"), F.struct("first", F.lit(KEY).alias("size"), F.col("pivot.first").alias("of"), F.lit(KEY).alias("words"), shared("before").alias("before"), shared("after").alias("after"), F.lit(False).alias("line")).alias("seed"))
-    near = line_clusters(rows.filter("line").select("key", F.struct("id", "first", "size").alias("at")), docs)
+    near = line_clusters(rows.filter("line").select("key", F.struct("id", "first", "size").alias("at"), F.struct("before", "after").alias("sums")), docs)
     if near is not None:
         at = near.filter(F.col("id") != F.col("component")).select(F.col("id").alias("at"), F.col("component").alias("pivot"))
         at = at.select("at.id", F.col("pivot.id").alias("pid"), F.struct("at.first", "at.size", F.col("pivot.first").alias("of"), F.col("pivot.size").alias("words"), F.lit(0).alias("before"), F.lit(0).alias("after"), F.lit(True).alias("line")).alias("seed"))

@@ -355,3 +355,26 @@ def test_pipeline_stages(spark):
         if name == "near_dedup":
             assert {r["doc_id"] for r in at.collect()} == {*range(8), 21}
     assert {"ids", "n_tokens"} <= set(at.columns) and at.count() > 0
+
+
+def test_lines_of_a_bucket_are_all_linked(spark):
+    # in one bucket: two lines like nothing else, then two pairs of like lines, then a line that is like b's copy but not like b
+    words = {k: [f"{k}{n}" for n in range(60)] for k in "pqabc"}
+    near = lambda k, n, m=0: [*words[k][m:n], *[f"x{k}{i}" for i in range(60 - n + m)]]
+    texts = [words["p"], words["q"], words["a"], near("a", 57), words["b"], near("b", 56), [*near("b", 56, 4)], words["c"]]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "id long, text string")
+    rows = docs.selectExpr("1L as key", "struct(id, 0 as first, size(split(text, ' ')) as size) as at", "struct(cast(id as int) as before, 0 as after) as sums")
+    made = {r.id.id: r.component.id for r in passages.line_clusters(rows, docs).collect()}
+
+    def alike(x, y):
+        s, t = ({tuple(v[i : i + 5]) for i in range(len(v) - 4)} for v in (x, y))
+        return 100 * len(s & t) >= 80 * len(s | t)
+
+    want = {i: i for i in range(len(texts))}
+    for _ in texts:
+        for i, x in enumerate(texts):
+            for j, y in enumerate(texts):
+                if alike(x, y):
+                    want[j] = min(want[i], want[j])
+    assert not alike(texts[4], texts[6]) and alike(texts[5], texts[6])
+    assert made == {i: c for i, c in want.items() if list(want.values()).count(c) > 1}
