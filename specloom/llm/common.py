@@ -106,6 +106,12 @@ def utf8(texts: pa.ChunkedArray | pa.Array) -> list[bytes]:
     return [b"" if x is None else x for x in texts.cast(pa.binary()).to_pylist()]
 
 
+def one_chunk(column: pa.ChunkedArray) -> pa.Array:
+    """A table's column as one array."""
+    found = column.combine_chunks()
+    return pa.concat_arrays(found.chunks) if isinstance(found, pa.ChunkedArray) else found
+
+
 def slices(batches: Iterable[pa.RecordBatch], column: str, most_bytes: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Cut batches so that the values of a string column stay near most_bytes together; one long row stays whole."""
     import numpy as np

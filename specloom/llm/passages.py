@@ -5,9 +5,9 @@ Paragraphs are of two kinds. Lines of at least LINE_WORDS words have BANDS bands
 the least hash of KEY words on end in it: neighbouring runs mostly share it, so it is kept once, and two
 texts that share any SPAN equal words in a row collide for certain, wherever in a line these stand. In each bucket paragraphs meet the
 first one. Pairs of lines are verified by exact Jaccard similarity of their shingles; those that the first one leaves unlinked meet the
-first of them once more. Then, in buckets whose lines are not all connected, all lines with different shingles that are not connected
-meet each other, so no link inside a bucket is lost; components of the links are clusters, and what is in a cluster repeats its first
-paragraph (least doc_id, then place). A run repeats its bucket's first one.
+first of them once more. Then, in buckets whose lines are not all connected, a task finds by their rarest shingles all pairs of lines
+that link what is not connected, so no link inside a bucket is lost and no pair that is none leaves the task; components of the links
+are clusters, and what is in a cluster repeats its first paragraph (least doc_id, then place). A run repeats its bucket's first one.
 
 Repeats of the same document that follow one another in both texts, at most GAP words apart, form a chain. Every chain's words are then
 compared with those of its source: shared shingles and the words beside them, EDGE at most, must be equal word by word; of a line those
@@ -46,6 +46,7 @@ PERCENT = 80
 LINE_WORDS = 45
 BANDS, ROWS = 6, 2
 TURNS = 2  # first paragraphs of a bucket that its lines meet before all that are left meet each other
+MET_SHINGLES = 2_000_000  # of whole buckets that a task takes at once; a larger bucket is taken by itself
 GAP = 24
 EDGE = 48  # words beside a chain that are compared; more than MIN_WORDS
 MIN_WORDS = 45  # passages of 50 and more words, less what the edges can hide
@@ -213,13 +214,18 @@ def sets_of_lines(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, f"id {kind_of(docs)}, first int, size int, shingles array<long>")
 
 
-def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Pairs (a, b) of lines, structs (id, first, size), with a Jaccard similarity of at least PERCENT / 100."""
-    at = common.written(pairs.select(F.explode(F.array("a", "b")).alias("at")).distinct(), "lines")
+def shingles_at(at: DataFrame, docs: DataFrame) -> DataFrame:
+    """(place, s): the different shingles of the lines at (at), a written table of structs (id, first, size)."""
     ids = at.select(F.col("at.id").alias("wanted")).distinct()
     ids = F.broadcast(ids) if at.count() <= FEW_IDS else ids
     sets = sets_of_lines(docs.join(ids, F.col("id") == F.col("wanted"), "left_semi"))
-    sets = sets.select(F.struct("id", "first", "size").alias("place"), F.array_distinct("shingles").alias("s")).join(at, F.col("place") == F.col("at"), "left_semi").dropDuplicates(["place"])
+    return sets.select(F.struct("id", "first", "size").alias("place"), F.array_distinct("shingles").alias("s")).join(at, F.col("place") == F.col("at"), "left_semi").dropDuplicates(["place"])
+
+
+def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """Pairs (a, b) of lines, structs (id, first, size), with a Jaccard similarity of at least PERCENT / 100."""
+    at = common.written(pairs.select(F.explode(F.array("a", "b")).alias("at")).distinct(), "lines")
+    sets = shingles_at(at, docs)
     both = common.spread_join(pairs, sets.toDF("at1", "s1"), ["a"], ["at1"])
     both = both.join(sets.toDF("at2", "s2"), F.col("b") == F.col("at2"))
     same = F.size(F.array_intersect("s1", "s2"))
@@ -248,24 +254,103 @@ def line_clusters(rows: DataFrame, docs: DataFrame) -> DataFrame | None:
         common.drop_table(*spent)
         return None
     out = common.written(components(functools.reduce(DataFrame.union, links)), "clusters")
-    pairs = common.written(unmet(members, out).join(functools.reduce(DataFrame.union, met_pairs), ["a", "b"], "left_anti"), "pairs")
-    met_pairs.append(pairs)
-    if not pairs.isEmpty():
-        links.append(common.written(verified(pairs, docs), "links"))
-        spent.append(out)
-        out = common.written(components(functools.reduce(DataFrame.union, links)), "clusters")
+    rest = common.written(apart(members, out), "apart")
+    spent.append(rest)
+    if not rest.isEmpty():
+        more = common.written(linked(rest, docs), "links")
+        links.append(more)
+        if not more.isEmpty():
+            spent.append(out)
+            out = common.written(components(functools.reduce(DataFrame.union, links)), "clusters")
     common.drop_table(*links, *met_pairs, *spent)
     return out
 
 
-def unmet(members: DataFrame, clusters: DataFrame) -> DataFrame:
-    """Pairs (a, b), a < b, of lines of a bucket that clusters (id, component) leave apart; of equal lines of a cluster the first stands for
+def apart(members: DataFrame, clusters: DataFrame) -> DataFrame:
+    """(key, part, at): the lines of buckets that clusters (id, component) leave apart; of equal lines of a cluster the first stands for
     all. members: (key, at, sums)."""
     known = members.join(clusters, F.col("at") == F.col("id"), "left").select("key", "at", "sums", F.coalesce("component", "at").alias("part"))
     several = known.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low <> high").select("key")
-    rest = known.join(several, "key", "left_semi").groupBy("key", "part", "sums").agg(F.min("at").alias("at"))
-    one, other = rest.select("key", F.col("at").alias("a"), F.col("part").alias("a_part")), rest.select("key", F.col("at").alias("b"), F.col("part").alias("b_part"))
-    return one.join(other, "key").filter("a < b and a_part <> b_part").select("a", "b").distinct()
+    return known.join(several, "key", "left_semi").groupBy("key", "part", "sums").agg(F.min("at").alias("at")).select("key", F.xxhash64("part").alias("part"), "at")
+
+
+def linked(rest: DataFrame, docs: DataFrame) -> DataFrame:
+    """Pairs (a, b) of lines of a bucket, in rest (key, part, at), with a Jaccard similarity of at least PERCENT / 100, enough of them to
+    connect whatever parts such pairs connect.
+
+    Whole buckets meet in tasks, which look for pairs by the rarest shingles of each line; only links leave a task."""
+    at = common.written(rest.select("at").distinct(), "lines")
+    sets = shingles_at(at, docs)
+    rows = rest.withColumnRenamed("at", "line").join(sets, F.col("line") == F.col("place")).select("key", "part", "line", "s").repartition("key").sortWithinPartitions("key")
+
+    def met(table: pa.Table) -> pa.RecordBatch:
+        table = table.combine_chunks()
+        s = common.one_chunk(table.column("s"))
+        pairs = like_pairs(np.asarray(table.column("key")), np.asarray(table.column("part")), np.asarray(s.value_lengths()).astype(np.int64), np.asarray(s.flatten()).view(np.uint64))
+        lines_ = common.one_chunk(table.column("line"))
+        return pa.RecordBatch.from_arrays([lines_.take(pa.array([p[k] for p in pairs], pa.int64())) for k in (0, 1)], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(pa.Table.from_batches([batch]))
+            n += len(batch.column("s").flatten())
+            if n > MET_SHINGLES:
+                table = pa.concat_tables(held).combine_chunks()
+                key = np.asarray(table.column("key"))
+                whole = int(np.searchsorted(key, key[-1]))  # the last bucket may go on
+                if whole:
+                    yield met(table.slice(0, whole))
+                held = [table.slice(whole)]
+                n = len(common.one_chunk(held[0].column("s")).flatten())
+        if held:
+            yield met(pa.concat_tables(held))
+
+    kind = rest.schema["at"].dataType.simpleString()
+    return rows.mapInArrow(run, f"a {kind}, b {kind}").distinct()
+
+
+def like_pairs(key: np.ndarray, part: np.ndarray, size: np.ndarray, values: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs of rows with equal key whose sets (of so many values, one set after the other) have a Jaccard similarity of at least
+    PERCENT / 100; none between rows that have a part in common or that pairs before connect.
+
+    Two such sets share a value among the first of each in any order of values, up to the place from which fewer than PERCENT of a
+    set are left; in order of frequency these are rare ones. All that share one are compared on their whole sets."""
+    n = len(size)
+    row = np.repeat(np.arange(n), size)
+    _, code, count = np.unique(arrays.mixed(values + arrays.mixed(key.view(np.uint64) * arrays.MULTIPLIER)[row]), return_inverse=True, return_counts=True)
+    order = np.lexsort((code, count[code], row))
+    code = code[order]
+    at = np.append(0, np.cumsum(size))
+    early = np.arange(len(code)) - at[row] <= (size - (size * PERCENT + 99) // 100)[row]
+    early &= count[code] > 1
+    by_code = np.lexsort((row[early], code[early]))
+    having = row[early][by_code]  # rows by their first values
+    begin = np.append(0, np.cumsum(np.bincount(code[early], minlength=len(count))))
+    first, first_at = code[early], np.append(0, np.cumsum(np.bincount(row[early], minlength=n)))
+    group = np.unique(part, return_inverse=True)[1]
+    mark, out = np.zeros(len(count), bool), []
+    for i in np.flatnonzero(np.diff(first_at)).tolist():
+        found = [having[begin[c] : begin[c + 1]] for c in first[first_at[i] : first_at[i + 1]].tolist()]
+        found = np.concatenate(found)
+        js = found[(found < i) & (group[found] != group[i])]
+        if not len(js):
+            continue
+        js = np.unique(js)
+        js = js[np.minimum(size[js], size[i]) * 100 >= np.maximum(size[js], size[i]) * PERCENT]
+        mark[code[at[i] : at[i + 1]]] = True
+        for k in range(0, len(js), 4096):
+            some = js[k : k + 4096]
+            places, starts = span_words(at[some], at[some + 1])
+            same = np.add.reduceat(mark[code[places]].astype(np.int64), starts)
+            for j in some[same * 100 >= (size[some] + size[i] - same) * PERCENT].tolist():
+                if group[j] != group[i]:
+                    out.append((i, j))
+                    group[group == group[j]] = group[i]
+        mark[code[at[i] : at[i + 1]]] = False
+    return out
 
 
 SEED = "struct<first: int, size: int, of: int, words: int, before: int, after: int, line: boolean>"

@@ -378,3 +378,39 @@ def test_lines_of_a_bucket_are_all_linked(spark):
                     want[j] = min(want[i], want[j])
     assert not alike(texts[4], texts[6]) and alike(texts[5], texts[6])
     assert made == {i: c for i, c in want.items() if list(want.values()).count(c) > 1}
+
+
+def test_like_pairs_equal_brute_force():
+    rng = random.Random(31)
+    sets, keys, parts = [], [], []
+    for key in range(6):
+        common_values = [rng.getrandbits(63) for _ in range(60)]
+        for k in range(30):
+            base = sets[rng.randrange(len(sets))] if sets and k % 3 else [rng.getrandbits(63) for _ in range(rng.randrange(1, 60))]
+            own = base[: len(base) - rng.randrange(0, 1 + len(base) // 6)] + [rng.getrandbits(63) for _ in range(rng.randrange(4))]
+            sets.append(list(dict.fromkeys(own + common_values * (k % 2))))
+            keys.append(key)
+            parts.append(len(parts) if k % 7 else key)
+
+    def groups(pairs):
+        made = dict(enumerate(parts))
+        for i, j in pairs:
+            made = {k: made[i] if v == made[j] else v for k, v in made.items()}
+        return {frozenset(k for k in made if made[k] == v) for v in made.values()}
+
+    like = lambda s, t: 100 * len(set(s) & set(t)) >= 80 * len(set(s) | set(t))
+    want = [(i, j) for i in range(len(sets)) for j in range(i) if keys[i] == keys[j] and like(sets[i], sets[j])]
+    got = passages.like_pairs(np.array(keys), np.array(parts), np.array([len(x) for x in sets]), np.concatenate([np.array(x, np.uint64) for x in sets]))
+    assert set(got) <= set(want) and 10 < len(got) < len(want)
+    assert groups(got) == groups(want)
+
+
+def test_unlike_lines_of_a_bucket_make_no_pairs(spark, monkeypatch):
+    n, made = 300, []
+    docs = spark.createDataFrame([(i, " ".join([*[f"all{k}" for k in range(40)], *[f"x{i}y{k}" for k in range(40)]])) for i in range(n)] + [(n + i, " ".join(f"same{k}" for k in range(60 + i))) for i in range(2)], "id long, text string")
+    rows = docs.selectExpr("1L as key", "struct(id, 0 as first, size(split(text, ' ')) as size) as at", "struct(cast(id as int) as before, 0 as after) as sums")
+    verified = passages.verified
+    monkeypatch.setattr(passages, "verified", lambda pairs, docs: (made.append(pairs.count()), verified(pairs, docs))[1])
+    found = {r.id.id: r.component.id for r in passages.line_clusters(rows, docs).collect()}
+    assert found == {n: n, n + 1: n}
+    assert sum(made) <= passages.TURNS * (n + 2)
