@@ -25,6 +25,8 @@ TILTS = (-0.5, 0.0, 0.5)  # likewise: the first come early, the last late
 SHARE = 1.5  # of all words
 MOST = 2  # times a source's words, and a document's
 BUCKETS = 4096
+SPANS = 256  # of the training time, far fewer than parts, so that few parts meet two
+SLACK = 1e-9  # of the training time, more than what rounding can move a position
 
 
 def by_rank(values: tuple, rank: Column) -> Column:
@@ -57,26 +59,72 @@ def position(q: Column, tilt: Column) -> Column:
     return F.lit(2.0) * q / ((F.lit(1.0) - tilt) + F.sqrt((F.lit(1.0) - tilt) * (F.lit(1.0) - tilt) + F.lit(4.0) * tilt * q))
 
 
-def mix(docs: DataFrame, buckets: int = BUCKETS, most: int = MOST, **settings) -> DataFrame:
-    """One row a document: doc_id, source, size, source_size, target, taken, positions (of its copies, in order)."""
+def sized(docs: DataFrame, buckets: int, *more: str) -> DataFrame:
+    """(doc_id, source, size, digest, part) and the columns more of docs; part tells the BUCKETS parts of a source."""
     size = F.coalesce(F.regexp_count("text", F.lit(common.WORD_CHARS)), F.lit(0)).cast("long")
     digest = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    sizes = common.written(docs.select("doc_id", "source", size.alias("size"), digest.alias("digest"), (F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") * buckets / (1 << 32)).cast("int").alias("part")), "sizes")
-    parts = sizes.groupBy("source", "part").agg(F.sum("size").alias("part_size"))
-    shares = targets(sizes, most=most, **settings)
+    return docs.select("doc_id", "source", size.alias("size"), digest.alias("digest"), (F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") * buckets / (1 << 32)).cast("int").alias("part"), *more)
+
+
+def summed(sizes: DataFrame) -> DataFrame:
+    return sizes.groupBy("source", "part").agg(F.sum("size").alias("part_size"))
+
+
+def parts_of(parts: DataFrame, most: int, **settings) -> DataFrame:
+    """(part_source, part_part, start, part_size, source_size, target, tilt) for parts (source, part, part_size): where each part's words
+    start in its source's order."""
+    shares = targets(parts.withColumnRenamed("part_size", "size"), most=most, **settings)
     start = F.sum("part_size").over(Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     parts = parts.withColumn("start", F.coalesce(start, F.lit(0)))
     shares = shares.withColumnRenamed("source", "share_source")
-    parts = parts.join(shares, F.col("source").eqNullSafe(F.col("share_source"))).select(F.col("source").alias("part_source"), F.col("part").alias("part_part"), "start", "source_size", "target", "tilt")
-    one = sizes.join(parts, F.col("source").eqNullSafe(F.col("part_source")) & (F.col("part") == F.col("part_part"))).drop("part_source", "part_part")
-    inside = F.sum("size").over(Window.partitionBy("source", "part").orderBy("digest", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    one = one.withColumn("offset", F.col("start") + inside - F.col("size"))
+    return parts.join(shares, F.col("source").eqNullSafe(F.col("share_source"))).select(F.col("source").alias("part_source"), F.col("part").alias("part_part"), "start", "part_size", "source_size", "target", "tilt")
+
+
+def in_part() -> Column:
+    return F.col("source").eqNullSafe(F.col("part_source")) & (F.col("part") == F.col("part_part"))
+
+
+def inside(*by: str) -> Column:
+    """Words of a part up to a row, itself included."""
+    return F.sum("size").over(Window.partitionBy(*by).orderBy("digest", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+
+
+def mix(docs: DataFrame, buckets: int = BUCKETS, most: int = MOST, **settings) -> DataFrame:
+    """One row a document: doc_id, source, size, source_size, target, taken, positions (of its copies, in order)."""
+    sizes = common.written(sized(docs, buckets), "sizes")
+    one = sizes.join(parts_of(summed(sizes), most, **settings), in_part()).drop("part_source", "part_part", "part_size")
+    one = one.withColumn("offset", F.col("start") + inside("source", "part") - F.col("size"))
     stop = F.round("target").cast("long")
     copies = [F.greatest(F.lit(0), F.least(F.col("size"), stop - (F.col("offset") + i * F.col("source_size")))) for i in range(most)]
     times = [F.when(c > 0, position((F.col("offset") + i * F.col("source_size")) / F.col("target"), F.col("tilt"))) for i, c in enumerate(copies)]
     return one.select("doc_id", "source", "size", "source_size", "target", sum(copies[1:], copies[0]).alias("taken"), F.filter(F.array(*times), lambda x: x.isNotNull()).alias("positions"))
 
 
+def stream(docs: DataFrame, buckets: int = BUCKETS, most: int = MOST, spans: int = SPANS, **settings) -> DataFrame:
+    """The rows of docs once for every copy that the mix takes, range-sorted by training position, of which mix() tells the same.
+
+    Texts are dealt out once, to SPANS spans of the training time: a part's words, and so its copies' positions, lie between its start
+    and end, which the table of parts gives (of bounded size but for the number of sources). Where a copy's part meets several spans its
+    rows go to each; there the exact position is found, and the span that it lies in keeps the row."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    parts = parts_of(common.written(summed(sized(common.only(docs, "doc_id", "source", "text"), buckets)), "parts"), most, **settings)
+    every = F.explode(F.sequence(F.lit(0), F.lit(most - 1))).alias("copy")
+    places = parts.select("*", every).withColumn("ahead", F.col("start") + F.col("copy") * F.col("source_size")).withColumn("stop", F.round("target").cast("long")).filter("ahead < stop and part_size > 0")
+
+    def span(at: Column) -> Column:
+        return F.greatest(F.lit(0), F.least(F.lit(spans - 1), F.floor(at * spans))).cast("int")
+
+    reach = lambda words: position(words / F.col("target"), F.col("tilt"))
+    low, high = span(reach(F.col("ahead")) - SLACK), span(reach(F.least(F.col("ahead") + F.col("part_size"), F.col("stop"))) + SLACK)
+    places = places.select("part_source", "part_part", F.struct("copy", "ahead", "stop", "target", "tilt", low.alias("low"), high.alias("high")).alias("place")).groupBy("part_source", "part_part").agg(F.collect_list("place").alias("places"))
+    rows = sized(docs.select("doc_id", "source", "text", row), buckets, "row").filter("size > 0").join(F.broadcast(places), in_part()).drop("part_source", "part_part")
+    rows = rows.select("*", F.explode("places").alias("place")).drop("places").select("*", F.explode(F.sequence("place.low", "place.high")).alias("span")).withColumn("copy", F.col("place.copy"))
+    rows = rows.repartitionByRange("span").withColumn("before", F.col("place.ahead") + inside("span", "source", "part", "copy") - F.col("size"))
+    at = position(F.col("before") / F.col("place.target"), F.col("place.tilt"))
+    rows = rows.filter(F.col("before") < F.col("place.stop")).withColumn("at", at).filter(span(F.col("at")) == F.col("span"))
+    return rows.sortWithinPartitions("at", "doc_id").select("row.*")
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the mix takes of every row of documents, in the order of training positions (untaken rows last)."""
     mixed = mix(common.only(common.table(spark, sf_dir, "documents"), "doc_id", "source", "text"))
@@ -125,7 +173,4 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: each document once for every copy that the mix takes, range-sorted by training position.
 
     A copy that the target cuts keeps its whole text."""
-    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("__id"))
-    mixed = mix(common.only(docs, "doc_id", "source", "text")).select(F.col("doc_id").alias("__mixed"), F.posexplode("positions").alias("copy", "at"))
-    at = mixed.groupBy("__mixed", "copy").agg(F.min("at").alias("at"))  # rows that share a doc_id share their places
-    return keyed.join(at, F.col("__id").eqNullSafe(F.col("__mixed"))).repartitionByRange(F.col("at"), F.col("__id")).sortWithinPartitions("at", "__id").select("row.*")
+    return stream(docs)

@@ -414,3 +414,18 @@ def test_unlike_lines_of_a_bucket_make_no_pairs(spark, monkeypatch):
     found = {r.id.id: r.component.id for r in passages.line_clusters(rows, docs).collect()}
     assert found == {n: n, n + 1: n}
     assert sum(made) <= passages.TURNS * (n + 2)
+
+
+def test_mixing_deals_texts_out_once(spark):
+    rng = random.Random(12)
+    rows = [(i, " ".join(["w"] * rng.randrange(0, 40)), f"s{i % 5}" if i % 11 else None) for i in range(900)] + [(None, "a b", "s0"), (1000, None, "s1")]
+    df = ready(spark).createDataFrame(rows, "doc_id long, text string, source string")
+    plan = mixing.stage(spark, df, "")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange rangepartitioning") == 1 and "text" not in "".join(x for x in plan.splitlines() if "Exchange hashpartitioning" in x)
+    assert "SortMergeJoin" not in plan
+    number = lambda r: -1 if r["doc_id"] is None else r["doc_id"]
+    want = sorted((p, number(r)) for r in mixing.mix(df, buckets=16).collect() for p in r["positions"])
+    for spans in (1, 64):  # 64: most parts meet several spans
+        out = mixing.stream(df, buckets=16, spans=spans)
+        assert out.columns == df.columns
+        assert [number(r) for r in out.collect()] == [i for _, i in want]
