@@ -5,6 +5,7 @@ import json
 from pyspark.sql import functions as F
 
 from specloom.functions import lexicon as lx
+from specloom.functions import udfs
 from specloom.operators import compare, consensus, extract, linkage, quality, reports
 from specloom.plans import facade
 from specloom.sources import corpus as src
@@ -280,3 +281,11 @@ def test_similar_matches_copy_no_text_to_its_pairs(spark):
     assert not [x for x in plan.splitlines() if "Join" in x and "normalised" in x] and plan.count("Join") == 1
     assert all(r["score"] == udfs.ratio(text[r["old_idx"]], text[39 - r["new_idx"]] + " more") for r in found.collect())
     assert found.count() == 40
+
+
+def test_changes_start_from_written_tables(spark):
+    side = lambda more: spark.createDataFrame([("s", i, f"Page {i} says that word{i} must hold{more if i % 2 else ''}.", i) for i in range(6)], "spec string, idx int, content string, page int")
+    for made in (compare.page_changes(side(""), side(" now")), compare.area_changes(*(side(x).selectExpr("*", "content as preview", "cast(null as string) as section") for x in ("", " now")), "note")):
+        plan = made._jdf.queryExecution().analyzed().toString()
+        assert "InMemoryRelation" not in plan and "LogicalRDD" not in plan and "FlatMap" not in plan
+        assert made.filter("change_type = 'modified'").count() == 3
