@@ -9,6 +9,7 @@ from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,12 +50,32 @@ def written(df: DataFrame, label: str) -> DataFrame:
 
 
 def tidy(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the driver's broadcasts and the shuffle files that nothing refers to any more.
+    """Let Spark's cleaner drop the driver's broadcasts and the shuffle files that nothing refers to any more, and give back what the
+    driver's JVM has freed outside its heap.
 
     The cleaner learns of them when the driver collects garbage; operators of many small joins would otherwise keep their broadcasts
     until the heap has grown, since Spark itself asks for a collection only every 30 minutes (spark.cleaner.periodicGC.interval)."""
     gc.collect()  # Python objects that hold Java ones
     spark.sparkContext._jvm.System.gc()
+    trim(spark)
+
+
+def trim(spark: SparkSession) -> str:
+    """Have the C library of the driver's JVM return its free memory to the system; what the JVM says of it, '' if it has no such command.
+
+    Compiling the code of many plans leaves over 100 MB of freed pieces, which the C library keeps for its threads otherwise."""
+    jvm, new = spark.sparkContext._jvm, spark.sparkContext._gateway.new_array
+    name_of = jvm.java.lang.Class.forName
+    kinds, values = new(jvm.java.lang.Class, 4), new(jvm.java.lang.Object, 4)
+    try:
+        for k, kind in enumerate(("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")):
+            kinds[k] = name_of(kind)
+        values[0], values[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        values[2], values[3] = new(jvm.java.lang.Object, 0), new(jvm.java.lang.String, 0)
+        invoke = name_of("javax.management.MBeanServer").getMethod("invoke", kinds)  # the server's own class is not open to calls
+        return str(invoke.invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), values))
+    except Py4JError:  # another JVM or C library
+        return ""
 
 
 def drop_table(*tables: DataFrame) -> None:

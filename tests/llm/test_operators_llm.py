@@ -429,3 +429,12 @@ def test_mixing_deals_texts_out_once(spark):
         out = mixing.stream(df, buckets=16, spans=spans)
         assert out.columns == df.columns
         assert [number(r) for r in out.collect()] == [i for _, i in want]
+
+
+def test_tidy_gives_native_memory_back(spark, monkeypatch):
+    said = []
+    trim = common.trim
+    monkeypatch.setattr(common, "trim", lambda s: said.append(trim(s)))
+    common.tidy(spark)
+    version = spark.sparkContext._jvm.java.lang.System.getProperty("java.version")
+    assert len(said) == 1 and (said[0].startswith("Trim native heap") or int(version.split(".")[0]) < 17)
