@@ -153,10 +153,16 @@ def take(flat: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
     return flat[np.arange(total) + np.repeat(first - (stops - size), size)]
 
 
-def gather(flat: np.ndarray, sizes: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(the values of the chosen lists one after the other, the sizes of the chosen); the lists are sizes long and lie in flat in order."""
-    first = np.cumsum(sizes) - sizes
-    return take(flat, first[chosen], sizes[chosen]), sizes[chosen]
+def strings(flat: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """The byte strings of so many bytes that lie in flat in order."""
+    stops = np.concatenate(([0], np.cumsum(sizes))).astype(np.int64)
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(stops), pa.py_buffer(np.ascontiguousarray(flat))])
+
+
+def chosen(values: pa.Array, at: pa.Array, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the bytes of the values at these places, one after the other; the bounds in them of runs of n places)."""
+    data, bounds = raw(values.take(at))
+    return data, bounds[np.concatenate(([0], np.cumsum(n))).astype(np.int64)]
 
 
 class Store:

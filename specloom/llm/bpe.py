@@ -22,6 +22,7 @@ import base64
 import functools
 import hashlib
 import heapq
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,11 +35,12 @@ from . import arrays, common
 from .binary_ids import tokenizer_path
 
 LONG = 256  # bytes of a piece beyond which a heap merges it
-BLOCK_BYTES = 4 << 20  # UTF-8 bytes of text whose distinct pieces are encoded together
-SLICE_BYTES = 2 << 20  # of them at a time
+BLOCK_BYTES = 1 << 20  # UTF-8 bytes of text whose distinct pieces are encoded together
+SLICE_BYTES = 1 << 20  # of them at a time
 MET = 600_000  # pieces that a task remembers between blocks
 IDS = 1 << 16  # more than any id
-NONE = IDS - 1  # the rank of a pair that doesn't merge
+NONE = IDS - 1  # no id and no rank
+TWICE = (1 << 32) + 1  # puts an id beside itself, 32 bits up
 SAMPLE = 16_000  # rows in which frequent pieces are counted
 FREQUENT = 500_000  # of them, and so of the broadcast table
 
@@ -102,10 +104,15 @@ def rank_table(name: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def constant_tables(spark: SparkSession, name: str) -> Column:
-    """The rank map as a constant of the plan: struct of start, bases, merges. It has one row."""
+    """The rank map as a constant of the plan: struct of start, bases, merges. It has one row.
+
+    merges: at bases[a] + b stands a * 2**32 + rank * 2**16 of the merge of a and b; where no merge is, what belongs to no id. start: for
+    each byte and the byte after it (signed; 128: none), at 257 * (byte + 128) + next + 128, its first part in a fold's state."""
     single, base, table = rank_table(name)
-    rows = [pa.array([x.tolist()], pa.list_(k)) for x, k in ((np.roll(single, 128), pa.int32()), (base, pa.int32()), (table, pa.int64()))]
-    one = spark.createDataFrame(pa.Table.from_arrays(rows, names=["start", "bases", "merges"]))
+    merges = np.where(table < 0, NONE * IDS + NONE, table) * IDS
+    a, b = np.roll(single, 128)[:, None], np.append(np.roll(single, 128), len(base) - 1)
+    start = merges[base[a] + b] ^ (a * TWICE)
+    one = spark.createDataFrame(pa.table([pa.array([x.ravel().tolist()], pa.list_(pa.int64())) for x in (start, base, merges)], names=["start", "bases", "merges"]))
     return one.select(F.struct("start", "bases", "merges")).scalar()
 
 
@@ -117,30 +124,27 @@ def fold(piece: Column, start: Column, bases: Column, merges: Column, edge: int)
     """Ids of a piece (array of signed bytes): the merges as a fold over the array, one for each step; edge: an id that merges with
     nothing.
 
-    The state is an array with one integer for each part, its pair's rank above its id: the least one is the pair to merge."""
-    edge = F.lit(edge)
-    half, low, none = F.lit(IDS // 2), F.lit(IDS - 1), F.lit((NONE - IDS // 2) << 16)
+    The state is an array with one integer for each part, its pair's rank above its id: the least one is the pair to merge. What a looked-up
+    merge has of another left id stays above both and makes the integer larger than that of any pair that merges. Every expression in
+    here is interpreted once a step, so few of them do the work."""
+    low, none, all_ = F.lit(IDS - 1), F.lit(IDS * IDS), F.lit(1 << 20)
+    end = F.array(F.lit((IDS * IDS + 1) * edge + IDS**3))
 
     def pair(a: Column, b: Column) -> Column:
-        rank = (F.get(merges, F.get(bases, a) + b) - F.shiftleft(a.cast("bigint"), 16)).bitwiseAND(F.lit((1 << 63) - 1))
-        return F.shiftleft(F.least(rank, F.lit(NONE)).cast("int") - half, 16).bitwiseOR(a)
-
-    def step(state: Column, _: Column) -> Column:
-        def merged(least: Column) -> Column:
-            def at(p: Column) -> Column:
-                both = F.shiftright(least, 16) + half
-                left, right = F.get(state, p - 2).bitwiseAND(low), F.get(state, p + 1).bitwiseAND(low)
-                return F.concat(F.slice(state, F.lit(1), p - 2), F.array(pair(left, both), pair(both, right)), F.slice(state, p + 2, F.lit(1 << 20)))
+        return merges[bases[a] + b].bitwiseXOR(a * F.lit(TWICE))
 
-            return F.when(least >= none, state).otherwise(let(F.array_position(state, least).cast("int"), at))
+    def merged(state: Column, p: Column) -> Column:
+        both = F.shiftright(state[p - 1], 16)
+        left, right = state[p - 2].bitwiseAND(low), state[p + 1].bitwiseAND(low)
+        return F.concat(F.slice(state, F.lit(1), p - 2), F.array(pair(left, both), pair(both, right)), F.slice(state, p + 2, all_))
 
-        return let(F.array_min(state), merged)
-
-    def run(ids: Column) -> Column:
-        first = F.transform(F.slice(ids, F.lit(1), F.size(ids) - 1), lambda a, i: pair(a, F.get(ids, i + 1)))
-        return F.aggregate(piece, first, step, lambda e: F.transform(F.slice(e, F.lit(2), F.size(e) - 2), lambda x: x.bitwiseAND(low)))
+    def step(state: Column, _: Column) -> Column:
+        # a fold over one place binds it to a variable
+        place = F.array(F.array_position(state, F.array_min(state)).cast("int"))
+        return F.when(F.array_min(state) >= none, state).otherwise(F.aggregate(place, state, merged))
 
-    return let(F.concat(F.array(edge), F.transform(piece, lambda b: F.get(start, b.cast("int") + 128)), F.array(edge, edge)), run)
+    first = F.zip_with(piece, F.slice(piece, F.lit(2), all_), lambda a, b: start[a * F.lit(257) + F.coalesce(b, F.lit(128)) + F.lit(128 * 258)])
+    return F.aggregate(piece, F.concat(end, first, end), step, lambda e: F.transform(F.slice(e, F.lit(2), F.size(e) - 2), lambda x: x.bitwiseAND(low).cast("int")))
 
 
 class Pieces:
@@ -148,17 +152,11 @@ class Pieces:
 
     fresh: the pieces that got a number since it was last emptied."""
 
-    def __init__(self, name: str, pattern: str, frequent: tuple[np.ndarray, np.ndarray] = (np.zeros(0, np.uint8), np.zeros(1, np.int64))):
+    def __init__(self, name: str, pattern: str, base: arrays.Store | None = None, first: int = IDS):
         import regex
 
         self.name, self.find = name, regex.compile(pattern).findall
-        self.base = base_codes(name).copy()
-        data, bounds = frequent
-        keys = arrays.span_hashes(data, bounds[:-1], bounds[1:])
-        order, _ = arrays.distinct(keys)  # of pieces that share a hash one is known
-        order = order[~self.base.find(keys[order], data, bounds[order], bounds[order + 1])[2]]
-        self.base.add(keys[order], IDS + order.astype(np.int32), np.ones(len(order), np.int64), data, bounds[order], bounds[order + 1])
-        self.first = IDS + len(keys)
+        self.base, self.first = base or base_codes(name), first
         self.start_over()
 
     def start_over(self) -> None:
@@ -264,13 +262,18 @@ class Pieces:
         return codes, head_n + np.bincount(owner, spans_size[word_at], n).astype(np.int64)
 
     def column(self) -> pa.Array:
-        """The fresh pieces as structs of bytes, or of ids for those that are long."""
-        ranks = load_ranks(self.name)
-        small = [b"" if len(x) > LONG else x for x in self.fresh]
-        stops = np.concatenate(([0], np.cumsum([len(x) for x in small]))).astype(np.int32)
-        lists = pa.ListArray.from_arrays(pa.array(stops), pa.array(np.frombuffer(b"".join(small), np.int8), pa.int8()))
-        large = pa.array([[ranks[y] for y in merge(x, ranks)] if len(x) > LONG else None for x in self.fresh], pa.list_(pa.int32()))
-        return pa.StructArray.from_arrays([lists, large], names=["bytes", "ids"])
+        """The fresh pieces as structs."""
+        return structs(self.fresh, self.name)
+
+
+def structs(pieces: list[bytes], name: str) -> pa.Array:
+    """Pieces as structs of bytes, or of ids for those that are long."""
+    ranks = load_ranks(name)
+    small = [b"" if len(x) > LONG else x for x in pieces]
+    stops = np.concatenate(([0], np.cumsum([len(x) for x in small]))).astype(np.int32)
+    lists = pa.ListArray.from_arrays(pa.array(stops), pa.array(np.frombuffer(b"".join(small), np.int8), pa.int8()))
+    large = pa.array([[ranks[y] for y in merge(x, ranks)] if len(x) > LONG else None for x in pieces], pa.list_(pa.int32()))
+    return pa.StructArray.from_arrays([lists, large], names=["bytes", "ids"])
 
 
 @functools.cache
@@ -288,6 +291,28 @@ def base_codes(name: str) -> arrays.Store:
     return out
 
 
+def with_frequent(name: str, data: np.ndarray, bounds: np.ndarray) -> arrays.Store:
+    """base_codes and the codes of frequent pieces, which lie one after the other in data."""
+    out = base_codes(name).copy()
+    keys = arrays.span_hashes(data, bounds[:-1], bounds[1:])
+    order, _ = arrays.distinct(keys)  # of pieces that share a hash one is known
+    order = order[~out.find(keys[order], data, bounds[order], bounds[order + 1])[2]]
+    out.add(keys[order], IDS + order.astype(np.int32), np.ones(len(order), np.int64), data, bounds[order], bounds[order + 1])
+    return out
+
+
+#: What a worker's tasks have in common, by a name of their run; of the last one alone.
+_shared: dict[str, arrays.Store] = {}
+
+
+def shared_codes(run: str, name: str, frequent) -> arrays.Store:
+    """with_frequent of a broadcast table, made once in a worker."""
+    if run not in _shared:
+        _shared.clear()
+        _shared[run] = with_frequent(name, *frequent.value)
+    return _shared[run]
+
+
 PIECE = "struct<bytes: array<tinyint>, ids: array<int>>"
 
 
@@ -314,19 +339,26 @@ def frequent_pieces(df: DataFrame, name: str, sample: int = SAMPLE, most: int =
         return np.zeros(0, np.uint8), np.zeros(1, np.int64), np.zeros(0, np.uint32), np.zeros(0, np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p, count = Pieces(name, pattern), np.zeros(0, np.int64)
         for batch in common.slices(batches, "text", SLICE_BYTES):
-            p = Pieces(name, pattern)
             codes, _ = p.of(batch.column("text"))
-            count = np.bincount(codes, minlength=IDS + len(p.fresh))[IDS:]
-            yield pa.RecordBatch.from_arrays([pa.array(p.fresh, pa.binary()), p.column(), pa.array(count, pa.int64())], names=["piece", "made", "n"])
+            more = np.bincount(codes, minlength=IDS + p.met)[IDS:]
+            more[: len(count)] += count
+            count = more
+            if p.met > MET:
+                yield pa.RecordBatch.from_arrays([pa.array(p.fresh, pa.binary()), pa.array(count, pa.int64())], names=["piece", "n"])
+                p.start_over()
+                count = np.zeros(0, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(p.fresh, pa.binary()), pa.array(count, pa.int64())], names=["piece", "n"])
 
     some = df.select("text").sample(sample / n, 3)  # of rows, not texts: copies are drawn one by one
-    counts = some.mapInArrow(run, f"piece binary, made {PIECE}, n long").groupBy("piece").agg(F.sum("n").alias("n"), F.any_value("made").alias("made"))
-    top = counts.orderBy(F.desc("n"), "piece").limit(most).select("piece", "made").repartition(max(8, df.sparkSession.sparkContext.defaultParallelism))
+    counts = some.mapInArrow(run, "piece binary, n long").groupBy("piece").agg(F.sum("n").alias("n"))
+    top = counts.orderBy(F.desc("n"), "piece").limit(most).select("piece").repartition(max(8, df.sparkSession.sparkContext.defaultParallelism))
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, batch.num_rows], pa.int32()), x) for x in batch.columns], names=["piece", "pieces"])
+            bounds, piece = pa.array([0, batch.num_rows], pa.int32()), batch.column("piece")
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(bounds, x) for x in (piece, structs(piece.to_pylist(), name))], names=["piece", "pieces"])
 
     found = with_ids(top.mapInArrow(packed, f"piece array<binary>, pieces array<{PIECE}>"), name).toArrow()
     data, bounds = arrays.raw(found.column("piece").combine_chunks().flatten())
@@ -340,10 +372,10 @@ def blocks(df: DataFrame, name: str, frequent, block_bytes: int = BLOCK_BYTES, m
     Numbers of pieces go on from block to block of a partition, until more than most_met are met; before tells how many there were."""
     import public_tokenizers
 
-    pattern = public_tokenizers.PATTERN
+    pattern, key, n_frequent = public_tokenizers.PATTERN, uuid.uuid4().hex, len(frequent.value[1]) - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p = Pieces(name, pattern, frequent.value[:2])
+        p = Pieces(name, pattern, shared_codes(key, name, frequent), IDS + n_frequent)
         for batch in common.slices(batches, "text", block_bytes):
             if p.met > most_met:
                 p.start_over()
@@ -375,25 +407,27 @@ def encode(df: DataFrame, name: str = "byte_bpe_50k.tiktoken", finish: tuple | N
     schema = T.StructType([*df.drop("text").schema.fields, *added.fields])
     kinds = [{"bigint": pa.int64(), "string": pa.string(), "binary": pa.binary()}[f.dataType.simpleString()] for f in added]
     common.tidy(df.sparkSession)
-    frequent = df.sparkSession.sparkContext.broadcast(frequent_pieces(df, name, sample))  # FREQUENT pieces at most
+    found, broadcast = frequent_pieces(df, name, sample), df.sparkSession.sparkContext.broadcast
+    frequent, their_ids = broadcast(found[:2]), broadcast(found[2:])  # FREQUENT pieces at most
+    del found
     coded = with_ids(blocks(df, name, frequent, block_bytes, most_met), name)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made, made_sizes = frequent.value[2:]
-        head, head_sizes = np.concatenate((np.arange(IDS, dtype=np.uint32), made)), np.concatenate((np.ones(IDS, np.int64), made_sizes))
-        flat, sizes = head, head_sizes
+        made, sizes = their_ids.value
+        # lists of ids as byte strings, four bytes an id
+        head = arrays.strings(np.append(np.arange(IDS, dtype=np.uint32), made), 4 * np.append(np.ones(IDS, np.int64), sizes))
+        known = head
         for batch in batches:
             for k in range(batch.num_rows):
                 # a task's rows come in order, so what earlier blocks met is here
                 if batch.column("before")[k].as_py() == 0:
-                    flat, sizes = head, head_sizes
+                    known = head
                 lists = batch.column("ids").slice(k, 1).flatten()
-                flat = np.concatenate((flat, np.asarray(lists.flatten(), np.uint32)))
-                sizes = np.concatenate((sizes, np.asarray(lists.value_lengths(), np.int64)))
+                known = pa.concat_arrays([known, arrays.strings(np.asarray(lists.flatten(), np.uint32), 4 * np.asarray(lists.value_lengths(), np.int64))])
                 for rest in pa.ipc.open_stream(batch.column("rest")[k].as_py()):
                     codes = rest.column(rest.num_columns - 1)
-                    ids, each = arrays.gather(flat, sizes, np.asarray(codes.flatten(), np.int64))
-                    n = arrays.sums(each, np.concatenate(([0], np.cumsum(np.asarray(codes.value_lengths(), np.int64)))))
+                    ids, stops = arrays.chosen(known, codes.flatten(), np.asarray(codes.value_lengths(), np.int64))
+                    ids, n = ids.view(np.uint32), np.diff(stops) // 4
                     found = make(ids, n)
                     yield pa.RecordBatch.from_arrays([*rest.columns[:-1], *[pa.array(x, kind) for x, kind in zip(found, kinds, strict=True)]], names=[f.name for f in schema])
 
@@ -407,20 +441,19 @@ def cut(ids: np.ndarray, n: np.ndarray) -> list[bytes]:
 
 
 @functools.cache
-def token_bytes(name: str) -> tuple[np.ndarray, np.ndarray]:
-    """(the byte strings of all ids one after the other, their lengths)."""
+def token_bytes(name: str) -> pa.Array:
+    """The byte strings of all ids."""
     out = [b""] * IDS
     for token, rank in load_ranks(name).items():
         out[rank] = token
-    return np.frombuffer(b"".join(out), np.uint8), np.fromiter(map(len, out), np.int64, IDS)
+    return pa.array(out, pa.large_binary())
 
 
 def decode_ids(ids: np.ndarray, n: np.ndarray, name: str) -> list[bytes]:
     """The byte strings of each text's ids, concatenated."""
-    data, each = arrays.gather(*token_bytes(name), ids.astype(np.int64))
-    raw = data.tobytes()
-    stops = np.concatenate(([0], np.cumsum(arrays.sums(each, np.concatenate(([0], np.cumsum(n))))))).tolist()
-    return [raw[a:b] for a, b in zip(stops, stops[1:], strict=False)]
+    data, stops = arrays.chosen(token_bytes(name), pa.array(ids), n)
+    raw, stops = data.data, stops.tolist()
+    return [bytes(raw[a:b]) for a, b in zip(stops, stops[1:], strict=False)]
 
 
 def decode(df: DataFrame, ids: str = "ids", out: str = "decoded", name: str = "byte_bpe_50k.tiktoken") -> DataFrame:
@@ -442,14 +475,16 @@ DIGESTS = "n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 def digests(ids: np.ndarray, n: np.ndarray, name: str) -> list:
     """Lengths, digests of the decimal ids, and digests of the bytes they decode to."""
-    decimal = list(map(decimals().__getitem__, ids.tolist()))
-    stops = np.cumsum([0, *n]).tolist()
-    return [n, [hashlib.sha256(" ".join(decimal[a:b]).encode()).hexdigest() for a, b in zip(stops, stops[1:], strict=False)], [hashlib.sha256(x).hexdigest() for x in decode_ids(ids, n, name)]]
+    data, stops = arrays.chosen(decimals(), pa.array(ids), n)
+    raw, stops = data.data, stops.tolist()
+    # but for the space after a text's last id
+    return [n, [hashlib.sha256(raw[a : max(a, b - 1)]).hexdigest() for a, b in zip(stops, stops[1:], strict=False)], [hashlib.sha256(x).hexdigest() for x in decode_ids(ids, n, name)]]
 
 
 @functools.cache
-def decimals() -> list[str]:
-    return list(map(str, range(IDS)))
+def decimals() -> pa.Array:
+    """All ids as decimal numbers with a space behind each."""
+    return pa.array([b"%d " % x for x in range(IDS)], pa.large_binary())
 
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,13 +1,15 @@
 """Word arrays, directly addressable codes and BPE against plain Python, the libraries and brute force."""
 
 import random
+import re
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from specloom.llm import arrays, binary_ids, bpe, quality
+from specloom.llm import arrays, binary_ids, bpe, common, quality
 
 TRICKY = ["a  b", " a", "a ", "a\n b", "a \nb", "a\n  b", "  ", "", None, "don't  'll x", "a\t b", "é 3.5 x!? ,", "x\x1c y", "a b", " ", "a b c a", "x y\n", "\n x", "w \x1f e", "\na b", "　a b", "the the the"]
 
@@ -169,3 +171,34 @@ def test_quality_cases(spark):
     assert out[4]["base_failed"] and out[5]["base_failed"] and out[5]["longest_repeat"] == 80
     assert (out[6]["n_symbols"], out[6]["n_dup_lines"], out[6]["word_chars"]) == (3, 1, 6)
     assert quality.quality(df.limit(0)).count() == 0
+
+
+def test_fold_has_few_expressions():
+    """Each is interpreted, most of them once a step; there were 99 by this count."""
+    made = str(bpe.fold(F.col("x"), F.col("s"), F.col("b"), F.col("m"), 7))
+    assert len(re.findall(r"\w+\(|[\[+*&^-] ?|>=", made)) < 75, made
+
+
+def test_chosen_values():
+    values = arrays.strings(np.arange(6, dtype=np.uint32), 4 * np.array([1, 0, 3, 2]))
+    data, stops = arrays.chosen(values, pa.array([2, 0, 1, 3, 2], pa.int32()), np.array([2, 0, 3]))
+    assert data.view(np.uint32).tolist() == [1, 2, 3, 0, 4, 5, 1, 2, 3] and stops.tolist() == [0, 16, 16, 36]
+    none, stops = arrays.chosen(values, pa.array([], pa.int32()), np.array([0, 0]))
+    assert len(none) == 0 and stops.tolist() == [0, 0, 0]
+
+
+def test_encoder_memory_is_bounded():
+    """What a slice takes while its pieces are found; slices of 2 MB took 38 MB here."""
+    import tracemalloc
+
+    rng = np.random.default_rng(5)
+    words = ["".join(x) for x in rng.choice(list("abcdefghijklmnop"), (20000, 6))]
+    batch = pa.RecordBatch.from_arrays([pa.array([" ".join(rng.choice(words, 700)) for _ in range(900)])], names=["text"])
+    p = bpe.Pieces("byte_bpe_50k.tiktoken", public_tokenizers.PATTERN)
+    p.of(batch.column("text").slice(0, 200))
+    tracemalloc.start()
+    for part in common.slices([batch], "text", bpe.SLICE_BYTES):
+        p.of(part.column("text"))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 28 << 20, peak
