@@ -37,9 +37,12 @@ def powers(kind: str, n: int) -> np.ndarray:
 
 def mixed(x: np.ndarray) -> np.ndarray:
     """A 64-bit finalizer (splitmix64)."""
-    x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> U(27))) * U(0x94D049BB133111EB)
-    return x ^ (x >> U(31))
+    x = x ^ (x >> U(30))
+    x *= U(0xBF58476D1CE4E5B9)  # in place: fewer arrays pass through memory
+    x ^= x >> U(27)
+    x *= U(0x94D049BB133111EB)
+    x ^= x >> U(31)
+    return x
 
 
 def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -146,11 +149,21 @@ def distinct(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order[fresh], inverse
 
 
+TAKEN = 1 << 17  # values that take() copies at once: their places take eight bytes each
+
+
 def take(flat: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
     """The spans of flat that begin at first and are size long, one after the other."""
     stops = np.cumsum(size)
-    total = int(stops[-1]) if len(stops) else 0
-    return flat[np.arange(total) + np.repeat(first - (stops - size), size)]
+    shift = first - (stops - size)
+    out = np.empty(int(stops[-1]) if len(stops) else 0, flat.dtype)
+    a = done = 0
+    while done < len(out):
+        b = max(a + 1, int(np.searchsorted(stops, done + TAKEN, side="right")))
+        end = int(stops[b - 1])
+        out[done:end] = flat[np.arange(done, end) + np.repeat(shift[a:b], size[a:b])]
+        a, done = b, end
+    return out
 
 
 def strings(flat: np.ndarray, sizes: np.ndarray) -> pa.Array:

@@ -109,12 +109,10 @@ def lines(w: arrays.Words) -> tuple[np.ndarray, np.ndarray]:
     n = len(w.hashes)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    breaks = np.cumsum(w.data == 10)
-    line = np.concatenate(([0], breaks))[w.starts]
-    cut = np.ones(n, bool)
-    cut[1:] = line[1:] != line[:-1]
-    full = w.bounds[1:] > w.bounds[:-1]
-    cut[w.bounds[:-1][full]] = True
+    cut = np.zeros(n + 1, bool)
+    cut[np.searchsorted(w.starts, np.flatnonzero(w.data == 10))] = True  # the first word after a break
+    cut[w.bounds[:-1]] = True
+    cut = cut[:n]
     first = np.flatnonzero(cut)
     end = np.append(first[1:], n)
     long = end - first >= LINE_WORDS
@@ -180,7 +178,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     before and after are their line_sums."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.slices(batches, "text", 2 << 20):
+        for batch in common.slices(batches, "text"):
             w = arrays.Words(batch.column("text"), lower=True)
             f, key = runs_of(w)
             x, y = sides(w, f, True), sides(w, f + KEY, False)
@@ -202,7 +200,7 @@ def sets_of_lines(docs: DataFrame) -> DataFrame:
     """(id, first, size, shingles) of all lines of docs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.slices(batches, "text", 2 << 20):
+        for batch in common.slices(batches, "text"):
             w = arrays.Words(batch.column("text"), lower=True)
             f, e = lines(w)
             if len(f):
