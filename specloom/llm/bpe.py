@@ -294,8 +294,11 @@ def base_codes(name: str) -> arrays.Store:
 def with_frequent(name: str, data: np.ndarray, bounds: np.ndarray) -> arrays.Store:
     """base_codes and the codes of frequent pieces, which lie one after the other in data."""
     out = base_codes(name).copy()
-    keys = arrays.span_hashes(data, bounds[:-1], bounds[1:])
-    order, _ = arrays.distinct(keys)  # of pieces that share a hash one is known
+    keys = np.zeros(len(bounds) - 1, np.uint64)
+    for k in range(0, len(keys), 1 << 16):
+        some = bounds[k : k + (1 << 16) + 1]
+        keys[k : k + (1 << 16)] = arrays.span_hashes(data[some[0] : some[-1]], some[:-1] - some[0], some[1:] - some[0])
+    order = np.unique(keys, return_index=True)[1]  # of pieces that share a hash one is known
     order = order[~out.find(keys[order], data, bounds[order], bounds[order + 1])[2]]
     out.add(keys[order], IDS + order.astype(np.int32), np.ones(len(order), np.int64), data, bounds[order], bounds[order + 1])
     return out
@@ -310,6 +313,7 @@ def shared_codes(run: str, name: str, frequent) -> arrays.Store:
     if run not in _shared:
         _shared.clear()
         _shared[run] = with_frequent(name, *frequent.value)
+        common.give_back()
     return _shared[run]
 
 
@@ -392,6 +396,8 @@ def blocks(df: DataFrame, name: str, frequent, block_bytes: int = BLOCK_BYTES, m
                 writer.write_batch(rest)
             writer.close()
             yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary()), pa.array([before], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(p.fresh)], pa.int32()), p.column())], names=["rest", "before", "pieces"])
+        del p
+        common.give_back()  # a worker that waits for its next task keeps what it shares
 
     return df.mapInArrow(run, f"rest binary, before long, pieces array<{PIECE}>")
 
@@ -430,6 +436,7 @@ def encode(df: DataFrame, name: str = "byte_bpe_50k.tiktoken", finish: tuple | N
                     ids, n = ids.view(np.uint32), np.diff(stops) // 4
                     found = make(ids, n)
                     yield pa.RecordBatch.from_arrays([*rest.columns[:-1], *[pa.array(x, kind) for x, kind in zip(found, kinds, strict=True)]], names=[f.name for f in schema])
+        common.give_back()
 
     return coded.mapInArrow(run, schema)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import re
 import uuid
@@ -88,6 +89,14 @@ def drop_table(*tables: DataFrame) -> None:
         tidy(tables[0].sparkSession)
 
 
+def give_back() -> None:
+    """Have the C library of this Python process return its free memory to the system, where it can."""
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError, TypeError):  # another C library
+        pass
+
+
 SALTS = 32  # parts of a key that holds far more rows than others
 
 
@@ -134,7 +143,9 @@ def one_chunk(column: pa.ChunkedArray) -> pa.Array:
 
 
 def slices(batches: Iterable[pa.RecordBatch], column: str, most_bytes: int = 1 << 20) -> Iterator[pa.RecordBatch]:
-    """Cut batches so that the values of a string column stay near most_bytes together; one long row stays whole."""
+    """Cut batches so that the values of a string column stay near most_bytes together; one long row stays whole.
+
+    After each batch that comes from Spark (not in a list) the process gives its free memory back."""
     import numpy as np
 
     for batch in batches:
@@ -145,3 +156,5 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, most_bytes: int = 1 <
         cuts = [0, *(np.nonzero(np.diff(part))[0] + 1).tolist(), batch.num_rows]
         for a, b in zip(cuts, cuts[1:], strict=False):
             yield batch.slice(a, b - a)
+        if not isinstance(batches, list):
+            give_back()

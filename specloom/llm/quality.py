@@ -29,6 +29,7 @@ MAX_REPEAT_PERCENT = 50
 SYMBOLS = "#*$%&|<>"
 
 SCHEMA = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, covered_words long, longest_repeat long, kept boolean"
+SLICE_BYTES = 1 << 18  # of text whose suffixes are sorted together; what is held for them is many times as much
 
 
 def repeat_lengths(codes: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -158,7 +159,7 @@ def quality(df: DataFrame, text: str = "text", min_repeat: int = MIN_REPEAT, max
     kinds = [pa.bool_() if f.dataType == T.BooleanType() else pa.int64() for f in added]
 
     def run(batches):
-        for batch in common.slices(batches, text):
+        for batch in common.slices(batches, text, SLICE_BYTES):
             found = measure(common.utf8(batch.column(text)), min_repeat, max_covered, max_longest)
             yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(x, k) for x, k in zip(found, kinds, strict=True)]], names=[f.name for f in schema])
 
