@@ -300,6 +300,46 @@ def test_similar_matches_copy_no_text_to_its_pairs(spark):
     assert found.count() == 40
 
 
+def test_similar_matches_of_all_pairs(spark):
+    # more than twenty new items share more tokens with an old one than the one that is most like it; what they have in common may lie
+    # behind the first forty tokens; equal texts, and pairs that are matched in steps, come out as the plain greedy choice
+    chance = __import__("random").Random(5)
+    words = [f"{a}{b}rt{c}" for a in "kmpqz" for b in "aeiou" for c in "lnvx"]
+    base = [" ".join(chance.choices(words, k=chance.choice((4, 60, 90)))) for _ in range(14)]
+    target = " ".join(words[:12] + ["zzz"] * 40)
+    decoys = [" ".join(reversed(words[:30])) + f" d{k} " + " ".join(chance.sample(words, 40)) for k in range(30)]
+    bent = lambda t: " ".join(w if chance.random() < 0.8 else chance.choice(words) for w in t.split())
+    rows = {1: [target, *base, *base[:5], "", base[0] + " x", *map(bent, base[6:])], 2: [*decoys, *map(bent, base), *map(bent, base[:9]), target.replace("zzz", "zzy"), *base[3:6], base[3] + " y", ""]}
+    old, new = (linkage.records(spark.createDataFrame([("s", i, t) for i, t in enumerate(rows[v])], "spec string, idx int, content string")) for v in (1, 2))
+    tokens = {v: [list(dict.fromkeys(w for w in t.split() if len(w) > 2)) for t in rows[v]] for v in rows}
+    pairs = []
+    for i, a in enumerate(rows[1]):
+        for j, b in enumerate(rows[2]):
+            same = [k for k, w in enumerate(tokens[1][i]) if w in tokens[2][j]]
+            if same and min(len(a), len(b)) / max(len(a), len(b)) >= 0.35 and len(same) / len({*tokens[1][i], *tokens[2][j]}) >= 0.08:
+                s = round(__import__("difflib").SequenceMatcher(None, a, b).ratio(), 4)
+                if s >= 0.3:
+                    pairs.append((-s, i, -len(same), same[0], j))
+    want, left, right = set(), set(), set()
+    for s, i, _, _, j in sorted(pairs):
+        if i not in left and j not in right:
+            left.add(i), right.add(j), want.add((i, j, -s))
+    for near in (None, 0.8, 0.98):
+        assert {(r.old_idx, r.new_idx, r.score) for r in linkage.similar_matches(old, new, 0.3, near=near).collect()} == want
+    assert (0, 53) in {w[:2] for w in want} and len(want) > 12
+
+
+def test_most_matched_is_a_bound():
+    chance = __import__("random").Random(1)
+    for alphabet in ("ab", "abcdefgh xyz.,", "a\u00e9\u4e2d\u6587 \x00b", "abcdefghijklmnopqrstuvwxyz0123456789 "):
+        for _ in range(60):
+            parts = ["".join(chance.choices(alphabet, k=chance.randint(1, 9))) for _ in range(12)]
+            made = lambda: "".join(chance.choice(parts) + chance.choice((" ", "", ". ")) for _ in range(chance.randint(1, 120)))  # noqa: E731, B023
+            new, olds = made(), [made() for _ in range(3)]
+            olds += [new, new[:40] + "x" + new[40:]]
+            assert all(udfs.matched(a, new) <= m for a, m in zip(olds, udfs.most_matched(olds, new).tolist(), strict=True))
+
+
 def test_changes_start_from_written_tables(spark):
     side = lambda more: spark.createDataFrame([("s", i, f"Page {i} says that word{i} must hold{more if i % 2 else ''}.", i) for i in range(6)], "spec string, idx int, content string, page int")
     notes = compare.area_changes(*(side(x).selectExpr("*", "content as preview", "cast(null as string) as section") for x in ("", " now")), "note")
