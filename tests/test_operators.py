@@ -340,6 +340,17 @@ def test_most_matched_is_a_bound():
             assert all(udfs.matched(a, new) <= m for a, m in zip(olds, udfs.most_matched(olds, new).tolist(), strict=True))
 
 
+def test_comparison_goes_through_lines_once(spark, monkeypatch):
+    p = pages(spark, [("a", 1, "A1.1 First part\nNOTE: stable.\nFigure 2-1: Handshake\nIt must hold."), ("a", 2, "Table A1-1: Signal list\nplain line"), ("b", 1, "2 Scope here\nFigure A3-2 Reset")])
+    whole, kept = facade.extract_pages(p, ("spec",)), facade.extract_pages(p, ("spec",), extract.marked_lines(p, ("spec",)))
+    for name in ("headings", "notes", "figures", "table_captions"):
+        assert sorted(map(str, whole[name].collect())) == sorted(map(str, kept[name].collect())) and whole[name].count() > 0, name
+    calls, lines = [], extract.page_lines
+    monkeypatch.setattr(extract, "page_lines", lambda *a: calls.append(1) or lines(*a))
+    facade.compare_pages(p, p)
+    assert len(calls) == 2
+
+
 def test_changes_start_from_written_tables(spark):
     side = lambda more: spark.createDataFrame([("s", i, f"Page {i} says that word{i} must hold{more if i % 2 else ''}.", i) for i in range(6)], "spec string, idx int, content string, page int")
     notes = compare.area_changes(*(side(x).selectExpr("*", "content as preview", "cast(null as string) as section") for x in ("", " now")), "note")
